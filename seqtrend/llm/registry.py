@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from seqtrend.llm import secrets, sharding, simhash_dedup
+from seqtrend.llm import decontaminate, mixing, nearest, secrets, sharding, simhash_dedup, substring_dedup, token_counts, token_output, toxicity
 
 QUERIES = {
+    "op1_token_output": token_output.op1,
+    "op2_decontaminate": decontaminate.op2,
+    "op3_substring_dedup": substring_dedup.op3,
+    "op4_mixing": mixing.op4,
+    "op5_toxicity": toxicity.op5,
+    "op6_token_counts": token_counts.op6,
+    "op7_nearest": nearest.op7,
     "op8_simhash_dedup": simhash_dedup.op8,
     "op9_sharding": sharding.op9,
     "op10_secrets": secrets.op10,
