@@ -36,7 +36,7 @@ def canonical_mutations(aa: Column | str) -> Column:
     key = lambda m, i: F.struct(
         F.regexp_extract(m, shape, 1).alias("protein"), F.when(m.rlike(shape), F.regexp_extract(m, shape, 2).cast("int")).otherwise(0).alias("pos"), i.alias("i"), m.alias("m")
     )
-    return F.array_join(F.transform(F.array_sort(F.transform(F.transform(F.split(text, ","), F.trim), key)), lambda s: s["m"]), ",")
+    return F.array_join(F.transform(F.array_sort(F.transform(F.transform(F.split(text, ","), lambda t: F.trim(t)), key)), lambda s: s["m"]), ",")
 
 
 def tokens(m: Column | str) -> Column:
@@ -244,5 +244,5 @@ def edit_distance(df: DataFrame, m0: str, m1: str, out: str = "distance", insert
         return _mapped(df, [m0, m1], out, "int", unit_distance)
     a, b = mutation_units(m0), mutation_units(m1)
     # Greedy subsequence test: each unit of m0 is looked for behind the last hit.
-    hit = F.aggregate(a, F.lit(0), lambda at, u: F.when(at < 0, at).otherwise(F.coalesce(F.filter(F.transform(b, lambda x, i: F.when((x == u) & (i >= at), i + 1)), lambda i: i.isNotNull())[0], F.lit(-1))))
+    hit = F.aggregate(a, F.lit(0), lambda at, u: F.when(at < 0, at).otherwise(F.coalesce(F.get(F.filter(F.transform(b, lambda x, i: F.when((x == u) & (i >= at), i + 1)), lambda i: i.isNotNull()), F.lit(0)), F.lit(-1))))
     return df.withColumn(out, F.when(hit >= 0, F.size(b) - F.size(a)))

@@ -17,7 +17,7 @@ def read_fasta(spark: SparkSession, path: str, header_sep: str | None = None) ->
     lines = F.split(F.regexp_replace("value", r"^>", ""), r"\r?\n")
     head = F.get(lines, F.lit(0))
     head = F.trim(F.substring_index(head, header_sep, 1)) if header_sep else F.regexp_extract(head, r"^\S*", 0)
-    body = F.array_join(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), F.trim), "")
+    body = F.array_join(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.trim(x)), "")
     return spark.read.text(path, lineSep="\n>").select(head.alias("header"), body.alias("sequence")).where("sequence <> ''")
 
 
