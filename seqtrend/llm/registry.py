@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from seqtrend.llm import decontaminate, mixing, nearest, secrets, sharding, simhash_dedup, substring_dedup, token_counts, token_output, toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_simhash_dedup": simhash_dedup.op8,
     "op9_sharding": sharding.op9,
     "op10_secrets": secrets.op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {"op9_sharding": sharding.OP9_SQL}

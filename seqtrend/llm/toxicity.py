@@ -22,10 +22,10 @@ from seqtrend.llm.common import stored
 SAMPLE_ROWS = 12_000
 THRESHOLD = 0.3
 NEAR = 5
-STEMS = (4, 5)
+STEMS = (4, 5, 6, 7, 8)
 #: An entry needs these log-odds and this log-likelihood ratio against the base rate, lest rare words enter by chance.
 LEAST_LOG_ODDS, LEAST_EVIDENCE = 2.5, 16.0
-FEATURES = ("hits", "density", "distinct", "share_near_you", "you_density", "capitals", "shouted", "marks", "exclaims", "runs_of_marks", "obfuscated", "obfuscated_hits", "log_words")
+FEATURES = ("hits", "weight", "strongest", "density", "distinct", "share_near_you", "you_density", "capitals", "shouted", "marks", "exclaims", "runs_of_marks", "obfuscated", "obfuscated_hits", "log_words")
 # Second-person words of the four languages.
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deiner ihr euch euer eure sie ihnen usted ustedes vosotros vuestro tú ti".split())
 # Signs that stand for letters.
@@ -71,22 +71,23 @@ def measure(text: str | None, lexicon: dict[str, float], starts: frozenset[str])
     if not words:
         return [0.0] * len(FEATURES)
     n = len(words)
-    hits, found, masked, masked_hits = [], set(), 0, 0
+    hits, found, masked, masked_hits = [], {}, 0, 0
+    weight = lambda w: max((lexicon[p] for p in pieces(w) if p in lexicon), default=0.0) if w[:3] in starts else 0.0
     for i, w in enumerate(words):
         plain = w.isalpha()
         if not plain:
             w = w.strip(EDGES)
             plain = w.isalpha()
-        if w[:3] in starts and any(p in lexicon for p in pieces(w)):
+        if w[:3] in starts and (odds := weight(w)):
             hits.append(i)
-            found.add(w)
+            found[w] = odds
         elif not plain and w and not w.isdigit():
             masked += 1
             w = w.translate(LEET)
-            if w[:3] in starts and any(p in lexicon for p in pieces(w)):
+            if odds := weight(w):
                 masked_hits += 1
                 hits.append(i)
-                found.add(w)
+                found[w] = odds
     near = sum(any(w in SECOND_PERSON for w in words[max(0, i - NEAR) : i + NEAR + 1]) for i in hits)
     you = sum(w in SECOND_PERSON for w in words) if hits else 0
     raw = text.encode()
@@ -96,7 +97,7 @@ def measure(text: str | None, lexicon: dict[str, float], starts: frozenset[str])
     marks = size - len(raw.translate(None, MARKS))
     shouted = sum(w.isupper() and len(w) > 2 for w in text.split()) if upper > n else 0
     return [
-        float(len(hits)), len(hits) / n, float(len(found)), near / max(1, len(hits)), you / n, upper / max(1, letters), shouted / n, marks / size,
+        float(len(hits)), sum(found.values()), max(found.values(), default=0.0), len(hits) / n, float(len(found)), near / max(1, len(hits)), you / n, upper / max(1, letters), shouted / n, marks / size,
         text.count("!") / n, len(RUN.findall(text)) / n, masked / n, masked_hits / n, float(np.log1p(n)),
     ]
 
