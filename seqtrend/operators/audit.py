@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqtrend.functions.mutations import canonical_mutations
+from seqtrend.functions.mutations import apply_mutations, canonical_mutations, verify_sequence
 
 
 def metadata_join(variants: DataFrame, meta: DataFrame) -> DataFrame:
@@ -33,11 +33,20 @@ def minimal_sequences(df: DataFrame, aa: str = "aa") -> DataFrame:
     return rows.groupBy("canonical").agg(F.min(F.struct("d", "acc")).alias("b")).select("canonical", "b.acc", "b.d")
 
 
-def label_reconstruction(obs: DataFrame, verified: DataFrame, fake: bool = False) -> DataFrame:
-    """``obs`` with reconstructed: the accession is among ``verified`` (acc, ok) and ok; ``fake`` sets all true."""
-    if fake:
-        return obs.withColumn("reconstructed", F.lit(True))
-    ok = verified.groupBy("acc").agg(F.max("ok").alias("_ok"))
-    return obs.join(ok, "acc", "left").withColumn("reconstructed", F.coalesce("_ok", F.lit(False))).drop("_ok")
+# Fixed value: where a FASTA header holds the accession.
+ACCESSION = r"\|EPI_ISL_(\d+)"
+
 
+def label_reconstruction(obs: DataFrame, fasta: DataFrame, reference: str, fake: bool = False) -> DataFrame:
+    """``obs`` with reconstructed: its accession's record exists and agrees with the imputed sequence.
 
+    The imputed sequence is made once per distinct key. ``fake`` sets all true. Several records of one
+    accession: one that agrees is enough.
+    """
+    if fake:
+        return obs.withColumn("reconstructed", F.lit(True))
+    imputed = apply_mutations(obs.select("m").distinct(), reference)
+    found = fasta.select(F.regexp_extract("header", ACCESSION, 1).alias("_acc"), F.col("sequence").alias("_seen")).where("_acc <> ''")
+    rows = obs.select("acc", "m").distinct().join(found, F.regexp_replace(F.col("acc"), "^EPI_ISL_", "") == F.col("_acc")).join(imputed, "m")
+    ok = rows.groupBy("acc", "m").agg(F.max(verify_sequence("_seen", "seq")).alias("_ok"))
+    return obs.join(ok, ["acc", "m"], "left").withColumn("reconstructed", F.coalesce("_ok", F.lit(False))).drop("_ok")

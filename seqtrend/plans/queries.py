@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from seqtrend.functions import dates, mutations, tokens
 from seqtrend.functions.rand import rand_key
+from seqtrend.sources import clusters as cluster_files
+from seqtrend.sources import fasta, tables
 from seqtrend.operators import audit, evaluate, matching, pairs, ranks, series, splits
 from seqtrend.plans.roles import CLUSTERS, HITS, LETTERS, OBS, SAMPLES, WEEKS, clusters, hits, letters, observations, samples, table
 
@@ -591,3 +593,92 @@ def j13_prior(spark, sf_dir):
 @query(f"SELECT doc_id, {_key(11, 'doc_id', 'lang')} AS key FROM documents")
 def rand_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", rand_key(11, "doc_id", "lang").alias("key"))
+
+
+# -- records, clusters, and the smaller columns ------------------------------------------------------------
+
+
+@query("SELECT concat('d', CAST(doc_id AS VARCHAR), '|', lang) AS header, CAST(length(text) AS INT) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def j11_select_records(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws("|", F.concat(F.lit("d"), F.col("doc_id").cast("string")), "lang").alias("header"), F.col("text").alias("sequence"))
+    names = table(spark, sf_dir, "labels").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"))
+    return fasta.select_records(docs, names)[0].select("header", F.length("sequence").alias("n"))
+
+
+@query("SELECT CAST(l_partkey AS VARCHAR) AS id, max(s_name) AS cluster FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_partkey")
+def j14_cluster_members(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    entries = rows.groupBy(F.col("s_name").alias("cluster")).agg(F.collect_set(F.col("l_partkey").cast("string")).alias("members100"))
+    return cluster_files.cluster_members(entries)
+
+
+@query()
+def j1_label_reconstruction(spark, sf_dir):
+    obs = observations(spark, sf_dir).select("acc", "m").withColumn("acc", F.substring_index("acc", "-", 1))
+    reference = "ACDEFGHIKLMNPQRSTVWY" * 20 + "*"
+    seen = mutations.apply_mutations(obs.groupBy("acc").agg(F.min("m").alias("m")), reference)
+    records = seen.select(F.concat(F.lit("h|EPI_ISL_"), "acc", F.lit("|x")).alias("header"), F.col("seq").alias("sequence"))
+    return audit.label_reconstruction(obs, records, reference).groupBy("m").agg(F.count("*").alias("n"), F.count_if("reconstructed").alias("ok"))
+
+
+@query()
+def f12_f13_alignment_and_distance(spark, sf_dir):
+    reference = "ACDEFGHIKLMNPQRSTVWY" * 20 + "*"
+    keys = observations(spark, sf_dir).select("m").distinct()
+    rows = mutations.align_mutations(mutations.apply_mutations(keys, reference).withColumnRenamed("m", "given"), reference)
+    return mutations.edit_distance(rows, "given", "m").select("given", "m", "distance")
+
+
+@query(f"""WITH s AS (SELECT doc_id, {LETTERS} AS seq, {_key(12, 'doc_id')} AS k FROM documents), c AS (SELECT doc_id, seq, CASE WHEN length(seq) > 1023 THEN k % (length(seq) - 1022) ELSE 0 END AS start FROM s),
+h AS (SELECT doc_id, substr(seq, start + 1, 1023) AS t FROM c)
+SELECT doc_id, CAST(length(t) + 1 AS INT) AS n, md5(t) AS held FROM h""")
+def f15_pad_or_crop(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", tokens.pad_or_crop(letters("text"), 1024, rand_key(12, "doc_id")).alias("x"))
+    alphabet = F.split(F.lit(tokens.LETTERS + "?*"), "")
+    n = F.aggregate("x.attention_mask", F.lit(0), lambda a, m: a + m)
+    text = F.array_join(F.transform(F.slice("x.input_ids", F.lit(2), n - 1), lambda i: F.get(alphabet, i)), "")
+    return rows.select("doc_id", n.alias("n"), F.md5(text.cast("binary")).alias("held"))
+
+
+@query()
+def f20_selected_tiles(spark, sf_dir):
+    spans = F.expr("array(struct(10 as start, 12 as end), struct(100 as start, 130 as end))")
+    rows = table(spark, sf_dir, "documents").select("doc_id", letters("text").alias("seq"), spans.alias("spans"))
+    return tokens.tile_masks(rows, seed=6, shortest=1, spans="spans", least_extra=2).select("doc_id", "mask_start", "mask_length")
+
+
+@query("SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(concat(text, '<|endoftext|>'), '<\\|endoftext\\|>', '', 'g'), '[ \\t\\n\\r\\f\\v]+', '', 'g'), '\\*+$', '*')) AS seq FROM documents")
+def f22_clean_generated(spark, sf_dir):
+    cleaned = tokens.clean_generated(F.concat("text", F.lit("<|endoftext|>")), "marker")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(cleaned.cast("binary")).alias("seq"))
+
+
+@query(f"WITH {PAIRS}, p AS (SELECT *, count1 / (count0 + count1) AS share FROM pairs WHERE greatest(count0, count1) >= 500 AND seq0 NOT LIKE '%stop%' AND seq1 NOT LIKE '%stop%') SELECT seq0, seq1, round(share, 9) AS label, CAST({_BRACKET.format(x='count1 / count0')} AS INT) AS tolerance, CAST({_DISCRETE.format(x='share')} AS INT) AS class, length(seq0) = length(seq1) AS same_length, FALSE AS extra_indel FROM p")
+def f24_f25_f26_pair_labels(spark, sf_dir):
+    rows = tables.filter_pairs(_pairs(spark, sf_dir), min_max=500)
+    label = pairs.pair_label("count0", "count1")
+    return rows.select("seq0", "seq1", F.round(label, 9).alias("label"), pairs.bracket(F.col("count1") / F.col("count0")).alias("tolerance"), tokens.discretise(label, RANGES).alias("class"), series.same_length("seq0", "seq1").alias("same_length"), series.has_extra_indel("seq0", "seq1").alias("extra_indel"))
+
+
+@query(f"WITH {STATS} SELECT u.run, u.rank, new_seq AND new_lineage AND NOT late AS counts_lineage FROM u JOIN late ON u.run = late.run AND u.rank = late.rank")
+def w6_new_lineage_flags(spark, sf_dir):
+    rows = samples(spark, sf_dir).where("not invalid_seq")
+    return evaluate.new_lineage_flags(matching.uniquify(rows, ambiguous=False)).select("run", "rank", "counts_lineage")
+
+
+@query(f"WITH {SAMPLES}, c AS (SELECT run, rank, row_number() OVER (PARTITION BY run ORDER BY rank) AS place, sum(CASE WHEN new_seq THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY rank) AS tp FROM samples WHERE NOT invalid_seq) SELECT run, CAST(place AS INT) AS place, CAST(tp AS BIGINT) AS tp FROM c WHERE place IN (1, 5, 10, 50)")
+def w4_curve_at_ranks(spark, sf_dir):
+    return evaluate.at_ranks(evaluate.precision_curve(samples(spark, sf_dir), "ALL"), [1, 5, 10, 50]).select("run", "place", "tp")
+
+
+@query("WITH c AS (SELECT o_custkey, list(o_totalprice ORDER BY o_orderdate, o_orderkey) AS a FROM orders GROUP BY o_custkey) SELECT o_custkey, round(coalesce(a[1], 0), 2) AS w1, round(coalesce(a[2], 0), 2) AS w2, round(coalesce(a[20], 0), 2) AS w20 FROM c")
+def f23_leading_weeks(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_totalprice"))).alias("a"))
+    held = tokens.pad_leading_weeks(F.transform("a", lambda s: s["o_totalprice"]), 20)
+    return rows.select("o_custkey", held.alias("h")).select("o_custkey", *[F.round(F.get("h", i - 1), 2).alias(f"w{i}") for i in (1, 2, 20)])
+
+
+@query("SELECT canonical, count(*) AS n FROM (SELECT concat_ws(',', concat('A_', chr(CAST(65 + l_suppkey % 20 AS INT)), '3T'), concat('Spike_C', CAST(10 + l_linenumber AS INT), 'D')) AS canonical FROM lineitem) GROUP BY canonical")
+def f2_canonical_mutations(spark, sf_dir):
+    text = F.expr("concat('(Spike_C', cast(10 + l_linenumber as int), 'D, A_', chr(cast(65 + l_suppkey % 20 as int)), '3T)')")
+    return table(spark, sf_dir, "lineitem").select(mutations.canonical_mutations(text).alias("canonical")).groupBy("canonical").agg(F.count("*").alias("n"))

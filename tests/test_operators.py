@@ -278,8 +278,14 @@ def test_audit(spark):
     assert tuple(audit.reassignment_audit(joined, reports).first()) == (4, 1, 3, 1)
     df = spark.createDataFrame([("(Spike_D2G,Spike_A1C)", "2", "2021-01-02"), ("Spike_A1C,Spike_D2G", "1", "2021-01-02"), (None, "3", "2020-01-01")], "aa string, acc string, d string")
     assert [tuple(r) for r in audit.minimal_sequences(df).collect()] == [("Spike_A1C,Spike_D2G", "1", "2021-01-02")]
-    lab = audit.label_reconstruction(joined.withColumnRenamed("virus_name", "acc"), spark.createDataFrame([("v4", True), ("v3", False)], "acc string, ok boolean"))
-    assert {r.acc for r in lab.where("reconstructed").collect()} == {"v4"}
+
+
+def test_reconstruction(spark):
+    rows = spark.createDataFrame([("1", "A1C"), ("2", "A1C"), ("3", ""), ("4", "")], "acc string, m string")
+    fa = spark.createDataFrame([("h|EPI_ISL_1|x", "CCD*"), ("h|EPI_ISL_2|x", "ACD*"), ("h|EPI_ISL_3|x", "XCB*"), ("h|none", "ACD*")], "header string, sequence string")
+    got = {r.acc: r.reconstructed for r in audit.label_reconstruction(rows, fa, "ACD*").collect()}
+    assert got == {"1": True, "2": False, "3": True, "4": False}
+    assert audit.label_reconstruction(rows, fa, "ACD*", fake=True).where("reconstructed").count() == 4
 
 
 def test_merge_and_prior_errors(spark):
