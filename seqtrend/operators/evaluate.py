@@ -10,6 +10,7 @@ from seqtrend.functions.mutations import is_valid_sample
 from seqtrend.functions.rand import rand_key
 from seqtrend.functions.stats import t_quantile
 from seqtrend.functions.tokens import discretise
+from seqtrend.operators.broadcasts import if_small
 from seqtrend.operators.matching import match_known
 from seqtrend.operators.ranks import global_rank
 from seqtrend.operators.series import first_seen
@@ -17,22 +18,22 @@ from seqtrend.operators.series import first_seen
 SALIENT = 10
 
 
-def kmers(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """(seq, kmer): one row per place."""
+def kmers(df: DataFrame, k: int, *keys: str, seq: str = "seq") -> DataFrame:
+    """(keys, kmer): one row per place. Keys are few bytes: a whole sequence would be copied to each of its k-mers."""
     places = F.sequence(F.lit(1), F.length(seq) - k + 1)
-    return df.where(F.length(seq) >= k).select(seq, F.explode(F.transform(places, lambda i: F.substring(F.col(seq), i, F.lit(k)))).alias("kmer"))
+    return df.where(F.length(seq) >= k).select(*keys, F.explode(F.transform(places, lambda i: F.substring(F.col(seq), i, F.lit(k)))).alias("kmer"))
 
 
 def kmer_novelty(samples: DataFrame, known: DataFrame, k: int = 11) -> DataFrame:
     """(seq, novelty) per distinct sample: at how many places its k-mer is in no known sequence.
 
-    Known and new k-mers meet once per distinct k-mer; places are counted before the join.
+    The known k-mers are broadcast if they were counted as few, so that no k-mer of a sample is shuffled;
+    else both sides meet by k-mer. Samples go by the MD5 of their sequence.
     """
-    distinct = samples.select("seq").distinct()
-    places = kmers(distinct, k).groupBy("seq", "kmer").agg(F.count("*").alias("n"))
-    seen = kmers(known.select("seq").distinct(), k).select("kmer").distinct()
-    fresh = places.join(seen, "kmer", "left_anti").groupBy("seq").agg(F.sum("n").alias("novelty"))
-    return distinct.join(fresh, "seq", "left").select("seq", F.coalesce("novelty", F.lit(0)).alias("novelty"))
+    distinct = samples.select("seq").distinct().withColumn("_id", F.unhex(F.md5(F.col("seq").cast("binary"))))
+    seen = if_small(kmers(known.select("seq").distinct(), k).distinct())
+    fresh = kmers(distinct, k, "_id").join(seen, "kmer", "left_anti").groupBy("_id").agg(F.count("*").alias("novelty"))
+    return distinct.join(fresh, "_id", "left").select("seq", F.coalesce("novelty", F.lit(0)).alias("novelty"))
 
 
 def run_novelty(samples: DataFrame, known: DataFrame, k: int = 11) -> DataFrame:
