@@ -7,6 +7,8 @@ of their cell, with a hash of the row as the random number, so a repeated task d
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ DIMENSIONS = ("source", "lang", "topic")
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 1.0}
 KEEP_SHARE = 0.5
 TOLERANCE, SWEEPS = 1e-6, 40
+TASK_CELLS = 100_000
 
 
 def n_tokens() -> Column:
@@ -51,11 +54,39 @@ def targets(table: DataFrame, powers: dict[str, float] = POWERS) -> dict[str, Da
     return out
 
 
-def rake(table: DataFrame, goals: dict[str, DataFrame], tolerance: float = TOLERANCE, sweeps: int = SWEEPS) -> DataFrame:
+def rake(table: DataFrame, goals: dict[str, DataFrame], tolerance: float = TOLERANCE, sweeps: int = SWEEPS, task_cells: int = TASK_CELLS) -> DataFrame:
     """The cells with ``weight``, fitted so that its sums meet the goals; 0 for cells without tokens or goal.
 
-    Ends when no factor of a sweep is further than ``tolerance`` from 1, or after ``sweeps``.
+    Ends when no factor of a sweep is further than ``tolerance`` from 1, or after ``sweeps``. A table that
+    was counted to have at most ``task_cells`` cells is fitted in one task; a larger one by joins, sweep by sweep.
     """
+    if table.limit(task_cells + 1).count() > task_cells:
+        return _rake_by_joins(table, goals, tolerance, sweeps)
+    rows = table
+    for d in DIMENSIONS:
+        rows = rows.join(goals[d].withColumnRenamed("target", f"goal_{d}"), d, "left")
+
+    def fit(cells: pd.DataFrame) -> pd.DataFrame:
+        weight = cells["tokens"].to_numpy(float)
+        weight = weight / (weight.sum() or 1.0)
+        codes = {d: np.unique(cells[d].to_numpy(str), return_inverse=True)[1].ravel() for d in DIMENSIONS}
+        wanted = {d: cells[f"goal_{d}"].fillna(0.0).to_numpy(float) for d in DIMENSIONS}
+        for _ in range(sweeps):
+            off = 0.0
+            for d in DIMENSIONS:
+                now = np.bincount(codes[d], weight)[codes[d]]
+                factor = np.divide(wanted[d], now, out=np.zeros_like(now), where=now > 0)
+                weight = weight * factor
+                off = max([off, *np.abs(factor[factor > 0] - 1)])
+            if off <= tolerance:
+                break
+        return cells[[*DIMENSIONS, "tokens", "docs"]].assign(weight=weight)
+
+    schema = "source string, lang string, topic string, tokens long, docs long, weight double"
+    return stored(rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit, schema), "cells")
+
+
+def _rake_by_joins(table: DataFrame, goals: dict[str, DataFrame], tolerance: float, sweeps: int) -> DataFrame:
     total = table.agg(F.sum("tokens").cast("double").alias("all"))
     fitted = stored(table.join(F.broadcast(total)).withColumn("weight", F.coalesce(F.col("tokens") / F.nullif("all", F.lit(0.0)), F.lit(0.0))).drop("all"), "cells")
     for _ in range(sweeps):

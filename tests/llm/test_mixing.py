@@ -51,6 +51,13 @@ def test_against_brute_force(spark):
     assert sorted(r.doc_id for r in S.mixed(docs).collect()) == sorted(r.doc_id for r in got if r.drawn)
 
 
+def test_both_ways_of_raking_agree(spark):
+    table = S.cells(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    goals = S.targets(table)
+    one, other = ({(r.source, r.lang, r.topic): r.weight for r in S.rake(table, goals, sweeps=6, task_cells=n).collect()} for n in (10_000, 0))
+    assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-12 for k in one)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     out = S.mixed(odd_docs, keep_share=1.0)
     assert out.columns == odd_docs.columns and out.count() <= odd_docs.count()
