@@ -31,24 +31,26 @@ from seqtrend.llm.common import scratch_dir
 
 MAGIC, HEAD, BLOCK = b"TPK1", struct.Struct("<4sB3xIIQI4x"), 4096
 SEGMENT_IDS = 1 << 19
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
+WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}  # widths that numpy has as such
 SEGMENTS = "part int, seq int, n_docs long, n_ids long, segment binary"
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids (below 2**bits, bits <= 32) side by side, each block of BLOCK ids from a new byte on."""
+    if bits in WHOLE:
+        return ids.astype(WHOLE[bits]).tobytes()
     out = []
     for at in range(0, len(ids), BLOCK):
-        planes = (ids[at : at + BLOCK, None].astype("<u4") >> np.arange(bits, dtype="<u4")) & 1 if bits % 8 else None
-        if planes is None:
-            out.append(ids[at : at + BLOCK].astype("<u4").view(np.uint8).reshape(-1, 4)[:, : bits // 8].tobytes())
-        else:
-            out.append(np.packbits(planes.astype(np.uint8).ravel(), bitorder="little").tobytes())
+        planes = (ids[at : at + BLOCK, None].astype("<u4") >> np.arange(bits, dtype="<u4")) & 1
+        out.append(np.packbits(planes.astype(np.uint8).ravel(), bitorder="little").tobytes())
     return b"".join(out)
 
 
 def unpack(block: np.ndarray, bits: int, first: int, last: int) -> np.ndarray:
     """Ids first to last (exclusive) of one packed block (bytes)."""
+    if bits in WHOLE:
+        return block.view(WHOLE[bits])[first:last].astype("<u4")
     bit = np.arange(first, last, dtype=np.int64) * bits
     byte = bit >> 3
     padded = np.concatenate([block, np.zeros(8, np.uint8)])
@@ -115,20 +117,22 @@ def encoder(path: str) -> Callable[[str], bytes]:
 
     def encode(text: str) -> bytes:
         words = text.encode().split()
-        new = list({w for w in words if w not in kept})
+        held = list(map(kept.get, words))
+        if None not in held:
+            return b"".join(held)
+        new = list({w for w, ids in zip(words, held) if ids is None})
         fresh = {}
         for at in range(0, len(new), 512):
             some = [w.decode() for w in new[at : at + 512]]
             found = tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
+            ids = np.array(found.ids, "<u4").tobytes()
             ends = np.cumsum([len(w) + 1 for w in some])
-            cuts = np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), ends, "left")
-            for w, a, b in zip(new[at : at + 512], np.concatenate(([0], cuts[:-1])), cuts):
-                fresh[w] = ids[a:b].tobytes()
+            cuts = (4 * np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), ends, "left")).tolist()
+            for w, a, b in zip(new[at : at + 512], [0, *cuts], cuts):
+                fresh[w] = ids[a:b]
         if len(kept) < CACHED_WORDS:
             kept.update(fresh)
-            return b"".join([kept[w] for w in words])
-        return b"".join([kept[w] if w in kept else fresh[w] for w in words])
+        return b"".join([fresh[w] if ids is None else ids for w, ids in zip(words, held)])
 
     return encode
 
