@@ -2,9 +2,9 @@
 
 Paragraphs are lines of at least ``MIN_WORDS`` words. Equal ones fall together first; BANDS bands of ROWS
 MinHashes over five-word shingles find similarity 0.8 with probability 1 - (1 - 0.8**3)**10 > 0.999. In a
-bucket every class is verified against the bucket's leader by exact Jaccard, then classes of a bucket that
-are still in different components are verified against each other: that loses no component, and never makes
-all pairs of a large group. A passage that stands inside other paragraphs is found by its windows of WINDOW
+bucket every class is verified against the bucket's leader by exact Jaccard; then those of a bucket that are
+still in different components are verified against each other, block by block: that loses no component, and
+only links leave a task. A passage that stands inside other paragraphs is found by its windows of WINDOW
 words: of any GUARANTEE words running the window with the smallest hash is kept, so a repeated passage of
 WINDOW + SPREAD - 1 = 50 words or more shares one at least.
 """
@@ -26,6 +26,8 @@ MIN_WORDS = 50
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
 WINDOW, SPREAD = 32, 19
+#: Buckets of up to SMALL classes are compared by a join, larger ones in blocks.
+SMALL, BLOCK = 16, 128
 BASE = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(20)
 MULTIPLY = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -134,8 +136,12 @@ def paragraph_components(docs: DataFrame, paragraphs: DataFrame, similarity: flo
     rep = F.min(F.struct("doc_id", "_k", "start")).alias("rep")
     classes = stored(paragraphs.groupBy("digest").agg(F.count("*").alias("n"), rep, F.first("bands").alias("bands")), "classes")
     keyed = classes.select("digest", "n", F.explode("bands").alias("key"))
-    leaders = keyed.groupBy("key").agg(F.max(F.struct("n", "digest")).alias("l"), F.count("*").alias("c")).where("c > 1").select("key", F.col("l.digest").alias("leader"))
-    members = stored(keyed.join(leaders, "key").select("key", "digest", "leader"), "members")
+    several = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    keyed = stored(keyed.join(several, "key"), "buckets")
+    # The leader is the class that meets most others: of near copies, the one they were made from.
+    met = keyed.groupBy("digest").agg(F.sum("c").alias("met"))
+    leaders = keyed.join(met, "digest").groupBy("key").agg(F.max(F.struct("met", "n", "digest")).alias("l")).select("key", F.col("l.digest").alias("leader"))
+    members = stored(keyed.join(leaders, "key").select("key", "digest", "leader", "c"), "members")
 
     wanted = classes.join(members.select("digest").distinct(), "digest", "left_semi").select("digest", "rep.*")
     wanted = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("_k").alias("_key")).agg(F.collect_list("start").alias("starts"), F.collect_list("digest").alias("ids"))  # of one text
@@ -145,12 +151,62 @@ def paragraph_components(docs: DataFrame, paragraphs: DataFrame, similarity: flo
 
     stars = stored(_verified(members.where("digest <> leader").select(F.col("digest").alias("a"), F.col("leader").alias("b")).distinct(), sets, similarity), "stars")
     labels = connected_components(stars)
-    placed = members.join(labels.withColumnRenamed("v", "digest"), "digest", "left").select("key", "digest", "leader", F.coalesce("component", "digest").alias("component"))
+    placed = members.join(labels.withColumnRenamed("v", "digest"), "digest", "left").select("key", "digest", "c", F.coalesce("component", "digest").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    placed = stored(placed.join(mixed, "key", "left_semi"), "placed")
-    left, right = placed.where("digest <> leader").toDF("key", "a", "l", "ca"), placed.where("digest <> leader").select("key", F.col("digest").alias("b"), F.col("component").alias("cb"))
-    rest = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    return connected_components(stars.union(_verified(rest, sets, similarity))).withColumnRenamed("v", "digest")
+    return connected_components(stars.union(_across(placed.join(mixed, "key", "left_semi"), sets, similarity))).withColumnRenamed("v", "digest")
+
+
+def _across(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between different components of a bucket: enough of them to join all that are linked.
+
+    The pairs of a small bucket are no more than SMALL / 2 times its members. A large one's members are dealt
+    to blocks of about BLOCK, and each two blocks are compared in one task, by matrix products of what their
+    sets share; only links leave it.
+    """
+    placed = stored(placed, "placed")
+    few = placed.where(F.col("c") <= SMALL)
+    left, right = few.select("key", F.col("digest").alias("a"), F.col("component").alias("ca")), few.select("key", F.col("digest").alias("b"), F.col("component").alias("cb"))
+    pairs = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    rows = placed.where(F.col("c") > SMALL).join(sets, "digest").withColumn("block", F.pmod(F.xxhash64("digest"), blocks).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_o"))
+    rows = rows.select("key", F.least("block", "_o").alias("low"), F.greatest("block", "_o").alias("high"), "block", "digest", "component", "s")
+
+    def links(part: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if part["component"].nunique() > 1:
+            low, high = part["low"].iloc[0], part["high"].iloc[0]
+            first, second = (part[part["block"] == b] for b in (low, high))
+            sizes = [np.array([len(x) for x in t["s"]]) for t in (first, second)]
+            shared = common_counts(list(first["s"]), list(second["s"]))
+            close = shared >= similarity * (sizes[0][:, None] + sizes[1][None, :] - shared)
+            close &= first["component"].to_numpy()[:, None] != second["component"].to_numpy()[None, :]
+            one_each = {}
+            for i, j in zip(*np.nonzero(close)):
+                one_each[first["component"].iat[i], second["component"].iat[j]] = first["digest"].iat[i], second["digest"].iat[j]
+            found = list(one_each.values())
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return _verified(pairs, sets, similarity).union(rows.groupBy("key", "low", "high").applyInPandas(links, "a long, b long"))
+
+
+def common_counts(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets share; in slices of elements, so memory is bounded by the blocks."""
+    owners = [np.repeat(np.arange(len(t)), [len(x) for x in t]) for t in (first, second)]
+    values = [np.concatenate(t) if t else np.zeros(0, np.int64) for t in (first, second)]
+    both = np.intersect1d(*values)
+    counts = np.zeros((len(first), len(second)), np.float32)
+    places = [np.searchsorted(both, v) for v in values]
+    for at in range(0, len(both), 1 << 14):
+        sides = []
+        for n, (v, p, o) in enumerate(zip(values, places, owners)):
+            inside = (p >= at) & (p < min(at + (1 << 14), len(both)))
+            inside[inside] = both[p[inside]] == v[inside]
+            side = np.zeros(((len(first), len(second))[n], 1 << 14), np.float32)
+            side[o[inside], p[inside] - at] = 1
+            sides.append(side)
+        counts += sides[0] @ sides[1].T
+    return counts
 
 
 def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -88,6 +88,19 @@ def test_embedded_passages(spark):
     assert all(left[i] == docs[i][1] for i in range(60, 90))
 
 
+def test_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 3)
+    monkeypatch.setattr(S, "SMALL", 2)
+    test_chain_and_group(spark)
+
+
+def test_common_counts():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60_000, n)) for n in (0, 5, 20_000, 30_000, 1)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert S.common_counts(sets, sets).tolist() == want
+
+
 def test_winnow_guarantee():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 50, 500).astype(np.uint64)
