@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and has no more rows than this (narrow rows).
 BROADCAST_ROWS = 1_000_000
+#: Edges that one task contracts; more of them are shuffled.
+TASK_EDGES = 200_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -104,12 +106,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     maps: list[DataFrame] = []
-    while not edges.isEmpty():
-        seed = F.lit(len(maps))
+    while rows := edges.count():
+        # Few edges need few tasks: a table that was counted as small isn't dealt over all shuffle partitions.
+        dealt = (lambda df: df.coalesce(1)) if rows <= TASK_EDGES else (lambda df: df)
+        edges, seed = dealt(edges), F.lit(len(maps))
         rank = lambda c: F.struct(F.xxhash64(seed, c).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
-        both = edges.union(edges.select("b", "a"))
+        both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         step = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("v"), F.least("m", rank("a"))["v"].alias("to"))
-        maps.append(step := stored(step, "contraction"))
+        maps.append(step := dealt(stored(step, "contraction")))
         to_a, to_b = step.toDF("a", "ta"), step.toDF("b", "tb")
         moved = edges.join(to_a, "a").join(to_b, "b").where("ta <> tb")
         edges = stored(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
