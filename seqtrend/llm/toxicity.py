@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, tree
     lexicon = mine_lexicon(grow)
     rows = stored(with_features(sample, lexicon).select("grow", F.col("toxic").cast("double").alias("label"), "features"), "features")
     rows = rows.withColumn("vector", array_to_vector("features"))
-    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, maxBins=64, seed=3, cacheNodeIds=False).fit(rows.where("grow"))
+    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, maxBins=64, seed=3, cacheNodeIds=False).fit(rows.where("grow").coalesce(1))  # at most sample_rows short rows; one order of sums
     checked = model.transform(rows.where("not grow")).select(vector_to_array("probability")[1].alias("p"), "label").collect()  # a quarter of the sample
     return Model(lexicon, model, isotonic([(r.p, int(r.label)) for r in checked]), t / n)
 
