@@ -116,8 +116,13 @@ def simhash_groups(docs: DataFrame, max_bits: int = 2) -> DataFrame:
     """
     rows = stored(fingerprints(docs), "fingerprints")
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    labels = connected_components(linked_prints(prints.select("fp"), max_bits))
-    linked = prints.join(labels.withColumnRenamed("v", "fp"), "fp")
+    return grouped(rows, connected_components(linked_prints(prints.select("fp"), max_bits)).withColumnRenamed("v", "fp"), prints)
+
+
+def grouped(rows: DataFrame, labels: DataFrame, prints: DataFrame | None = None) -> DataFrame:
+    """``rows`` (doc_id, _k, fp) with the smallest doc_id of the component of their fp; ``labels``: (fp, component)."""
+    prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints") if prints is None else prints
+    linked = prints.join(labels, "fp")
     lowest = linked.groupBy("component").agg(F.min("first").alias("lowest"))
     linked = linked.join(lowest, "component").select("fp", "lowest")
     groups = prints.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
@@ -129,7 +134,12 @@ def keep_one_per_group(docs: DataFrame, max_bits: int = 2) -> DataFrame:
 
     In a group of only null ids the row of the smallest key stays.
     """
-    groups = stored(simhash_groups(docs, max_bits), "groups")
+    return keep_first(docs, simhash_groups(docs, max_bits))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with one row of each of the ``groups`` (doc_id, _k, fp, component_id)."""
+    groups = stored(groups, "groups")
     nameless = groups.where("component_id is null").groupBy("fp").agg(F.min("_k").alias("_k"))
     stays = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.min("_k").alias("_k"), F.count("*").alias("n"))
     keys = stays.select("doc_id", "_k").union(nameless.select(F.lit(None).cast("long"), "_k"))

@@ -131,8 +131,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return sized.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def paragraph_components(docs: DataFrame, paragraphs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(digest, component) of every class of paragraphs that a similar other class exists for."""
+def paragraph_components(docs: DataFrame, paragraphs: DataFrame, similarity: float = SIMILARITY, shingler=_paragraph_shingles) -> DataFrame:
+    """(digest, component) of every class of paragraphs that a similar other class exists for.
+
+    ``shingler`` makes (digest, s) of batches of text, starts and ids, the places and digests of its paragraphs.
+    """
     rep = F.min(F.struct("doc_id", "_k", "start")).alias("rep")
     classes = stored(paragraphs.groupBy("digest").agg(F.count("*").alias("n"), rep, F.first("bands").alias("bands")), "classes")
     keyed = classes.select("digest", "n", F.explode("bands").alias("key"))
@@ -146,7 +149,7 @@ def paragraph_components(docs: DataFrame, paragraphs: DataFrame, similarity: flo
     wanted = classes.join(members.select("digest").distinct(), "digest", "left_semi").select("digest", "rep.*")
     wanted = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("_k").alias("_key")).agg(F.collect_list("start").alias("starts"), F.collect_list("digest").alias("ids"))  # of one text
     texts = docs.select("doc_id", "text").join(small(wanted), (row_key() == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    sets = texts.dropDuplicates(["doc_id", "_key"]).select("text", "starts", "ids").mapInPandas(_paragraph_shingles, "digest long, s array<long>")
+    sets = texts.dropDuplicates(["doc_id", "_key"]).select("text", "starts", "ids").mapInPandas(shingler, "digest long, s array<long>")
     sets = stored(sets, "shingles")
 
     stars = stored(_verified(members.where("digest <> leader").select(F.col("digest").alias("a"), F.col("leader").alias("b")).distinct(), sets, similarity), "stars")
