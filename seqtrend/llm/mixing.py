@@ -17,7 +17,8 @@ from seqtrend.llm.common import small, stored
 DIMENSIONS = ("source", "lang", "topic")
 #: Targets: the share of each value to this power. 1 keeps a marginal, 0 evens it out.
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 1.0}
-KEEP_SHARE = 0.5
+#: Share of all tokens to draw; 1 stands for as many as the targets allow, and for LEAST_SHARE where rare cells allow less.
+KEEP_SHARE, LEAST_SHARE = 0.5, 0.5
 TOLERANCE, SWEEPS = 1e-6, 40
 TASK_CELLS = 100_000
 
@@ -54,14 +55,18 @@ def targets(table: DataFrame, powers: dict[str, float] = POWERS) -> dict[str, Da
     return out
 
 
-def rake(table: DataFrame, goals: dict[str, DataFrame], tolerance: float = TOLERANCE, sweeps: int = SWEEPS, task_cells: int = TASK_CELLS) -> DataFrame:
+def rake(table: DataFrame, goals: dict[str, DataFrame], tolerance: float = TOLERANCE, sweeps: int = SWEEPS, task_cells: int = TASK_CELLS, keep_share: float = 0.0) -> DataFrame:
     """The cells with ``weight``, fitted so that its sums meet the goals; 0 for cells without tokens or goal.
 
-    Ends when no factor of a sweep is further than ``tolerance`` from 1, or after ``sweeps``. A table that
+    With a ``keep_share``, weights are shares of that part of all tokens, and none exceeds its cell's tokens:
+    a value with fewer tokens than its goal gets all it has, the others of its dimension share the rest in
+    proportion to their goals, and cells below their bound are fitted to that.
+
+    Ends when no sum of a sweep is further than ``tolerance`` from its goal, or after ``sweeps``. A table that
     was counted to have at most ``task_cells`` cells is fitted in one task; a larger one by joins, sweep by sweep.
     """
     if table.limit(task_cells + 1).count() > task_cells:
-        return _rake_by_joins(table, goals, tolerance, sweeps)
+        return _rake_by_joins(table, goals, tolerance, sweeps, keep_share)
     rows = table
     for d in DIMENSIONS:
         rows = rows.join(goals[d].withColumnRenamed("target", f"goal_{d}"), d, "left")
@@ -69,48 +74,107 @@ def rake(table: DataFrame, goals: dict[str, DataFrame], tolerance: float = TOLER
     def fit(cells: pd.DataFrame) -> pd.DataFrame:
         weight = cells["tokens"].to_numpy(float)
         weight = weight / (weight.sum() or 1.0)
-        codes = {d: np.unique(cells[d].to_numpy(str), return_inverse=True)[1].ravel() for d in DIMENSIONS}
-        wanted = {d: cells[f"goal_{d}"].fillna(0.0).to_numpy(float) for d in DIMENSIONS}
+        bound = weight / keep_share if keep_share else np.full(len(weight), np.inf)
+        codes, wanted = {}, {}
+        for d in DIMENSIONS:
+            first, codes[d] = np.unique(cells[d].to_numpy(str), return_index=True, return_inverse=True)[1:]
+            codes[d] = codes[d].ravel()
+            wanted[d] = attainable(cells[f"goal_{d}"].fillna(0.0).to_numpy(float)[first], np.bincount(codes[d], bound))
         for _ in range(sweeps):
             off = 0.0
             for d in DIMENSIONS:
-                now = np.bincount(codes[d], weight)[codes[d]]
-                factor = np.divide(wanted[d], now, out=np.zeros_like(now), where=now > 0)
-                weight = weight * factor
-                off = max([off, *np.abs(factor[factor > 0] - 1)])
+                full = weight >= bound
+                now, free, held = (np.bincount(codes[d], x) for x in (weight, np.where(full, 0, weight), np.where(full & (bound < np.inf), bound, 0)))
+                met = held + free
+                # A Newton step: what full cells hold stays, the others make up the rest.
+                step = np.divide(wanted[d] - held, free, out=np.zeros_like(now), where=free > 0)
+                plain = np.divide(wanted[d], now, out=np.zeros_like(now), where=now > 0)
+                close = np.abs(wanted[d] - met) <= 1e-12 * met
+                weight = weight * np.where(close, 1.0, np.where(step > 0, step, plain))[codes[d]]
+                off = max([off, *np.abs(wanted[d][met > 0] / met[met > 0] - 1)])
             if off <= tolerance:
                 break
-        return cells[[*DIMENSIONS, "tokens", "docs"]].assign(weight=weight)
+        return cells[[*DIMENSIONS, "tokens", "docs"]].assign(weight=np.minimum(weight, bound))
 
     schema = "source string, lang string, topic string, tokens long, docs long, weight double"
     return stored(rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit, schema), "cells")
 
 
-def _rake_by_joins(table: DataFrame, goals: dict[str, DataFrame], tolerance: float, sweeps: int) -> DataFrame:
-    total = table.agg(F.sum("tokens").cast("double").alias("all"))
-    fitted = stored(table.join(F.broadcast(total)).withColumn("weight", F.coalesce(F.col("tokens") / F.nullif("all", F.lit(0.0)), F.lit(0.0))).drop("all"), "cells")
+def attainable(goal: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The goals, none above its room; what is missed there is shared by the others in proportion to their goals."""
+    scale = 1.0
+    while True:
+        over = goal * scale >= room
+        rest, free = 1 - room[over].sum(), goal[~over].sum()
+        if not over.any() or free <= 0 or rest / free <= scale * (1 + 1e-12):
+            return np.minimum(goal * scale, room)
+        scale = rest / free
+
+
+def _attainable_rows(table: DataFrame, goals: DataFrame, d: str, total: float, keep_share: float) -> DataFrame:
+    """``attainable`` where the values of a dimension aren't gathered: one sum over them a step."""
+    rows = stored(goals.join(table.groupBy(d).agg((F.sum("tokens") / (total * keep_share)).alias("room")), d), "rooms")
+    scale = 1.0
+    while True:
+        over = F.col("target") * scale >= F.col("room")
+        held, free = rows.agg(F.sum(F.when(over, F.col("room"))), F.sum(F.when(~over, F.col("target")))).first()
+        if held is None or not free or (1 - held) / free <= scale * (1 + 1e-12):
+            return rows.select(d, F.least(F.col("target") * scale, "room").alias("target"))
+        scale = (1 - held) / free
+
+
+def _rake_by_joins(table: DataFrame, goals: dict[str, DataFrame], tolerance: float, sweeps: int, keep_share: float = 0.0) -> DataFrame:
+    total = float(table.agg(F.sum("tokens")).first()[0] or 0) or 1.0
+    bound = F.col("tokens") / (total * keep_share) if keep_share else F.lit(float("inf"))
+    fitted = stored(table.withColumn("weight", F.col("tokens") / total), "cells")
+    if keep_share:
+        goals = {d: stored(_attainable_rows(table, goals[d], d, total, keep_share), "target") for d in DIMENSIONS}
     for _ in range(sweeps):
         fitted = fitted.withColumn("off", F.lit(0.0))
         for d in DIMENSIONS:
-            factor = fitted.groupBy(d).agg(F.sum("weight").alias("now")).join(goals[d], d, "left")
-            factor = factor.select(d, F.when(F.col("now") > 0, F.coalesce("target", F.lit(0.0)) / F.col("now")).otherwise(0.0).alias("f"))
-            off = F.when(F.col("f") > 0, F.abs(F.col("f") - 1)).otherwise(0.0)
-            fitted = fitted.join(factor, d).withColumn("weight", F.col("weight") * F.col("f")).withColumn("off", F.greatest("off", off)).drop("f")
+            full = F.col("weight") >= bound
+            part = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+            sums = fitted.groupBy(d).agg(F.sum("weight").alias("now"), part(F.when(~full, F.col("weight"))).alias("free"), part(F.when(full, bound)).alias("held")).join(goals[d], d, "left")
+            sums = sums.withColumn("target", F.coalesce("target", F.lit(0.0))).withColumn("met", F.col("held") + F.col("free"))
+            step = F.when((F.col("free") > 0) & (F.col("target") > F.col("held")), (F.col("target") - F.col("held")) / F.col("free"))
+            plain = F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0)
+            close = F.abs(F.col("target") - F.col("met")) <= 1e-12 * F.col("met")
+            off = F.when(F.col("met") > 0, F.abs(F.col("target") / F.col("met") - 1)).otherwise(0.0)
+            factor = sums.select(d, F.when(close, 1.0).otherwise(F.coalesce(step, plain)).alias("f"), off.alias("_off"))
+            fitted = fitted.join(factor, d).withColumn("weight", F.col("weight") * F.col("f")).withColumn("off", F.greatest("off", "_off")).drop("f", "_off")
         fitted = stored(fitted, "cells")
         if (fitted.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
-    return fitted.drop("off")
+    return fitted.drop("off").withColumn("weight", F.least("weight", bound))
 
 
-def probabilities(fitted: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """The cells with ``probability``: proportional to weight / tokens, ``keep_share`` of all tokens in expectation.
+def probabilities(table: DataFrame, goals: dict[str, DataFrame], keep_share: float = KEEP_SHARE, task_cells: int = TASK_CELLS) -> DataFrame:
+    """The raked cells with ``probability``: proportional to weight / tokens, in expectation a share of all tokens.
 
-    No probability exceeds 1: if the share asks for more, all are scaled down, so the mix stays exact.
+    The share is ``keep_share``; where that is 1, the largest at which every target is met exactly, or
+    LEAST_SHARE if rare cells would make it less than that. Where a cell's tokens don't suffice for the share,
+    its probability is 1 and the other cells are raked to what remains of the targets.
     """
-    ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
-    scale = fitted.agg(F.sum("tokens").alias("all"), F.max(ratio).alias("top"))
-    scale = scale.select(F.least(F.col("all") * keep_share, 1 / F.col("top")).alias("scale"))
-    return fitted.join(F.broadcast(scale)).withColumn("probability", F.least(F.lit(1.0), F.coalesce(ratio * F.col("scale"), F.lit(1.0)))).drop("scale")
+    fitted = rake(table, goals, task_cells=task_cells)
+    total, top = fitted.agg(F.sum("tokens"), F.max(F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))).first()
+    exact = 1 / (total * top) if top else 1.0
+    share = keep_share if keep_share < 1 else max(exact, LEAST_SHARE)
+    if share > exact:
+        fitted = rake(table, goals, task_cells=task_cells, keep_share=share)
+    drawn = F.col("weight") / F.col("tokens") * float((total or 0) * share)
+    return fitted.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), drawn)).otherwise(1.0))
+
+
+def reached(fitted: DataFrame, goals: dict[str, DataFrame]) -> DataFrame:
+    """(dimension, value, target, share): of every target, what share of the drawn tokens its value has in expectation."""
+    drawn = F.col("tokens") * F.col("probability")
+    total = fitted.agg(F.sum(drawn).alias("all"))  # one row
+    out = None
+    for d in DIMENSIONS:
+        sums = fitted.groupBy(d).agg(F.sum(drawn).alias("t")).join(goals[d], d).join(F.broadcast(total))
+        rows = sums.select(F.lit(d).alias("dimension"), F.col(d).alias("value"), "target", (F.col("t") / F.col("all")).alias("share"))
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 def uniform(seed: int) -> Column:
@@ -125,7 +189,7 @@ def calibrated(docs: DataFrame, powers: dict[str, float] = POWERS, keep_share: f
     one id and text are drawn together. An empty table stays empty.
     """
     table = stored(cells(docs), "cells")
-    fitted = probabilities(rake(table, targets(table, powers)), keep_share)
+    fitted = probabilities(table, targets(table, powers), keep_share)
     fitted = stored(fitted.select(*[F.col(c).alias(f"_llm_{c}") for c in DIMENSIONS], F.col("probability").alias("_llm_probability"), F.col("weight").alias("_llm_weight")), "probabilities")
     fitted = small(fitted.withColumnRenamed("_llm_topic", "_llm_kind"))
     rows = docs.withColumn("_llm_topic", topic())
