@@ -18,7 +18,7 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Targets: the share of each value to this power. 1 keeps a marginal, 0 evens it out.
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 1.0}
 #: Share of all tokens to draw; 1 stands for as many as the targets allow, and for LEAST_SHARE where rare cells allow less.
-KEEP_SHARE, LEAST_SHARE = 0.5, 0.5
+KEEP_SHARE, LEAST_SHARE = 1.0, 0.5
 TOLERANCE, SWEEPS = 1e-6, 40
 TASK_CELLS = 100_000
 

@@ -35,3 +35,11 @@ def test_both_ways_agree_with_bounds(spark):
     one, other = ({(r.source, r.lang, r.topic): r.probability for r in S.probabilities(table, goals, 0.6, task_cells=n).collect()} for n in (10_000, 0))
     assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-6 for k in one)
     assert one["", "l0", "prose"] == 1 and one["s0", "l0", "notice"] == 1
+
+
+def test_default_keeps_as_many_tokens_as_the_targets_allow(spark):
+    table = cell_table(spark).where("source <> ''")
+    goals = S.targets(table)
+    fitted = S.probabilities(table, goals)
+    assert kept(fitted) > 0.55 and abs(max(r.probability for r in fitted.where("tokens > 0").collect()) - 1) < 1e-9
+    assert all(abs(r.share - r.target) < 1e-5 for r in S.reached(fitted, goals).collect())
