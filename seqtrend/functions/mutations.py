@@ -133,8 +133,11 @@ def spans(m: str) -> list[tuple[int, int]]:
     return [(max(0, a), b) for a, b in out]
 
 
-def _gotoh(ref: str, seq: str, gap_open: float = -4.0, gap_extend: float = -0.1) -> tuple[float, str]:
-    """Score and steps (M, D, I) of a global alignment: match 1, mismatch -1, affine gaps. By anti-diagonals."""
+def _gotoh(ref: str, seq: str, band: int, gap_open: float = -4.0, gap_extend: float = -0.1) -> tuple[float, str]:
+    """Score and steps (M, D, I) of a global alignment inside a band: match 1, mismatch -1, affine gaps.
+
+    By anti-diagonals; cells further than ``band`` from the main diagonal are left out.
+    """
     n, m = len(ref), len(seq)
     a, b = np.frombuffer(ref.encode("utf-32-le"), "<u4"), np.frombuffer(seq.encode("utf-32-le"), "<u4")
     low = -1e18
@@ -143,7 +146,7 @@ def _gotoh(ref: str, seq: str, gap_open: float = -4.0, gap_extend: float = -0.1)
     score[1, 1:, 0] = gap_open + gap_extend * np.arange(n)
     score[2, 0, 1:] = gap_open + gap_extend * np.arange(m)
     for d in range(2, n + m + 1):
-        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        i = np.arange(max(1, d - m, (d - band) // 2), min(n, d - 1, (d + band) // 2) + 1)
         j = d - i
         score[0, i, j] = score[:, i - 1, j - 1].max(axis=0) + np.where(a[i - 1] == b[j - 1], 1.0, -1.0)
         score[1, i, j] = np.maximum(np.maximum(score[0, i - 1, j], score[2, i - 1, j]) + gap_open, score[1, i - 1, j] + gap_extend)
@@ -162,12 +165,37 @@ def _gotoh(ref: str, seq: str, gap_open: float = -4.0, gap_extend: float = -0.1)
     return total, "".join(reversed(steps))
 
 
+def global_alignment(ref: str, seq: str) -> tuple[float, str]:
+    """Score and steps of a best global alignment.
+
+    Equal ends are paired first, which loses no score where a match counts more than a gap. The middle is
+    aligned in a band that doubles until no path that leaves it could score as much.
+    """
+    n, m = len(ref), len(seq)
+    tail = 0
+    while tail < min(n, m) and ref[n - 1 - tail] == seq[m - 1 - tail]:
+        tail += 1
+    head = 0
+    while head < min(n, m) - tail and ref[head] == seq[head]:
+        head += 1
+    a, b = ref[head : n - tail], seq[head : m - tail]
+    band = abs(len(a) - len(b)) + 16
+    while True:
+        score, steps = _gotoh(a, b, band)
+        # Beyond the band a path has gaps of over (band + difference) / 2 letters one way, and so fewer pairs.
+        gaps = (band + abs(len(a) - len(b))) // 2
+        if band >= max(len(a), len(b)) or score >= max(0, min(len(a), len(b)) - gaps) - 8.0:
+            break
+        band *= 2
+    return score + head + tail, "M" * head + steps + "M" * tail
+
+
 def aligned(ref: str, seq: str, merge_insertions: bool = True) -> str:
     """The mutations that turn ``ref`` into ``seq``, by a global alignment."""
     if ref == seq:
         return ""
     out, i, j = [], 0, 0
-    for step in _gotoh(ref, seq)[1]:
+    for step in global_alignment(ref, seq)[1]:
         if step == "M":
             if ref[i] != seq[j]:
                 out.append(f"{ref[i]}{i + 1}{seq[j]}")
@@ -176,7 +204,7 @@ def aligned(ref: str, seq: str, merge_insertions: bool = True) -> str:
             out.append(f"{ref[i]}{i + 1}del")
             i += 1
         else:
-            if merge_insertions and out and out[-1].startswith(f"ins{i}") and re.fullmatch(rf"ins{i}[A-Za-z]+", out[-1]):
+            if merge_insertions and out and re.fullmatch(rf"ins{i}[A-Za-z]+", out[-1]):
                 out[-1] += seq[j]
             else:
                 out.append(f"ins{i}{seq[j]}")
@@ -205,22 +233,18 @@ def unit_distance(m0: str, m1: str) -> int:
 
 
 def _mapped(df: DataFrame, keys: list[str], out: str, kind: str, f) -> DataFrame:
-    """``df`` with ``out`` = f(keys), computed once per distinct key."""
-
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for cols in batches:
-            cols = (cols,) if isinstance(cols, pd.Series) else cols
-            yield pd.Series([None if any(v is None for v in values) else f(*values) for values in zip(*cols)], dtype=object)
+    """``df`` with ``out`` = f(keys), computed once per distinct key.
 
-    if len(keys) == 1:
+    The function counts as non-deterministic, so the optimizer neither infers filters from it nor moves it
+    below the distinct, where it would run on every row.
+    """
 
-        @F.pandas_udf(kind)
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:  # noqa: F811
-            for col in batches:
-                yield pd.Series([None if v is None else f(v) for v in col], dtype=object)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([None if any(v is None for v in values) else f(*values) for values in batch.itertuples(index=False)], dtype=object)
 
-    table = df.select(*keys).distinct().withColumn(out, run(*keys))
+    udf = F.pandas_udf(run, kind).asNondeterministic()
+    table = df.select(*keys).distinct().withColumn(out, udf(F.struct(*keys)))
     return df.join(table, keys, "left")
 
 

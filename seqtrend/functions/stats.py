@@ -7,19 +7,20 @@ import math
 import numpy as np
 
 
-def log_factorials(n: int) -> np.ndarray:
-    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
-
-
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
-    """Two-sided p of the table [[a, b], [c, d]]: the sum of all tables no likelier than it."""
+    """Two-sided p of the table [[a, b], [c, d]]: the sum of all tables no likelier than it.
+
+    Logarithms of neighbouring tables differ by four terms, so only the first one needs factorials.
+    """
     if min(a + b, c + d, a + c, b + d) == 0:
         return 1.0
-    f = log_factorials(a + b + c + d)
     rows, cols, n = (a + b, c + d), (a + c, b + d), a + b + c + d
-    x = np.arange(max(0, cols[0] - rows[1]), min(rows[0], cols[0]) + 1)
-    logs = f[rows[0]] + f[rows[1]] + f[cols[0]] + f[cols[1]] - f[n] - f[x] - f[rows[0] - x] - f[cols[0] - x] - f[rows[1] - cols[0] + x]
-    here = logs[a - x[0]]
+    x = np.arange(max(0, cols[0] - rows[1]), min(rows[0], cols[0]) + 1, dtype=float)
+    f = lambda k: math.lgamma(k + 1)
+    first = f(rows[0]) + f(rows[1]) + f(cols[0]) + f(cols[1]) - f(n) - f(x[0]) - f(rows[0] - x[0]) - f(cols[0] - x[0]) - f(rows[1] - cols[0] + x[0])
+    steps = np.log(rows[0] - x[:-1]) + np.log(cols[0] - x[:-1]) - np.log(x[:-1] + 1) - np.log(rows[1] - cols[0] + x[:-1] + 1)
+    logs = first + np.concatenate([[0.0], np.cumsum(steps)])
+    here = logs[int(a - x[0])]
     return float(min(1.0, np.exp(logs[logs <= here + 1e-7]).sum()))
 
 

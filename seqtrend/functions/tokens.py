@@ -55,10 +55,15 @@ def pool_form(ids: Column | str, max_len: int, split_token: Column | None = None
     ids = _col(ids)
     if split_token is not None:
         ids = F.concat(F.slice(ids, 1, 1), F.array(split_token), F.slice(ids, F.lit(2), F.greatest(F.size(ids), F.lit(1))))
-    held = F.concat(F.slice(ids, 1, max_len), F.array_repeat(F.lit(0), F.greatest(F.lit(max_len) - F.size(ids), F.lit(0))))
-    end = F.array_position(held, F.lit(SEP)).cast("int")
-    mask = F.transform(held, lambda _, i: F.when(i < end, 1).otherwise(0))
-    return F.when(end > 0, F.struct(held.alias("input_ids"), mask.alias("attention_mask")))
+    filled = F.slice(F.concat(F.slice(ids, 1, max_len), F.array_repeat(F.lit(0), max_len)), 1, max_len)
+
+    def masked(held: Column) -> Column:
+        end = F.array_position(held, F.lit(SEP)).cast("int")
+        mask = F.concat(F.array_repeat(F.lit(1), end), F.array_repeat(F.lit(0), F.lit(max_len) - end))
+        return F.when(end > 0, F.struct(held.alias("input_ids"), mask.alias("attention_mask")))
+
+    # An array of one: the ids are made once.
+    return F.element_at(F.transform(F.array(filled), masked), 1)
 
 
 def chunk_sequence(df: DataFrame, max_len: int, seq: str = "seq") -> DataFrame:

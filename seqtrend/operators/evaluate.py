@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,16 +13,24 @@ from seqtrend.functions.stats import t_quantile
 from seqtrend.functions.tokens import discretise
 from seqtrend.operators.broadcasts import if_small
 from seqtrend.operators.matching import match_known
-from seqtrend.operators.ranks import global_rank
+from seqtrend.operators.ranks import above_cuts, balanced_cuts
 from seqtrend.operators.series import first_seen
+from seqtrend.sources.scratch import stored
 
 SALIENT = 10
+PIECE = 256
 
 
 def kmers(df: DataFrame, k: int, *keys: str, seq: str = "seq") -> DataFrame:
-    """(keys, kmer): one row per place. Keys are few bytes: a whole sequence would be copied to each of its k-mers."""
-    places = F.sequence(F.lit(1), F.length(seq) - k + 1)
-    return df.where(F.length(seq) >= k).select(*keys, F.explode(F.transform(places, lambda i: F.substring(F.col(seq), i, F.lit(k)))).alias("kmer"))
+    """(keys, kmer): one row per place. Keys are few bytes: a whole sequence would be copied to each of its k-mers.
+
+    A sequence is cut into overlapping pieces first: a place is counted from the begin of its text, so the work
+    stays in proportion to the length.
+    """
+    piece = F.transform(F.sequence(F.lit(0), F.floor((F.length(seq) - k) / PIECE).cast("int")), lambda i: F.substring(F.col(seq), i * PIECE + 1, F.lit(PIECE + k - 1)))
+    pieces = df.where(F.length(seq) >= k).select(*keys, F.explode(piece).alias("_piece"))
+    places = F.sequence(F.lit(1), F.length("_piece") - k + 1)
+    return pieces.select(*keys, F.explode(F.transform(places, lambda i: F.substring(F.col("_piece"), i, F.lit(k)))).alias("kmer"))
 
 
 def kmer_novelty(samples: DataFrame, known: DataFrame, k: int = 11) -> DataFrame:
@@ -30,7 +39,7 @@ def kmer_novelty(samples: DataFrame, known: DataFrame, k: int = 11) -> DataFrame
     The known k-mers are broadcast if they were counted as few, so that no k-mer of a sample is shuffled;
     else both sides meet by k-mer. Samples go by the MD5 of their sequence.
     """
-    distinct = samples.select("seq").distinct().withColumn("_id", F.unhex(F.md5(F.col("seq").cast("binary"))))
+    distinct = stored(samples.select("seq").distinct().withColumn("_id", F.unhex(F.md5(F.col("seq").cast("binary")))), "sequences")
     seen = if_small(kmers(known.select("seq").distinct(), k).distinct())
     fresh = kmers(distinct, k, "_id").join(seen, "kmer", "left_anti").groupBy("_id").agg(F.count("*").alias("novelty"))
     return distinct.join(fresh, "_id", "left").select("seq", F.coalesce("novelty", F.lit(0)).alias("novelty"))
@@ -129,18 +138,24 @@ def discovery_curve(best: DataFrame, new: DataFrame, known: DataFrame) -> DataFr
 
 
 def mean_ci(stats: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, mean, err, n): mean and half width of its 95 % t-interval; null for one run, 0 without spread."""
+    """(by, mean, err, n): mean and half width of its 95 % t-interval; null for one run, 0 without spread.
+
+    The quantile of t is computed once per distinct number of runs.
+    """
+
+    @F.pandas_udf("double")
+    def quantile(n: pd.Series) -> pd.Series:
+        return n.map(lambda k: t_quantile(0.975, int(k) - 1))
+
     out = stats.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("_s"), F.count(value).alias("n"))
-    degrees = [r[0] for r in out.select("n").distinct().limit(10_000).collect() if r[0] > 1]  # numbers of runs
-    table = {n: t_quantile(0.975, int(n) - 1) for n in degrees}
-    t = F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("n")) if table else F.lit(None).cast("double")
-    return out.withColumn("err", t * F.col("_s") / F.sqrt("n")).drop("_s")
+    table = out.select("n").where("n > 1").distinct().withColumn("_t", quantile.asNondeterministic()("n"))
+    return out.join(table, "n", "left").select(*by, "mean", (F.col("_t") * F.col("_s") / F.sqrt("n")).alias("err"), "n")
 
 
 def mean_ci_by_place(curves: DataFrame, by: list[str], value: str, run: str = "run", place: str = "place") -> DataFrame:
     """mean_ci per place of rank- or week-indexed lists, as far as the shortest run of the group goes."""
     lengths = curves.groupBy(*by, run).agg(F.max(place).alias("_n")).groupBy(*by).agg(F.min("_n").alias("_short"))
-    return mean_ci(curves.join(F.broadcast(lengths), by).where(F.col(place) <= F.col("_short")), [*by, place], value)
+    return mean_ci(curves.join(if_small(lengths), by).where(F.col(place) <= F.col("_short")), [*by, place], value)
 
 
 def period_stats(samples: DataFrame, cutoff: str, n_periods: int, period: int = 7, cumulative: bool = False) -> DataFrame:
@@ -173,7 +188,7 @@ def weekly_recall(samples: DataFrame, obs: DataFrame, cutoff: str, n_weeks: int,
     every = variants.groupBy("week").agg(F.count("*").alias("all_found"), F.count_if(F.col("n") >= min_count).alias("all_salient"))
     every = every.join(lineages.groupBy("week").agg(F.count("*").alias("all_lineages")), "week", "full")
     grid = samples.select("run").distinct().select("run", F.explode(F.sequence(F.lit(1), F.lit(n_weeks))).alias("week"))
-    rows = grid.join(hits, ["run", "week"], "left").join(lines, ["run", "week"], "left").join(F.broadcast(every), "week", "left").fillna(0)
+    rows = grid.join(hits, ["run", "week"], "left").join(lines, ["run", "week"], "left").join(F.broadcast(every), "week", "left").fillna(0)  # every: one row a week, n_weeks at most
     along = Window.partitionBy("run").orderBy("week").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ratio = lambda a, b: F.col(a) / F.greatest(F.col(b).cast("double"), F.lit(1e-12))
     return rows.select("run", "week", "found", "salient", "lineages", "all_found", "all_salient", "all_lineages", ratio("salient", "found").alias("salient_fraction"), ratio("found", "all_found").alias("recall"), F.sum("found").over(along).alias("found_so_far"))
@@ -182,11 +197,12 @@ def weekly_recall(samples: DataFrame, obs: DataFrame, cutoff: str, n_weeks: int,
 def roc_auc(scores: DataFrame, truth: DataFrame, cutoff: float = 50, missing: float = -100.0) -> DataFrame:
     """(auc, positives, negatives): positives have a count of ``cutoff`` or more; a missing score is very low.
 
-    Rows are counted per distinct score first, so the running sums go over distinct scores only, in two steps.
+    Rows are counted per distinct score first, so the running sums go over distinct scores only, in two steps:
+    inside groups of scores of about equal size, and over the groups.
     """
     rows = truth.join(scores, "m", "left").select(F.coalesce("score", F.lit(missing)).alias("s"), (F.col("count") >= cutoff).cast("long").alias("y"))
     steps = rows.groupBy("s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    group = F.floor(F.log1p(F.abs("s")) * 64) * F.signum("s")
+    group = above_cuts("s", balanced_cuts(steps, "s"))
     sums = steps.groupBy(group.alias("g")).agg(F.sum("q").alias("gq"))
     before = sums.select("g", F.coalesce(F.sum("gq").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     inside = F.coalesce(F.sum("q").over(Window.partitionBy("g").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -223,13 +239,22 @@ def score_summary(scores: DataFrame) -> DataFrame:
 def quantile_bounds(scores: DataFrame, spec: list[float]) -> DataFrame:
     """(q, low, high): half-open score ranges from low to high; the cut of a share q is the ceil(q n)-th best score.
 
-    Ranks come from counts per score and a two-step running sum, not from a global sort in one task.
+    Rows are counted per score; scores are dealt to groups of about equal size, and only the groups in which a
+    wanted rank falls are summed up score by score.
     """
-    ranked = global_rank(scores.select("score"), -F.round(F.col("score"), 1), [F.desc("score")])
-    total = scores.agg(F.count("*").alias("_n"))
+    steps = scores.where("score is not null").groupBy("score").agg(F.count("*").alias("_c"))
+    steps = steps.withColumn("_g", -above_cuts("score", balanced_cuts(steps, "score")))
+    sizes = steps.groupBy("_g").agg(F.sum("_c").alias("_n"))  # at most 128 rows
+    upto = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_g"))
+    groups = sizes.select("_g", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"))
+    total = sizes.agg(F.sum("_n").alias("_all"))
     wanted = scores.sparkSession.createDataFrame([(i, float(q)) for i, q in enumerate(spec)], "i int, share double")
-    at = wanted.join(F.broadcast(total)).select("i", F.ceil(F.col("share") * F.col("_n")).alias("rn"))
-    cuts = ranked.join(F.broadcast(at), "rn").select("i", "score")
+    at = wanted.join(F.broadcast(total)).select("i", F.ceil(F.col("share") * F.col("_all")).alias("_rn"))
+    at = at.join(F.broadcast(groups), F.col("_rn").between(F.col("_before") + 1, F.col("_upto")))  # one row a share
+    inside = F.sum("_c").over(Window.partitionBy("_g").orderBy(F.desc("score")))
+    held = steps.join(F.broadcast(at.select("_g").distinct()), "_g", "left_semi").withColumn("_in", inside)
+    rn = F.col("_rn") - F.col("_before")
+    cuts = held.join(F.broadcast(at), "_g").where((rn <= F.col("_in")) & (rn > F.col("_in") - F.col("_c"))).select("i", "score")
     ends = cuts.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "score"))), lambda s: s["score"]).alias("c"))  # one value a share
     inf = F.lit(float("inf"))
     bounds = ends.select(F.concat(F.array(inf), "c", F.array(-inf)).alias("b"))

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from seqtrend.functions.mutations import position, tokens
 from seqtrend.functions.rand import rand_key
 from seqtrend.functions.stats import chi2_yates, fisher_exact
+from seqtrend.operators.broadcasts import if_small
+from seqtrend.operators.ranks import random_rank
 from seqtrend.operators.series import count_at
+from seqtrend.sources.scratch import stored
 
 # Brackets [low, high) of the ratio of two counts with the weeks tolerated, lead times, least total.
 BRACKETS = ((0.0, 1e-5, 5), (1e-5, 1e-4, 4), (1e-4, 1e-3, 3), (1e-3, 1e-2, 2), (1e-2, 1e-1, 1), (1e-1, 1.0, 0))
@@ -34,29 +37,37 @@ def week_band_pairs(series: DataFrame, last_week: int, cap: int | None = None, s
 
     A leading variant of ``min_total`` sightings is compared with those first seen within the weeks that its
     total tolerates; with ``cap`` only with that many of them, at random. The weeks of a band are exploded,
-    so the join is an equi-join on the week; what doesn't depend on the partner is filtered before it.
+    so the join is an equi-join on the week; what doesn't depend on the partner is filtered before it. Both
+    are counted as many weeks after their first as the later one has: its total, and the earlier one's count
+    at most the widest tolerance before the end. So only the last few counts go through the join.
     """
-    total = F.element_at("counts", -1)
-    lead = series.where(total >= min_total).select(F.col("m").alias("seq0"), F.col("week").alias("w0"), F.col("counts").alias("c0"), bracket(1 / total, brackets).alias("_t"))
+    widest = max(t for *_, t in brackets)
+    total, tail = F.element_at("counts", -1), F.reverse(F.slice("counts", -(widest + 1), widest + 1))
+    tail = F.when(F.size("counts") > widest, tail).otherwise(F.reverse("counts"))
+    lead = series.where(total >= min_total).select(F.col("m").alias("seq0"), F.col("week").alias("w0"), tail.alias("c0"), bracket(1 / total, brackets).alias("_t"))
     lead = lead.where(F.col("_t").isNotNull() & (last_week - F.col("w0") + 1 >= min_lead))
     lead = lead.withColumn("w1", F.explode(F.sequence(F.greatest(F.lit(0), F.col("w0") - F.col("_t")), F.least(F.lit(last_week), F.col("w0") + F.col("_t")))))
-    partner = series.where(last_week - F.col("week") + 1 >= min_lead).select(F.col("m").alias("seq1"), F.col("week").alias("w1"), F.col("counts").alias("c1"))
+    partner = series.select(F.col("m").alias("seq1"), F.col("week").alias("w1"), tail.alias("c1"))
+    late = last_week - F.col("w1") + 1 >= min_lead
     if cap is not None:
         # Candidates that can't be among a leader's cap smallest keys of its band go before the join: a week's cap smallest suffice.
-        every = series.select(F.col("m").alias("seq1"), F.col("week").alias("w1"), F.col("counts").alias("c1")).withColumn("_key", rand_key(seed, "seq1"))
-        near = every.withColumn("_rn", F.row_number().over(Window.partitionBy("w1").orderBy("_key", "seq1"))).where(F.col("_rn") <= cap).drop("_rn")
+        near = partner.withColumn("_key", rand_key(seed, "seq1"))
+        near = near.withColumn("_rn", F.row_number().over(Window.partitionBy("w1").orderBy("_key", "seq1"))).where(F.col("_rn") <= cap).drop("_rn")
         pairs = lead.join(near, "w1")
-        pairs = pairs.withColumn("_rn", F.row_number().over(Window.partitionBy("seq0").orderBy("_key", "seq1"))).where(F.col("_rn") <= cap)
-        pairs = pairs.where(last_week - F.col("w1") + 1 >= min_lead)
+        pairs = pairs.withColumn("_rn", F.row_number().over(Window.partitionBy("seq0").orderBy("_key", "seq1"))).where((F.col("_rn") <= cap) & late)
     else:
-        pairs = lead.join(partner, "w1")
+        pairs = lead.join(partner.where(late), "w1")
     gap = F.abs(F.col("w1") - F.col("w0"))
-    period = F.least(last_week - F.col("w0") + 1, last_week - F.col("w1") + 1)
-    pairs = pairs.withColumn("period", period.cast("int")).withColumn("count0", count_at("c0", "w0", "period")).withColumn("count1", count_at("c1", "w1", "period"))
-    pairs = pairs.where((F.col("count1") <= F.col("count0")) & (bracket(F.col("count1") / F.col("count0"), brackets) >= gap))
-    pairs = pairs.where((last_week - F.greatest("w0", "w1") + 1) >= LEAD_RATIO * gap)
-    weekly = [F.slice(c, F.col(w) + 1, last_week - F.col(w) + 1).alias(f"weekly_counts{i}") for i, (c, w) in enumerate((("c0", "w0"), ("c1", "w1")))]
-    return pairs.select("seq0", "count0", "seq1", "count1", "period", *(weekly if with_weekly else []))
+    at = lambda c, own, other: F.get(c, F.greatest(F.col(other) - F.col(own), F.lit(0)))
+    pairs = pairs.withColumn("count0", at("c0", "w0", "w1")).withColumn("count1", at("c1", "w1", "w0")).withColumn("period", (last_week - F.greatest("w0", "w1") + 1).cast("int"))
+    pairs = pairs.where((F.col("count1") <= F.col("count0")) & (bracket(F.col("count1") / F.col("count0"), brackets) >= gap) & (F.col("period") >= LEAD_RATIO * gap))
+    pairs = pairs.select("seq0", "count0", "seq1", "count1", "period")
+    if with_weekly:
+        for i in (0, 1):
+            weekly = F.slice("counts", F.col("week") + 1, last_week - F.col("week") + 1)
+            pairs = pairs.join(series.select(F.col("m").alias(f"seq{i}"), weekly.alias(f"weekly_counts{i}")), f"seq{i}")
+        pairs = pairs.select("seq0", "count0", "seq1", "count1", "period", "weekly_counts0", "weekly_counts1")
+    return pairs
 
 
 def combine_regions(a: DataFrame, b: DataFrame, how: str = "intersection") -> DataFrame:
@@ -83,43 +94,58 @@ def assign_to_splits(lists: DataFrame, pairs: DataFrame, n_train: int, n_val: in
     """
     order = F.element_at(F.create_map(F.lit("train"), F.lit(0), F.lit("val"), F.lit(1), F.lit("test"), F.lit(2)), F.col("split"))
     held = pairs.select(F.col("seq0").alias("m"), order.alias("_p")).union(pairs.select("seq1", order)).groupBy("m").agg(F.min("_p").alias("_p"))
-    rows = lists.join(held, "m", "left")
-    new = rows.where("_p is null").withColumn("_rn", F.row_number().over(Window.partitionBy("kind").orderBy(rand_key(seed, "m"), "m")))
+    rows = stored(lists.join(held, "m", "left"), "lists")
+    new = random_rank(rows.where("_p is null"), seed, ["m"], "_rn", ("kind",))
     sizes = new.groupBy("kind").agg(F.count("*").alias("_n"))
     size = n_train + n_val + n_test
     part = lambda n: F.greatest(F.floor(F.col("_n") * n / size), F.lit(1))
-    new = new.join(F.broadcast(sizes), "kind").withColumn("_p", F.when(F.col("_rn") <= part(n_train), 0).when(F.col("_rn") <= part(n_train) + part(n_val), 1).otherwise(2)).drop("_rn", "_n")
+    new = new.join(F.broadcast(sizes), "kind").withColumn("_p", F.when(F.col("_rn") <= part(n_train), 0).when(F.col("_rn") <= part(n_train) + part(n_val), 1).otherwise(2)).drop("_rn", "_n")  # sizes: a row a kind
     both = rows.where("_p is not null").unionByName(new)
     return both.withColumn("split", F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.col("_p") + 1)).drop("_p")
 
 
+def stratum_draw(j: Column, n: Column, size: Column, key: Column) -> Column:
+    """The j-th (from 0) of n different places below ``size``: a random one in the j-th of n equal strata."""
+    low, high = (F.call_function("div", (j.cast("long") + i) * size, n) for i in (0, 1))
+    return low + F.pmod(key, high - low)
+
+
 def frequent_rare_pairs(lists: DataFrame, pairs: DataFrame, n_train: int, n_val: int, n_test: int, most: int = 5000, seed: int = 0) -> DataFrame:
     """``pairs`` (with split) and, replacing equal ones, every frequent variant with up to ``most`` rare ones of its split.
 
-    Rare variants beyond ``most`` in a split are drawn per frequent one; a random share is taken before the
-    join and topped off by the exact cut after it.
+    A split's rare variants are ranked in a random order once. A frequent one draws that many different ranks,
+    one in each of as many equal strata, and meets the rare ones by rank: no more pairs are made than are kept.
     """
-    placed = assign_to_splits(lists, pairs, n_train, n_val, n_test, seed)
-    frequent = placed.where("kind = 'frequent'").select("split", F.col("m").alias("seq0"), F.col("n").cast("double").alias("count0"))
-    rare = placed.where("kind = 'rare'").select("split", F.col("m").alias("seq1"), F.col("n").cast("double").alias("count1"))
-    made = frequent.join(rare, "split").withColumn("_key", rand_key(seed, "seq0", "seq1"))
-    made = made.withColumn("_rn", F.row_number().over(Window.partitionBy("seq0").orderBy("_key", "seq1"))).where(F.col("_rn") <= most)
-    made = made.select("seq0", "count0", "seq1", "count1", F.lit(None).cast("int").alias("period"), "split")
+    pairs = stored(pairs, "pairs")
+    placed = stored(assign_to_splits(lists, pairs, n_train, n_val, n_test, seed), "placed")
+    rare = random_rank(placed.where("kind = 'rare'"), f"{seed}-rare", ["m"], "_rn", ("split",))
+    rare = stored(rare.select("split", (F.col("_rn") - 1).alias("_at"), F.col("m").alias("seq1"), F.col("n").cast("double").alias("count1")), "rare")
+    sizes = F.broadcast(rare.groupBy("split").agg(F.count("*").alias("_size")))  # a row a split
+    frequent = placed.where("kind = 'frequent'").join(sizes, "split").select("split", F.col("m").alias("seq0"), F.col("n").cast("double").alias("count0"), "_size", F.least("_size", F.lit(most).cast("long")).alias("_n"))
+    draws = frequent.select("*", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)).alias("_j"))
+    draws = draws.withColumn("_at", stratum_draw(F.col("_j"), F.col("_n"), F.col("_size"), rand_key(seed, "seq0", "_j")))
+    made = draws.join(rare, ["split", "_at"]).select("seq0", "count0", "seq1", "count1", F.lit(None).cast("int").alias("period"), "split")
     return pair_upsert(pairs.select(*made.columns), made, ("split", "seq0", "seq1"))
 
 
 def same_week_pairs(df: DataFrame, per_week: int | None = None, seed: int = 0) -> DataFrame:
     """(seq0, seq1, w, label): ordered pairs of variants first seen in the same week, as many per week as it has variants.
 
-    ``df`` has weeks. The label is seq1's share of both totals.
+    ``df`` has weeks. The label is seq1's share of both totals. The pairs of a week are numbered, not made:
+    every variant draws its part of the numbers, each in a stratum of its own, and the two variants of a number
+    are found by their ranks in the week.
     """
-    first = df.groupBy("m").agg(F.min("w").alias("w"), F.count("*").alias("n"))
-    sizes = first.groupBy("w").agg(F.count("*").alias("_n"))
-    a, b = first.toDF("seq0", "w", "n0"), first.toDF("seq1", "w", "n1")
-    pairs = a.join(b, "w").where("seq0 <> seq1").withColumn("_key", rand_key(seed, "seq0", "seq1"))
-    pairs = pairs.join(F.broadcast(sizes), "w").withColumn("_rn", F.row_number().over(Window.partitionBy("w").orderBy("_key", "seq0", "seq1")))
-    pairs = pairs.where(F.col("_rn") <= (F.col("_n") if per_week is None else F.lit(per_week)))
-    return pairs.select("seq0", "seq1", "w", pair_label("n0", "n1").alias("label"))
+    first = stored(df.groupBy("m").agg(F.min("w").alias("w"), F.count("*").alias("n")), "first")
+    ranked = random_rank(first, f"{seed}-week", ["m"], "_rn", ("w",)).withColumn("_rn", F.col("_rn") - 1)
+    sizes = first.groupBy("w").agg(F.count("*").alias("_k")).where("_k > 1").withColumn("_all", F.col("_k") * (F.col("_k") - 1))
+    sizes = sizes.withColumn("_n", F.col("_k") if per_week is None else F.least(F.lit(per_week).cast("long"), F.col("_all")))
+    draws = ranked.join(F.broadcast(sizes), "w").where(F.col("_rn") < F.col("_n"))  # a row a week
+    draws = draws.select("w", "_k", "_all", "_n", F.explode(F.sequence("_rn", F.col("_n") - 1, F.col("_k"))).alias("_j"))
+    draws = draws.withColumn("_q", stratum_draw(F.col("_j"), F.col("_n"), F.col("_all"), rand_key(seed, "w", "_j")))
+    a, b = F.call_function("div", F.col("_q"), F.col("_k") - 1), F.pmod("_q", F.col("_k") - 1)
+    draws = draws.select("w", a.alias("_a"), F.when(b >= a, b + 1).otherwise(b).alias("_b"))
+    found = draws.join(ranked.select(F.col("m").alias("seq0"), "w", F.col("n").alias("n0"), F.col("_rn").alias("_a")), ["w", "_a"]).join(ranked.select(F.col("m").alias("seq1"), "w", F.col("n").alias("n1"), F.col("_rn").alias("_b")), ["w", "_b"])
+    return found.select("seq0", "seq1", "w", pair_label("n0", "n1").alias("label"))
 
 
 def pair_label(c0: str, c1: str, flip: Column | None = None) -> Column:
@@ -138,18 +164,22 @@ def min_loss(pairs: DataFrame) -> DataFrame:
 def synthetic_negatives(pairs: DataFrame, known: DataFrame, n_mutations: int, trials: int, seed: int) -> DataFrame:
     """(seq0, count0, seq1, count1, period): variants of the pairs with random known mutations added, count 0.
 
-    Per trial the n mutations with the smallest keys are drawn; a trial is void if a place is taken already,
-    or the result is known. Mutations are joined by a share of their keys first, so a trial meets few.
+    The known mutations are ranked in a random order once; a trial draws ranks by keys of its own, of which
+    the first n different ones count, and meets the mutations by rank. A trial is void if fewer were drawn, if
+    a place is taken already, or if the result is known.
     """
     seqs = pairs.select(F.col("seq0").alias("m")).union(pairs.select("seq1")).distinct()
-    every = known.select(F.explode(tokens("m")).alias("u")).distinct()
-    pool = every.agg(F.array_sort(F.collect_set("u")).alias("_pool"))  # the distinct mutations of one protein
-    rows = seqs.select("m", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial")).join(F.broadcast(pool))
-    keyed = F.array_sort(F.transform("_pool", lambda u: F.struct(F.xxhash64(F.lit(seed), F.col("m"), F.col("trial"), u).alias("h"), u.alias("u"))))
-    rows = rows.select("m", "trial", F.transform(F.slice(keyed, 1, n_mutations), lambda s: s["u"]).alias("add")).where(F.size("add") == n_mutations)
-    rows = rows.where(~F.arrays_overlap(F.transform(tokens("m"), position), F.transform("add", position)))
-    order = F.array_sort(F.transform(F.concat(tokens("m"), F.col("add")), lambda u, i: F.struct(position(u).alias("p"), i.alias("i"), u.alias("u"))))
-    rows = rows.withColumn("seq1", F.array_join(F.transform(order, lambda s: s["u"]), ","))
+    pool = stored(random_rank(stored(known.select(F.explode(tokens("m")).alias("u")).distinct(), "mutations"), f"{seed}-pool", ["u"]), "pool")
+    size = pool.agg(F.count("*").alias("_size")).where("_size > 0")  # one row
+    rows = seqs.select("m", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial")).join(F.broadcast(size))
+    draws = [F.pmod(rand_key(seed, "m", "trial", F.lit(j)), F.col("_size")) + 1 for j in range(2 * n_mutations + 2)]
+    rows = rows.select("m", "trial", F.slice(F.array_distinct(F.array(*draws)), 1, n_mutations).alias("_d")).where(F.size("_d") == n_mutations)
+    met = rows.select("m", "trial", F.explode("_d").alias("rn")).join(if_small(pool), "rn")
+    rows = met.groupBy("m", "trial").agg(F.array_sort(F.collect_list(F.struct(position(F.col("u")).alias("p"), F.col("u")))).alias("add"))  # n_mutations of them
+    rows = rows.where(~F.arrays_overlap(F.transform(tokens("m"), position), F.transform("add", lambda s: s["p"])))
+    own = F.transform(tokens("m"), lambda u, i: F.struct(position(u).alias("p"), i.alias("i"), u.alias("u")))
+    added = F.transform("add", lambda s, i: F.struct(s["p"].alias("p"), (i + 1_000_000).alias("i"), s["u"].alias("u")))
+    rows = rows.withColumn("seq1", F.array_join(F.transform(F.array_sort(F.concat(own, added)), lambda s: s["u"]), ","))
     rows = rows.join(known.select(F.col("m").alias("seq1")).distinct(), "seq1", "left_anti")
     return rows.select(F.col("m").alias("seq0"), F.lit(1.0).alias("count0"), "seq1", F.lit(0.0).alias("count1"), F.lit(None).cast("int").alias("period"))
 
@@ -188,6 +218,6 @@ def validate_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, max_p_diff: flo
             return pd.Series([contingency_p(*map(int, t), use_chi2) for t in zip(a0, a1, b0, b1)], dtype=float)
 
         cells = ["_a0", "_a1", "_b0", "_b1"]
-        tables = rows.where(tested).select(*cells).distinct().withColumn("_p", p_of(*cells))
+        tables = rows.where(tested).select(*cells).distinct().withColumn("_p", p_of.asNondeterministic()(*cells))
         rows = rows.join(tables, cells, "left").where(F.coalesce(~tested | (F.col("_p") >= p_value), F.lit(False)))
     return rows.select(*pairs.columns)

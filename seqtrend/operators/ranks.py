@@ -8,36 +8,58 @@ from pyspark.sql import functions as F
 from seqtrend.functions.rand import rand_key
 
 
-def global_rank(df: DataFrame, group: Column, order: list[Column], name: str = "rn") -> DataFrame:
-    """``df`` with its row number, from 1, by (group, order).
+def global_rank(df: DataFrame, group: list[Column], order: list[Column], name: str = "rn", within: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with its row number, from 1, by (group, order), of all rows or of those with equal ``within``.
 
-    Rows are numbered inside each value of ``group``; the groups' offsets are running sums over one row per
-    group. So no task needs all rows, unless all have one group.
+    Rows are numbered inside each value of the group; the groups' offsets are running sums over one row per
+    group. So no task needs all rows: the group has to be fine enough, which ``spread`` sees to.
     """
-    keyed = df.withColumn("_g", group)
-    sizes = keyed.groupBy("_g").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_g", before.alias("_before"))
-    ranked = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy("_g").orderBy(*order)))
-    return ranked.join(offsets, "_g").withColumn(name, F.col("_rn") + F.col("_before")).drop("_g", "_n", "_before", "_rn")
+    marks = [f"_g{i}" for i in range(len(group))]
+    keyed = df.withColumns(dict(zip(marks, group)))
+    sizes = keyed.groupBy(*within, *marks).agg(F.count("*").alias("_n"))
+    along = (Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))).orderBy(*marks)
+    before = F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*within, *marks, before.alias("_before"))
+    ranked = keyed.withColumn("_in_group", F.row_number().over(Window.partitionBy(*within, *marks).orderBy(*order)))
+    return ranked.join(offsets, [*within, *marks]).select(*df.columns, (F.col("_in_group") + F.col("_before")).alias(name))
 
 
-def random_rank(df: DataFrame, seed: int, keys: list[str], name: str = "rn") -> DataFrame:
-    """Row number in a random order: groups are the top 12 bits of the random key."""
+def spread(key: Column, bits: int = 8) -> Column:
+    """The top bits of a random key (of 60): cuts a group into 2**bits parts, in the order of the key."""
+    return F.shiftright(key, 60 - bits)
+
+
+def random_rank(df: DataFrame, seed: int | str, keys: list[str], name: str = "rn", within: tuple[str, ...] = ()) -> DataFrame:
+    """Row number in a random order, of all rows or of those with equal ``within``; equal rows are ranked as they come."""
     key = rand_key(seed, *keys)
-    return global_rank(df, F.shiftright(key, 48), [key, *map(F.col, keys)], name)
+    return global_rank(df, [spread(key, 12)], [key, *map(F.col, keys)], name, within)
+
+
+def balanced_cuts(scores: DataFrame, column: str, parts: int = 128) -> list[float]:
+    """At most ``parts`` - 1 ascending values that cut a column into parts of about equal size, from a bounded sketch."""
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    found = scores.agg(F.percentile_approx(column, shares, F.lit(10 * parts)).alias("c")).first()["c"]  # parts - 1 values
+    return sorted(set(found or []))
+
+
+def above_cuts(column: Column | str, cuts: list[float]) -> Column:
+    """How many of the cuts are no larger than the value: rises with it, so it can be a group of ``global_rank``."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]).cast("array<double>"), lambda x: x <= c))
 
 
 def split_by_rank_blocks(df: DataFrame, n_train: int, n_val: int, n_test: int, seed: int, total: str = "total", key: str = "m") -> DataFrame:
-    """``df`` with split: blocks of consecutive ranks by total (descending, ties by key), each dealt at random.
+    """``df`` with split: blocks of consecutive ranks by total (descending), each dealt at random.
 
-    The first n_train of a shuffled block are train, the next n_val val, the rest test. With n_test = 0 the
-    last n_val of every block are val, also of a short last one.
+    Ties of a total are ordered by a random key, so that the many variants of total 1 are ranked in many
+    tasks. The first n_train of a shuffled block are train, the next n_val val, the rest test. With n_test = 0
+    the last n_val of every block are val, also of a short last one.
     """
     if n_test == 0 and n_val == 0:
         raise ValueError("no val and no test part")
     size = n_train + n_val + n_test
-    ranked = global_rank(df, -F.col(total), [F.col(key)]).withColumn("_block", F.floor((F.col("rn") - 1) / size))
+    tie = rand_key(f"{seed}-ties", key)
+    ranked = global_rank(df, [-F.col(total), spread(tie)], [tie, F.col(key)]).withColumn("_block", F.floor((F.col("rn") - 1) / size))
     block = Window.partitionBy("_block")
     ranked = ranked.withColumn("_at", F.row_number().over(block.orderBy(rand_key(seed, key), key)))
     if n_test:
@@ -61,8 +83,7 @@ def stratified_sample(df: DataFrame, stratum: str, n: int, seed: int, keys: list
 
     What the largest stratum has beyond the second largest is never drawn; a lone stratum is sampled plainly.
     """
-    ranked = df.withColumn("_key", rand_key(seed, *keys))
-    ranked = ranked.withColumn("_rn", F.row_number().over(Window.partitionBy(stratum).orderBy("_key", *keys)))
-    sizes = df.groupBy(stratum).count().orderBy(F.desc("count")).limit(2).agg(F.min("count").alias("_most"))
+    ranked = random_rank(df, seed, keys, "_rn", (stratum,)).withColumn("_key", rand_key(seed, *keys))
+    sizes = df.groupBy(stratum).count().orderBy(F.desc("count")).limit(2).agg(F.min("count").alias("_most"))  # one row
     rows = ranked.join(F.broadcast(sizes)).where(F.col("_rn") <= F.col("_most"))
     return rows.orderBy("_rn", "_key", *keys).limit(n).drop("_key", "_rn", "_most")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqtrend.functions.dates import week_index
@@ -13,8 +13,17 @@ from seqtrend.functions.rand import rand_key
 
 
 def date_window(df: DataFrame, start: str | date | None = None, end: str | date | None = None, closed: str = "both") -> DataFrame:
-    """Rows in a range of dates; ``closed``: both, left, right or neither."""
+    """Rows in a range of dates; ``closed``: both, left, right or neither.
+
+    A table with a column month (yyyy-MM), as ``write_normalised`` partitions by, is cut by it too, so that folders
+    outside of the range aren't read.
+    """
     d = F.col("d")
+    if "month" in df.columns:
+        months = [(start, ">="), (end, "<=")]
+        for day, side in months:
+            if day is not None:
+                df = df.where(F.expr(f"month {side} date_format(date'{day}', 'yyyy-MM')"))
     if start is not None:
         df = df.where(d >= F.lit(start).cast("date") if closed in ("both", "left") else d > F.lit(start).cast("date"))
     if end is not None:
@@ -78,13 +87,18 @@ def variant_series(df: DataFrame, last_week: int | Column, discovery: str | date
 
     ``df`` has weeks. Variants that were not seen by ``discovery`` are left out; counts run on.
     """
-    first = df if discovery is None else df.where(F.col("d") <= F.lit(discovery).cast("date"))
-    weekly = df.groupBy("m", "w").agg(F.count("*").alias("n"), F.min(F.when(F.lit(True) if discovery is None else F.col("d") <= F.lit(discovery).cast("date"), F.col("w"))).alias("seen"))
-    grouped = weekly.groupBy("m").agg(F.min("seen").alias("week"), F.map_from_entries(F.collect_list(F.struct("w", F.col("n").cast("double")))).alias("_n")).where("week is not null")
+    seen = F.lit(True) if discovery is None else F.col("d") <= F.lit(discovery).cast("date")
     last = F.lit(last_week) if isinstance(last_week, int) else last_week
-    weeks = F.transform(F.sequence(F.lit(0), last), lambda w: F.coalesce(F.try_element_at("_n", w), F.lit(0.0)))
-    running = F.aggregate(weeks, F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x)))
-    out = grouped.select("m", "week", running.alias("counts")).withColumn("total", F.element_at("counts", -1))
+    inside = F.col("w").between(F.lit(0), last)
+    weekly = df.groupBy("m", "w").agg(F.sum(F.when(inside, 1.0).otherwise(0.0)).alias("n"), F.min(F.when(seen, F.col("w"))).alias("seen"))
+    # Running totals in long form; a total stands for the weeks up to the next one with sightings.
+    along = Window.partitionBy("m").orderBy("w")
+    runs = weekly.select("m", "seen", "w", inside.alias("inside"), F.sum("n").over(along).alias("c"), F.least(F.lead("w", 1).over(along), last + 1).alias("to"))
+    entry = F.struct("w", "c", F.coalesce(F.col("to"), last + 1).alias("to"))
+    grouped = runs.groupBy("m").agg(F.min("seen").alias("week"), F.array_sort(F.collect_list(F.when(F.col("inside"), entry))).alias("_r")).where("week is not null")
+    lead = F.array_repeat(F.lit(0.0), F.coalesce(F.get("_r", F.lit(0))["w"], last + 1))
+    counts = F.concat(lead, F.flatten(F.transform("_r", lambda r: F.array_repeat(r["c"], r["to"] - r["w"]))))
+    out = grouped.select("m", "week", counts.alias("counts")).withColumn("total", F.element_at("counts", -1))
     return out.select("m", "week", "total", "counts")
 
 

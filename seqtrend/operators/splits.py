@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqtrend.functions.rand import rand_key, rand_share
-from seqtrend.operators.ranks import global_rank, random_rank, split_by_rank_blocks
+from seqtrend.operators.ranks import global_rank, random_rank
 from seqtrend.operators.series import date_window
 
+#: Numbers that one task writes out for one row at a time.
+CHUNK = 100_000
+
 
 def split_by_lineage(df: DataFrame, n_train: int, n_val: int, n_test: int, seed: int = 0, first_date: str | None = None) -> DataFrame:
     """(m, lineage, n, split): lineages in blocks by count, dealt at random; a variant of a train lineage is train's alone.
@@ -18,7 +21,7 @@ def split_by_lineage(df: DataFrame, n_train: int, n_val: int, n_test: int, seed:
     """
     lineages = df.groupBy("lineage").agg(F.count("*").alias("total"))
     size = n_train + n_val + n_test
-    ranked = global_rank(lineages, -F.col("total"), [F.col("lineage").desc()])
+    ranked = global_rank(lineages, [-F.col("total")], [F.col("lineage").desc()])
     ranked = ranked.withColumn("_at", F.row_number().over(Window.partitionBy(F.floor((F.col("rn") - 1) / size)).orderBy(rand_key(seed, "lineage"), "lineage")))
     part = F.when(F.col("_at") <= n_train, "train").when(F.col("_at") <= n_train + n_val, "val").otherwise("test")
     counted = df.groupBy("m", "lineage").agg(F.count("*").alias("n"), F.max("d").alias("_last"))
@@ -30,8 +33,13 @@ def split_by_lineage(df: DataFrame, n_train: int, n_val: int, n_test: int, seed:
 
 
 def enumerate_rows(df: DataFrame, n: str = "n") -> DataFrame:
-    """Every row as often as its count, with its number from 0."""
-    return df.select("*", F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))).alias("number"))
+    """Every row as often as its count, with its number from 0; nothing for a count of 0.
+
+    A row is dealt as pieces of CHUNK first, so a very frequent one is written out in many tasks.
+    """
+    last = (F.col(n) - 1).cast("int")
+    pieces = df.where(last >= 0).select("*", F.explode(F.sequence(F.lit(0), last, F.lit(CHUNK))).alias("_from")).repartition(*df.columns, "_from")
+    return pieces.select("*", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (CHUNK - 1), last))).alias("number")).drop("_from")
 
 
 def date_split(df: DataFrame, train_end: str, val_end: str) -> DataFrame:
@@ -107,5 +115,3 @@ def new_vs_old(df: DataFrame, cutoff: str, by_first_seen: bool = True) -> DataFr
     rows = df.groupBy("m").agg(F.min("d").alias("d")) if by_first_seen else df
     return rows.select("m", age.alias("age")).distinct()
 
-
-__all__ = ["split_by_rank_blocks", *[n for n in globals() if n.endswith("split")], "split_by_lineage", "enumerate_rows", "new_vs_old"]

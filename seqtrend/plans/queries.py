@@ -12,7 +12,7 @@ from seqtrend.functions.rand import rand_key
 from seqtrend.sources import clusters as cluster_files
 from seqtrend.sources import fasta, tables
 from seqtrend.operators import audit, evaluate, matching, pairs, ranks, series, splits
-from seqtrend.plans.roles import CLUSTERS, HITS, LETTERS, OBS, SAMPLES, WEEKS, clusters, hits, letters, observations, samples, table
+from seqtrend.plans.roles import CLUSTERS, HITS, LETTERS, OBS, REFERENCE, SAMPLES, SEQUENCES, VARIANTS, WEEKS, clusters, hits, letters, observations, samples, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,11 +123,10 @@ def f3_f4_f5_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), parsed.alias("d"), dates.parse_date(F.date_format(d, "yyyy-MM")).alias("first"), dates.week_index(parsed, start).alias("w"), dates.week_after(parsed, start, 28).alias("period"))
 
 
-@query(f"WITH {OBS} SELECT m, CAST(len(list_filter(string_split(m, ','), lambda t: t <> '')) AS INT) AS n_units, list_sum(list_transform(list_filter(string_split(m, ','), lambda t: t <> ''), lambda t: CAST(regexp_extract(t, '[0-9]+') AS BIGINT))) AS places FROM (SELECT DISTINCT m FROM obs)")
+@query(f"WITH {OBS}, {VARIANTS} SELECT m, CAST(len(us) AS INT) AS n_units, array_to_string(us, '|') AS units FROM units")
 def f8_mutation_units(spark, sf_dir):
-    rows = observations(spark, sf_dir).select("m").distinct()
-    places = F.aggregate(mutations.tokens("m"), F.lit(0).cast("long"), lambda a, t: a + mutations.position(t))
-    return rows.select("m", F.size(mutations.mutation_units("m")).alias("n_units"), F.when(F.col("m") != "", places).cast("decimal(38,0)").alias("places"))
+    rows = observations(spark, sf_dir).select("m").distinct().select("m", mutations.mutation_units("m").alias("us"))
+    return rows.select("m", F.size("us").alias("n_units"), F.array_join("us", "|").alias("units"))
 
 
 @query(f"WITH s AS (SELECT doc_id, {LETTERS} AS seq FROM documents) SELECT doc_id, array_to_string(list_prepend(26, list_transform(string_split(seq, ''), lambda c: CASE WHEN c = '*' THEN 27 ELSE CAST(instr('{tokens.LETTERS}', c) AS INT) - 1 END)), ',') AS ids FROM s")
@@ -150,6 +149,17 @@ def f17_anchor_length(spark, sf_dir):
     return rows.select("doc_id", tokens.anchor_length("seq").alias("prefix"))
 
 
+ANCHORS = f"""s AS (SELECT doc_id, {LETTERS} AS seq, reverse({LETTERS}) AS rev FROM documents), l AS (SELECT doc_id, seq, rev, unnest(range(1, 22)) AS n FROM s),
+pre AS (SELECT doc_id, min(n) AS a FROM l WHERE n <= length(seq) AND instr(substr(seq, 2), substr(seq, 1, n)) = 0 GROUP BY doc_id),
+suf AS (SELECT doc_id, min(n) AS b FROM l WHERE n <= length(seq) AND instr(substr(rev, 2), substr(rev, 1, n)) = 0 GROUP BY doc_id)"""
+
+
+@query(f"WITH {ANCHORS} SELECT s.doc_id, CAST(b AS INT) AS suffix FROM s LEFT JOIN suf USING (doc_id)")
+def f17_suffix_length(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", letters("text").alias("seq"))
+    return rows.select("doc_id", tokens.anchor_length("seq", suffix=True).alias("suffix"))
+
+
 @query(f"""WITH s AS (SELECT doc_id, {LETTERS} AS seq FROM documents), w AS (SELECT doc_id, seq, unnest(range(0, length(seq), 300)) AS a FROM s),
 c AS (SELECT doc_id, a, least(a + 500, length(seq) - 1) AS b FROM w), k AS (SELECT * FROM c WHERE b > a),
 f AS (SELECT doc_id, a, b, unnest(list_concat([a - 1], list_filter([40, 700], lambda x: x >= a AND x < b))) AS lo FROM k),
@@ -160,16 +170,23 @@ def f21_sliding_stimuli(spark, sf_dir):
     return tokens.sliding_stimuli(rows, 500, 300, [40, 700]).select("doc_id", "mask_start", "mask_length")
 
 
-@query(f"WITH s AS (SELECT doc_id, {LETTERS} AS seq FROM documents) SELECT doc_id, CAST(length(seq) AS INT) AS n, TRUE AS valid FROM s")
+@query(f"WITH s AS (SELECT doc_id, concat(CASE WHEN doc_id % 5 = 0 THEN '[X]' WHEN doc_id % 7 = 0 THEN '*' WHEN doc_id % 11 = 0 THEN '<' ELSE '' END, CASE WHEN doc_id % 13 = 0 THEN rtrim({LETTERS}, '*') ELSE {LETTERS} END) AS seq FROM documents) SELECT doc_id, CAST(length(seq) AS INT) AS n, doc_id % 5 <> 0 AND doc_id % 11 <> 0 AND (doc_id % 7 = 0) = (doc_id % 13 = 0) OR (doc_id % 5 <> 0 AND doc_id % 7 = 0 AND doc_id % 13 = 0) AS valid FROM s")
 def f9_valid_samples(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", letters("text").alias("seq"))
+    k = F.col("doc_id")
+    mark = F.when(k % 5 == 0, "[X]").when(k % 7 == 0, "*").when(k % 11 == 0, "<").otherwise("")
+    seq = F.concat(mark, F.when(k % 13 == 0, F.rtrim(letters("text"), F.lit("*"))).otherwise(letters("text")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", seq.alias("seq"))
     return rows.select("doc_id", F.length("seq").alias("n"), mutations.is_valid_sample("seq").alias("valid"))
 
 
-@query()
+@query(f"""WITH {ANCHORS}, x AS (SELECT doc_id, seq, a, b, least(length(seq) // 2, 50, length(seq) - 2, length(seq) - a - b) AS most FROM s JOIN pre USING (doc_id) JOIN suf USING (doc_id)),
+y AS (SELECT *, 1 + {_key(5, 'seq')} % most AS k FROM x WHERE most >= 1), z AS (SELECT *, length(seq) - k - a - b + 1 AS room FROM y),
+g AS (SELECT *, a + {_key(6, 'seq')} % room AS start FROM z WHERE room > 0)
+SELECT doc_id, CAST(start AS INT) AS mask_start, CAST(k AS INT) AS mask_length, md5(concat('[CLS]', substr(seq, 1, start), '[MASK]', substr(seq, start + k + 1), '[SEP]')) AS encoder, concat(substr(seq, start + 1, k), '[MASK]') AS decoder FROM g""")
 def f18_masked_example(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", letters("text").alias("seq"))
-    return tokens.masked_example(rows, seed=5).select("doc_id", "mask_start", "mask_length", F.size("example.encoder").alias("n_encoder"), F.size("example.decoder").alias("n_decoder"))
+    text = lambda c: F.array_join(f"example.{c}", "")
+    return tokens.masked_example(rows, seed=5).select("doc_id", "mask_start", "mask_length", F.md5(text("encoder").cast("binary")).alias("encoder"), text("decoder").alias("decoder"))
 
 
 @query()
@@ -178,11 +195,13 @@ def f19_tile_masks(spark, sf_dir):
     return tokens.tile_masks(rows, seed=5).select("doc_id", "mask_start", "mask_length")
 
 
-@query()
+@query(f"""WITH {OBS}, {VARIANTS}, {SEQUENCES}, sp AS (SELECT m, i, CASE WHEN ref = 'ins' THEN greatest(0, pos + s - 1) WHEN alt = 'del' THEN greatest(0, pos + s - 2) ELSE greatest(0, pos + s - 1) END AS a,
+CASE WHEN ref = 'ins' THEN pos + s + length(alt) + 1 WHEN alt = 'del' THEN pos + s ELSE pos + s - 1 + length(alt) END AS b FROM summed WHERE fresh = 1)
+SELECT seqs.m, any_value(seq) AS seq, coalesce(string_agg(concat(CAST(a AS BIGINT), '-', CAST(b AS BIGINT)), ',' ORDER BY i) FILTER (a IS NOT NULL), '') AS spans FROM seqs LEFT JOIN sp ON sp.m = seqs.m GROUP BY seqs.m""")
 def f6_f7_apply_mutations(spark, sf_dir):
-    rows = observations(spark, sf_dir).select("m").distinct()
-    seqs = mutations.apply_mutations(rows, "ACDEFGHIKLMNPQRSTVWY" * 20 + "*")
-    return mutations.changed_spans(seqs).select("m", "seq", F.size("spans").alias("n_spans"))
+    seqs = mutations.apply_mutations(observations(spark, sf_dir).select("m").distinct(), REFERENCE)
+    text = F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return mutations.changed_spans(seqs).select("m", "seq", F.array_join(text, ",").alias("spans"))
 
 
 # -- pairs -------------------------------------------------------------------------------------------------
@@ -206,7 +225,15 @@ def j2_week_band_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir)
 
 
-@query()
+_COUNTED = f"""cc AS (SELECT cand.*, x.c AS count0, y.c AS count1 FROM cand JOIN cum x ON x.m = seq0 AND x.w = w0 + period - 1 JOIN cum y ON y.m = seq1 AND y.w = w1 + period - 1),
+pairs AS (SELECT seq0, count0, seq1, count1, CAST(period AS INT) AS period FROM cc WHERE count1 <= count0 AND abs(w1 - w0) <= {_BRACKET.format(x="count1 / count0")}
+  AND {LAST_WEEK} - w0 + 1 >= greatest(2 * abs(w1 - w0), {pairs.MIN_LEAD}) AND {LAST_WEEK} - w1 + 1 >= greatest(2 * abs(w1 - w0), {pairs.MIN_LEAD}))"""
+
+
+@query(f"""WITH {SERIES}, tot AS (SELECT m, week, CAST(total AS DOUBLE) AS total FROM series),
+near AS (SELECT a.m AS seq0, b.m AS seq1, a.week AS w0, b.week AS w1, least({LAST_WEEK} - a.week + 1, {LAST_WEEK} - b.week + 1) AS period, row_number() OVER (PARTITION BY a.m ORDER BY {_key(1, 'b.m')}, b.m) AS rn
+  FROM tot a JOIN tot b ON abs(a.week - b.week) <= {_BRACKET.format(x="1 / a.total")} WHERE a.total >= {pairs.MIN_TOTAL} AND {LAST_WEEK} - a.week + 1 >= {pairs.MIN_LEAD}),
+cand AS (SELECT * FROM near WHERE rn <= 20), {_COUNTED} SELECT * FROM pairs""")
 def w11_capped_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir, cap=20, seed=1)
 
@@ -222,11 +249,49 @@ def j3_combined_regions(spark, sf_dir):
     return pairs.combine_regions(*_regions(spark, sf_dir), how="union").select("m", "week", "total")
 
 
-@query()
+def _side_sql(x: str, where: str) -> str:
+    return f"""{x}n AS (SELECT m, w, count(*) AS n FROM wobs WHERE {where} GROUP BY m, w), {x}s AS (SELECT m, min(w) AS week FROM {x}n GROUP BY m),
+{x}c AS (SELECT s.m, s.week, weeks.w, CAST(sum(coalesce(n.n, 0)) OVER (PARTITION BY s.m ORDER BY weeks.w) AS BIGINT) AS c FROM {x}s s CROSS JOIN weeks LEFT JOIN {x}n n ON n.m = s.m AND n.w = weeks.w)"""
+
+
+def _at_sql(x: str) -> str:
+    period = f"least({LAST_WEEK} + 1 - {x}0.week, {LAST_WEEK} + 1 - {x}1.week)"
+    return " ".join(f"JOIN {x}s {x}{i} ON {x}{i}.m = seq{i}" for i in (0, 1)) + " " + " ".join(f"JOIN {x}c {x}c{i} ON {x}c{i}.m = seq{i} AND {x}c{i}.w = {x}{i}.week + {period} - 1" for i in (0, 1))
+
+
+#: Two regions: even and odd orders. The pairs of the variants that both have, with their counts in either.
+AGREED = f"""{PAIRS}, {_side_sql('ra', "CAST(split_part(acc, '-', 1) AS BIGINT) % 2 = 0")}, {_side_sql('rb', "CAST(split_part(acc, '-', 1) AS BIGINT) % 2 = 1")},
+sided AS (SELECT pairs.*, rac0.c AS a0, rac1.c AS a1, rbc0.c AS b0, rbc1.c AS b1 FROM pairs {_at_sql('ra')} {_at_sql('rb')}),
+fs AS (SELECT *, [count1 / (count0 + count1 + 1e-12), a1 / (a0 + a1 + 1e-12), b1 / (b0 + b1 + 1e-12)] AS f FROM sided),
+low AS (SELECT *, list_max(f) - list_min(f) AS diff FROM fs WHERE list_max(f) <= 0.5)"""
+FISHER = """tb AS (SELECT DISTINCT a0, a1, b0, b1 FROM low), tx AS (SELECT *, unnest(range(greatest(0, (a0 + b0) - (b0 + b1)), least(a0 + a1, a0 + b0) + 1)) AS x FROM tb),
+lf AS (SELECT *, lgamma(a0 + a1 + 1) + lgamma(b0 + b1 + 1) + lgamma(a0 + b0 + 1) + lgamma(a1 + b1 + 1) - lgamma(a0 + a1 + b0 + b1 + 1) - lgamma(x + 1) - lgamma(a0 + a1 - x + 1) - lgamma(a0 + b0 - x + 1) - lgamma(b1 - a0 + x + 1) AS lp FROM tx),
+pv AS (SELECT f.a0, f.a1, f.b0, f.b1, CASE WHEN min(least(f.a0 + f.a1, f.b0 + f.b1, f.a0 + f.b0, f.a1 + f.b1)) = 0 THEN 1 ELSE sum(exp(f.lp)) FILTER (f.lp <= h.lp + 1e-7) END AS p
+  FROM lf f JOIN lf h ON f.a0 = h.a0 AND f.a1 = h.a1 AND f.b0 = h.b0 AND f.b1 = h.b1 AND h.x = h.a0 GROUP BY f.a0, f.a1, f.b0, f.b1)"""
+_AGREED_BY = "SELECT seq0, count0, seq1, count1, period FROM low JOIN pv USING (a0, a1, b0, b1) WHERE count1 / (count0 + count1) < 0.01 OR {test}"
+
+
+def _agreed(spark, sf_dir, **how) -> DataFrame:
+    rows = weeks(spark, sf_dir).withColumn("_odd", F.substring_index("acc", "-", 1).cast("long") % 2)
+    a, b = (series.variant_series(rows.where(F.col("_odd") == i), LAST_WEEK) for i in (0, 1))
+    return pairs.validate_pairs(pairs.week_band_pairs(pairs.combine_regions(a, b), LAST_WEEK), a, b, **how)
+
+
+@query(f"WITH {AGREED}, {FISHER} {_AGREED_BY.format(test='p >= 0.1')}")
 def a18_validated_pairs(spark, sf_dir):
-    a, b = _regions(spark, sf_dir)
-    both = pairs.combine_regions(a, b)
-    return pairs.validate_pairs(pairs.week_band_pairs(both, LAST_WEEK), a, b, p_value=0.1)
+    return _agreed(spark, sf_dir, p_value=0.1)
+
+
+@query(f"WITH {AGREED} SELECT seq0, count0, seq1, count1, period FROM low WHERE diff <= 0.02")
+def a18_by_difference(spark, sf_dir):
+    return _agreed(spark, sf_dir, max_p_diff=0.02)
+
+
+@query(f"""WITH {AGREED}, {FISHER}, q AS (SELECT *, a0 + a1 + b0 + b1 AS n, (a0 + a1) * (a0 + b0) / (a0 + a1 + b0 + b1) AS e, least((a0 + a1) * (a0 + b0), (a0 + a1) * (a1 + b1), (b0 + b1) * (a0 + b0), (b0 + b1) * (a1 + b1)) / (a0 + a1 + b0 + b1) AS least_e FROM low JOIN pv USING (a0, a1, b0, b1)),
+chi AS (SELECT *, CASE WHEN least(a0, a1, b0, b1) >= 5 AND least_e >= 5 THEN power(abs(a0 - e) - least(0.5, abs(a0 - e)), 2) * (n / (a0 + a1) / (a0 + b0) + n / (a0 + a1) / (a1 + b1) + n / (b0 + b1) / (a0 + b0) + n / (b0 + b1) / (a1 + b1)) END AS x2 FROM q)
+SELECT seq0, count0, seq1, count1, period FROM chi WHERE count1 / (count0 + count1) < 0.01 OR CASE WHEN x2 IS NULL THEN p >= 0.1 ELSE x2 <= 2.7055434540954 END""")
+def a18_by_chi_square(spark, sf_dir):
+    return _agreed(spark, sf_dir, p_value=0.1, use_chi2=True)
 
 
 @query(f"WITH {PAIRS}, p AS (SELECT count1 / (count0 + count1) AS p FROM pairs) SELECT round(avg(-p * ln(p) - (1 - p) * ln(1 - p)), 8) AS min_loss FROM p")
@@ -235,21 +300,48 @@ def a14_min_loss(spark, sf_dir):
 
 
 @query(f"""WITH {WEEKS}, f AS (SELECT m, min(w) AS w, count(*) AS n FROM wobs GROUP BY m), k AS (SELECT w, count(*) AS k FROM f GROUP BY w),
-p AS (SELECT a.m AS seq0, b.m AS seq1, a.w, CAST(b.n AS DOUBLE) / (a.n + b.n) AS label, row_number() OVER (PARTITION BY a.w ORDER BY {_key(2, 'a.m', 'b.m')}, a.m, b.m) AS rn FROM f a JOIN f b ON a.w = b.w AND a.m <> b.m)
-SELECT seq0, seq1, p.w, round(label, 9) AS label FROM p JOIN k ON p.w = k.w WHERE rn <= k""")
+r AS (SELECT f.*, row_number() OVER (PARTITION BY w ORDER BY {_key('2-week', 'm')}, m) - 1 AS rn FROM f), j AS (SELECT w, k, unnest(range(0, k)) AS j FROM k WHERE k > 1),
+q AS (SELECT w, k, j * (k * (k - 1)) // k + {_key(2, 'w', 'j')} % ((j + 1) * (k * (k - 1)) // k - j * (k * (k - 1)) // k) AS q FROM j),
+ab AS (SELECT w, q // (k - 1) AS a, q % (k - 1) + CASE WHEN q % (k - 1) >= q // (k - 1) THEN 1 ELSE 0 END AS b FROM q)
+SELECT x.m AS seq0, y.m AS seq1, ab.w, round(CAST(y.n AS DOUBLE) / (x.n + y.n), 9) AS label FROM ab JOIN r x ON x.w = ab.w AND x.rn = a JOIN r y ON y.w = ab.w AND y.rn = b""")
 def j5_same_week_pairs(spark, sf_dir):
     return pairs.same_week_pairs(weeks(spark, sf_dir), seed=2).withColumn("label", F.round("label", 9))
 
 
-@query()
+_PLACES = "(CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END)"
+
+
+def _draw_sql(j: str, n: str, size: str, key: str) -> str:
+    return f"({j} * {size}) // {n} + {key} % ((({j} + 1) * {size}) // {n} - ({j} * {size}) // {n})"
+
+
+@query(f"""WITH {PAIRS}, cn AS (SELECT m, count(*) AS total FROM obs GROUP BY m), rk AS (SELECT m, total, (row_number() OVER (ORDER BY total DESC, {_key('3-ties', 'm')}, m) - 1) // 6 AS block FROM cn),
+sl AS (SELECT m, row_number() OVER (PARTITION BY block ORDER BY {_key(3, 'm')}, m) AS pos FROM rk), sp AS (SELECT m, CASE WHEN pos <= 4 THEN 'train' WHEN pos <= 5 THEN 'val' ELSE 'test' END AS split FROM sl),
+kn AS (SELECT pairs.*, a.split FROM pairs JOIN sp a ON a.m = seq0 JOIN sp b ON b.m = seq1 WHERE a.split = b.split AND length(seq0) < 12),
+held AS (SELECT m, min(p) AS p FROM (SELECT seq0 AS m, {_PLACES} AS p FROM kn UNION ALL SELECT seq1, {_PLACES} FROM kn) GROUP BY m),
+ls AS (SELECT m, total AS n, CASE WHEN total >= 600 THEN 'frequent' ELSE 'rare' END AS kind FROM cn), nw AS (SELECT ls.*, row_number() OVER (PARTITION BY kind ORDER BY {_key(3, 'm')}, m) AS rn, count(*) OVER (PARTITION BY kind) AS k FROM ls WHERE m NOT IN (SELECT m FROM held)),
+pl AS (SELECT ls.m, n, kind, p FROM ls JOIN held USING (m) UNION ALL SELECT m, n, kind, CASE WHEN rn <= greatest(k * 4 // 6, 1) THEN 0 WHEN rn <= greatest(k * 4 // 6, 1) + greatest(k // 6, 1) THEN 1 ELSE 2 END FROM nw),
+rr AS (SELECT m, n, p, row_number() OVER (PARTITION BY p ORDER BY {_key('3-rare', 'm')}, m) - 1 AS pos, count(*) OVER (PARTITION BY p) AS size FROM pl WHERE kind = 'rare'),
+fq AS (SELECT pl.m, pl.n, pl.p, size, unnest(range(0, least(7, size))) AS j FROM pl JOIN (SELECT DISTINCT p, size FROM rr) z ON z.p = pl.p WHERE kind = 'frequent'),
+dr AS (SELECT m, n, p, {_draw_sql('j', 'least(7, size)', 'size', _key(3, 'm', 'j'))} AS pos FROM fq),
+md AS (SELECT dr.m AS seq0, CAST(dr.n AS DOUBLE) AS count0, rr.m AS seq1, CAST(rr.n AS DOUBLE) AS count1, CAST(NULL AS INT) AS period, ['train', 'val', 'test'][dr.p + 1] AS split FROM dr JOIN rr ON rr.p = dr.p AND rr.pos = dr.pos)
+SELECT * FROM md UNION ALL SELECT seq0, count0, seq1, count1, period, split FROM kn WHERE (split, seq0, seq1) NOT IN (SELECT (split, seq0, seq1) FROM md)""")
 def j4_frequent_rare_pairs(spark, sf_dir):
-    lists = series.frequent_and_rare(weeks(spark, sf_dir), trailing=0, min_count=500, max_total=499)
+    lists = series.frequent_and_rare(weeks(spark, sf_dir), trailing=0, min_count=600, max_total=599)
     made = ranks.split_by_rank_blocks(series.variant_counts(observations(spark, sf_dir)).withColumnRenamed("n", "total"), 4, 1, 1, seed=3)
     known = _pairs(spark, sf_dir).join(made.select(F.col("m").alias("seq0"), "split"), "seq0").join(made.select(F.col("m").alias("seq1"), F.col("split").alias("_s")), "seq1").where("split = _s").drop("_s")
-    return pairs.frequent_rare_pairs(lists, known, 4, 1, 1, seed=3)
-
-
-@query()
+    return pairs.frequent_rare_pairs(lists, known.where("length(seq0) < 12"), 4, 1, 1, most=7, seed=3)
+
+
+@query(f"""WITH {PAIRS}, {VARIANTS}, sq AS (SELECT DISTINCT m FROM (SELECT seq0 AS m FROM pairs UNION ALL SELECT seq1 FROM pairs)),
+pool AS (SELECT t, pos, row_number() OVER (ORDER BY {_key('4-pool', 't')}, t) AS rn, count(*) OVER () AS size FROM (SELECT DISTINCT t, pos FROM tok)),
+dj AS (SELECT m, trial, unnest(range(0, 6)) AS j FROM (SELECT m, unnest([1, 2, 3]) AS trial FROM sq)), dk AS (SELECT m, trial, j, {_key(4, 'm', 'trial', 'j')} % (SELECT max(size) FROM pool) + 1 AS rn FROM dj),
+df AS (SELECT m, trial, rn, row_number() OVER (PARTITION BY m, trial ORDER BY min(j)) AS k FROM dk GROUP BY m, trial, rn),
+ad AS (SELECT df.m, trial, pool.t, pool.pos, row_number() OVER (PARTITION BY df.m, trial ORDER BY pool.pos, pool.t) AS i FROM df JOIN pool USING (rn) WHERE k <= 2),
+ok AS (SELECT m, trial FROM ad GROUP BY m, trial HAVING count(*) = 2), bad AS (SELECT DISTINCT ad.m, trial FROM ad JOIN tok ON tok.m = ad.m AND tok.pos = ad.pos),
+al AS (SELECT m, trial, t, pos, 1 AS src, i FROM ad UNION ALL SELECT ok.m, trial, t, pos, 0, i FROM ok JOIN tok USING (m)),
+mk AS (SELECT al.m AS seq0, al.trial, string_agg(t, ',' ORDER BY pos, src, i) AS seq1 FROM al JOIN ok ON ok.m = al.m AND ok.trial = al.trial WHERE (al.m, al.trial) NOT IN (SELECT (m, trial) FROM bad) GROUP BY al.m, al.trial)
+SELECT seq0, CAST(1 AS DOUBLE) AS count0, seq1, CAST(0 AS DOUBLE) AS count1, CAST(NULL AS INT) AS period FROM mk WHERE seq1 NOT IN (SELECT m FROM v)""")
 def j15_synthetic_negatives(spark, sf_dir):
     return pairs.synthetic_negatives(_pairs(spark, sf_dir), observations(spark, sf_dir), n_mutations=2, trials=3, seed=4)
 
@@ -263,12 +355,18 @@ def _split_sql(at: str, a: int, b: int) -> str:
     return f"CASE WHEN {at} <= {a} THEN 'train' WHEN {at} <= {a + b} THEN 'val' ELSE 'test' END"
 
 
-@query(f"""WITH {COUNTS}, r AS (SELECT m, total, (row_number() OVER (ORDER BY total DESC, m) - 1) // 6 AS block FROM c),
+@query(f"""WITH {COUNTS}, r AS (SELECT m, total, (row_number() OVER (ORDER BY total DESC, {_key('7-ties', 'm')}, m) - 1) // 6 AS block FROM c),
 s AS (SELECT m, total, row_number() OVER (PARTITION BY block ORDER BY {_key(7, 'm')}, m) AS pos FROM r) SELECT m, total, {_split_sql('pos', 4, 1)} AS split FROM s""")
 def w2_split_by_rank_blocks(spark, sf_dir):
     return ranks.split_by_rank_blocks(series.variant_counts(observations(spark, sf_dir)).withColumnRenamed("n", "total"), 4, 1, 1, seed=7)
 
 
+@query(f"""WITH {COUNTS}, r AS (SELECT m, total, (row_number() OVER (ORDER BY total DESC, {_key('7-ties', 'm')}, m) - 1) // 7 AS block FROM c),
+s AS (SELECT m, total, row_number() OVER (PARTITION BY block ORDER BY {_key(7, 'm')}, m) AS pos, count(*) OVER (PARTITION BY block) AS size FROM r) SELECT m, total, CASE WHEN pos > size - 2 THEN 'val' ELSE 'train' END AS split FROM s""")
+def w2_split_without_test(spark, sf_dir):
+    return ranks.split_by_rank_blocks(series.variant_counts(observations(spark, sf_dir)).withColumnRenamed("n", "total"), 5, 2, 0, seed=7)
+
+
 @query(f"""WITH {OBS}, c AS (SELECT lineage, count(*) AS total FROM obs GROUP BY lineage), r AS (SELECT lineage, (row_number() OVER (ORDER BY total DESC, lineage DESC) - 1) // 10 AS block FROM c),
 s AS (SELECT lineage, row_number() OVER (PARTITION BY block ORDER BY {_key(0, 'lineage')}, lineage) AS pos FROM r), p AS (SELECT lineage, {_split_sql('pos', 1, 8)} AS split FROM s),
 v AS (SELECT m, lineage, count(*) AS n, max(d) AS last FROM obs GROUP BY m, lineage), j AS (SELECT v.*, p.split FROM v JOIN p USING (lineage))
@@ -390,17 +488,28 @@ def w7_uniquify(spark, sf_dir):
     return matching.uniquify(samples(spark, sf_dir)).select("run", "rank")
 
 
-@query()
+@query(f"""WITH obs AS (SELECT {LETTERS} AS seq, DATE '2024-01-01' + CAST(doc_id % 200 AS INT) AS d, CAST(doc_id AS VARCHAR) AS acc, concat('q', CAST(n_chars % 97 AS VARCHAR)) AS lineage FROM documents),
+runs AS (SELECT source AS run, {LETTERS} AS seq, CAST(doc_id AS DOUBLE) AS score FROM documents UNION ALL SELECT 'benchmark', concat(CASE WHEN item_id % 5 = 0 THEN '[' ELSE '' END, {LETTERS}), CAST(item_id AS DOUBLE) FROM benchmark),
+dates AS (SELECT lineage, min(d) AS first FROM (SELECT seq, arg_min(lineage, row(d, acc)) AS lineage, min(d) AS d FROM obs GROUP BY seq) GROUP BY lineage),
+known AS (SELECT seq, count(*) AS n, min(d) AS d, string_agg(DISTINCT obs.lineage, ',' ORDER BY obs.lineage) AS ls, min(first) AS first FROM obs LEFT JOIN dates ON dates.lineage = obs.lineage GROUP BY seq),
+o AS (SELECT seq AS b FROM known WHERE d <= DATE '2024-04-01'), w AS (SELECT seq AS b FROM known WHERE d > DATE '2024-04-01'), va AS (SELECT DISTINCT seq AS a FROM runs WHERE seq NOT LIKE '[%'),
+po AS (SELECT a, min(b) AS b FROM va JOIN o ON length(a) = length(b) WHERE a = b OR ({COMPATIBLE}) AND a NOT IN (SELECT b FROM o) GROUP BY a),
+pw AS (SELECT a, min(b) AS b FROM (SELECT a FROM va WHERE a NOT IN (SELECT a FROM po)) va JOIN w ON length(a) = length(b) WHERE a = b OR ({COMPATIBLE}) AND a NOT IN (SELECT b FROM w) GROUP BY a),
+hit AS (SELECT a, b, 'old' AS age FROM po UNION ALL SELECT a, b, 'new' FROM pw),
+kb AS (SELECT DISTINCT substr(b, i, 11) AS k FROM (SELECT b, unnest(range(1, length(b) - 9)) AS i FROM o)),
+nv AS (SELECT a, count(*) AS n FROM (SELECT a, substr(a, i, 11) AS k FROM (SELECT a, unnest(range(1, length(a) - 9)) AS i FROM va)) WHERE k NOT IN (SELECT k FROM kb) GROUP BY a)
+SELECT run, score, coalesce(age = 'old', FALSE) AS old_seq, coalesce(age = 'new', FALSE) AS new_seq, age IS NULL AND runs.seq NOT LIKE '[%' AS false_seq, runs.seq LIKE '[%' AS invalid_seq, CASE WHEN hit.a = hit.b THEN known.n ELSE 0 END AS count, coalesce(nv.n, 0) AS novelty,
+known.ls AS lineage, known.d AS seq_date, coalesce(known.first > DATE '2024-04-01', FALSE) AS new_lineage FROM runs LEFT JOIN hit ON hit.a = runs.seq LEFT JOIN known ON known.seq = hit.b LEFT JOIN nv ON nv.a = runs.seq""")
 def j7_classified_samples(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", letters("text").alias("seq"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("q"), (F.col("n_chars") % 97).cast("string")).alias("lang"), letters("text").alias("seq"))
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 200).cast("int"))
     obs = docs.select("seq", F.md5(F.col("seq").cast("binary")).alias("m"), day.alias("d"), F.col("doc_id").cast("string").alias("acc"), F.col("lang").alias("lineage"))
-    runs = docs.union(table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.lit("benchmark"), F.lit(""), letters("text"))).select(F.col("source").alias("run"), "seq", F.col("doc_id").cast("double").alias("score"))
+    runs = docs.union(table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.lit("benchmark"), F.lit(""), F.concat(F.when(F.col("item_id") % 5 == 0, "[").otherwise(""), letters("text")))).select(F.col("source").alias("run"), "seq", F.col("doc_id").cast("double").alias("score"))
     out = evaluate.classify_samples(runs, obs, "2024-04-01")
     return out.select("run", "score", "old_seq", "new_seq", "false_seq", "invalid_seq", "count", "novelty", F.array_join("lineage", ",").alias("lineage"), "seq_date", "new_lineage")
 
 
-@query(f"""WITH {OBS}, k AS (SELECT DISTINCT m, list_filter(string_split(m, ','), lambda t: t <> '') AS u FROM obs), old AS (SELECT k.* FROM k JOIN (SELECT m FROM obs GROUP BY m HAVING min(d) <= DATE '1995-01-08') USING (m)),
+@query(f"""WITH {OBS}, {VARIANTS}, k AS (SELECT m, us AS u FROM units), old AS (SELECT k.* FROM k JOIN (SELECT m FROM obs GROUP BY m HAVING min(d) <= DATE '1995-01-08') USING (m)),
 p AS (SELECT a.m, o.m AS closest, len(a.u) - len(o.u) AS distance FROM k a JOIN old o ON len(list_intersect(a.u, o.u)) = least(len(a.u), len(o.u))),
 r AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY abs(distance), distance, closest) AS rn FROM p)
 SELECT k.m, closest, CAST(distance AS INT) AS distance FROM k LEFT JOIN r ON r.m = k.m AND rn = 1""")
@@ -423,17 +532,17 @@ def a6_run_stats(spark, sf_dir):
     return out.select("run", "n_valid", "n_new", "n_false", "n_old", F.round("avg_novelty", 9).alias("avg_novelty"), F.round("new_rate", 9).alias("new_rate"), F.round("ppv", 9).alias("ppv"), "counts", "n_non_old", "n_new_lineages", "n_salient")
 
 
+# 97.5 % quantiles of Student's t by degrees of freedom, from 1.
+_T = (12.70620474, 4.30265273, 3.18244631, 2.77644511, 2.57058184, 2.44691185, 2.36462425, 2.30600414, 2.26215716, 2.22813885, 2.20098516, 2.17881283, 2.16036866, 2.14478669, 2.13144955, 2.11990530, 2.10981558, 2.10092204, 2.09302405, 2.08596345)
+_T95 = " ".join(f"WHEN {n} THEN {t}" for n, t in enumerate(_T, 2))
+
+
 @query(f"""WITH {STATS}, r AS (SELECT lang, run, count(*) FILTER (new_seq) AS v FROM u GROUP BY lang, run), g AS (SELECT lang, avg(v) AS mean, stddev_samp(v) AS s, count(*) AS n FROM r GROUP BY lang)
-SELECT lang, round(mean, 9) AS mean, n, round(s / sqrt(n), 9) AS se FROM g""")
+SELECT lang, round(mean, 9) AS mean, n, round(s / sqrt(n) * CASE n {_T95} END, 6) AS err FROM g""")
 def a7_mean_and_error(spark, sf_dir):
     first = matching.uniquify(samples(spark, sf_dir).where("not invalid_seq"), ambiguous=False)
     runs = first.groupBy("lang", "run").agg(F.count_if("new_seq").alias("v"))
-    out = evaluate.mean_ci(runs, ["lang"], "v")
-    from seqtrend.functions.stats import t_quantile
-
-    sizes = {r[0] for r in out.select("n").distinct().collect()}  # numbers of runs
-    t = F.create_map(*[F.lit(x) for n in sizes if n > 1 for x in (n, t_quantile(0.975, n - 1))]) if any(n > 1 for n in sizes) else None
-    return out.select("lang", F.round("mean", 9).alias("mean"), "n", F.round(F.col("err") / t[F.col("n")], 9).alias("se") if t is not None else F.lit(None).cast("double").alias("se"))
+    return evaluate.mean_ci(runs, ["lang"], "v").select("lang", F.round("mean", 9).alias("mean"), "n", F.round("err", 6).alias("err"))
 
 
 CURVE = """SELECT run, rank, CAST(sum(CASE WHEN new_seq THEN 0 ELSE 1 END) OVER w AS BIGINT) AS fp, CAST(sum(CASE WHEN new_seq THEN 1 ELSE 0 END) OVER w AS BIGINT) AS tp, CAST(sum(CASE WHEN new_seq THEN count ELSE 0 END) OVER w AS BIGINT) AS tp_count,
@@ -612,21 +721,32 @@ def j14_cluster_members(spark, sf_dir):
     return cluster_files.cluster_members(entries)
 
 
-@query()
+_COVERED = "(a[i] = b[i] OR a[i] = 'X' OR " + " OR ".join(f"(a[i] = '{k}' AND b[i] IN ('{v[0]}', '{v[1]}'))" for k, v in mutations.AMBIGUOUS.items()) + ")"
+
+
+@query(f"""WITH {OBS}, {VARIANTS}, {SEQUENCES}, o AS (SELECT split_part(acc, '-', 1) AS acc, m FROM obs), f AS (SELECT acc, min(m) AS first FROM o GROUP BY acc),
+p AS (SELECT DISTINCT first, m FROM o JOIN f USING (acc)), ok AS (SELECT first, p.m, length(a) = length(b) AND len(list_filter(range(1, length(a) + 1), lambda i: NOT {_COVERED})) = 0 AS ok
+  FROM (SELECT p.*, x.seq AS a, y.seq AS b FROM p JOIN seqs x ON x.m = first JOIN seqs y ON y.m = p.m) p)
+SELECT o.m, count(*) AS n, count(*) FILTER (ok AND CAST(o.acc AS BIGINT) % 7 <> 0) AS ok FROM o JOIN f USING (acc) JOIN ok ON ok.first = f.first AND ok.m = o.m GROUP BY o.m""")
 def j1_label_reconstruction(spark, sf_dir):
     obs = observations(spark, sf_dir).select("acc", "m").withColumn("acc", F.substring_index("acc", "-", 1))
-    reference = "ACDEFGHIKLMNPQRSTVWY" * 20 + "*"
+    reference = REFERENCE
     seen = mutations.apply_mutations(obs.groupBy("acc").agg(F.min("m").alias("m")), reference)
-    records = seen.select(F.concat(F.lit("h|EPI_ISL_"), "acc", F.lit("|x")).alias("header"), F.col("seq").alias("sequence"))
+    records = seen.select(F.concat(F.lit("h|EPI_ISL_"), "acc", F.lit("|x")).alias("header"), F.col("seq").alias("sequence")).where("split(header, '[|_]')[3] % 7 <> 0")
     return audit.label_reconstruction(obs, records, reference).groupBy("m").agg(F.count("*").alias("n"), F.count_if("reconstructed").alias("ok"))
 
 
-@query()
+@query(f"""WITH {OBS}, {VARIANTS}, far AS (SELECT arg_max(m, row(len(us), m)) AS far, arg_max(us, row(len(us), m)) AS fu FROM units)
+SELECT m AS given, TRUE AS round_trip, CAST(len(us) + len(fu) - 2 * len(list_intersect(us, fu)) AS INT) AS distance, CAST(CASE WHEN len(list_intersect(us, fu)) = len(us) THEN len(fu) - len(us) END AS INT) AS added FROM units, far""")
 def f12_f13_alignment_and_distance(spark, sf_dir):
-    reference = "ACDEFGHIKLMNPQRSTVWY" * 20 + "*"
+    """An alignment may stand for other mutations of the same score, so it is held to give the sequence back."""
     keys = observations(spark, sf_dir).select("m").distinct()
-    rows = mutations.align_mutations(mutations.apply_mutations(keys, reference).withColumnRenamed("m", "given"), reference)
-    return mutations.edit_distance(rows, "given", "m").select("given", "m", "distance")
+    seqs = mutations.apply_mutations(keys.withColumnRenamed("m", "given"), REFERENCE, "given")
+    again = mutations.apply_mutations(mutations.align_mutations(seqs, REFERENCE), REFERENCE, "m", "again")
+    far = keys.agg(F.max(F.struct(F.size(mutations.mutation_units("m")), "m")).alias("f")).select(F.col("f.m").alias("far"))  # one row
+    rows = again.join(F.broadcast(far)).withColumn("round_trip", F.col("seq") == F.col("again"))
+    rows = mutations.edit_distance(mutations.edit_distance(rows, "given", "far"), "given", "far", "added", insert_only=True)
+    return rows.select("given", "round_trip", "distance", "added")
 
 
 @query(f"""WITH s AS (SELECT doc_id, {LETTERS} AS seq, {_key(12, 'doc_id')} AS k FROM documents), c AS (SELECT doc_id, seq, CASE WHEN length(seq) > 1023 THEN k % (length(seq) - 1022) ELSE 0 END AS start FROM s),
@@ -653,7 +773,7 @@ def f22_clean_generated(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(cleaned.cast("binary")).alias("seq"))
 
 
-@query(f"WITH {PAIRS}, p AS (SELECT *, count1 / (count0 + count1) AS share FROM pairs WHERE greatest(count0, count1) >= 500 AND seq0 NOT LIKE '%stop%' AND seq1 NOT LIKE '%stop%') SELECT seq0, seq1, round(share, 9) AS label, CAST({_BRACKET.format(x='count1 / count0')} AS INT) AS tolerance, CAST({_DISCRETE.format(x='share')} AS INT) AS class, length(seq0) = length(seq1) AS same_length, FALSE AS extra_indel FROM p")
+@query(f"WITH {PAIRS}, p AS (SELECT *, count1 / (count0 + count1) AS share FROM pairs WHERE greatest(count0, count1) >= 500 AND seq0 NOT LIKE '%stop%' AND seq1 NOT LIKE '%stop%') SELECT seq0, seq1, round(share, 9) AS label, CAST({_BRACKET.format(x='count1 / count0')} AS INT) AS tolerance, CAST({_DISCRETE.format(x='share')} AS INT) AS class, length(seq0) = length(seq1) AS same_length, len(list_filter(string_split(seq1, ','), lambda t: (t LIKE '%del' OR t LIKE 'ins%') AND NOT contains(seq0, t))) > 0 AS extra_indel FROM p")
 def f24_f25_f26_pair_labels(spark, sf_dir):
     rows = tables.filter_pairs(_pairs(spark, sf_dir), min_max=500)
     label = pairs.pair_label("count0", "count1")
@@ -682,3 +802,55 @@ def f23_leading_weeks(spark, sf_dir):
 def f2_canonical_mutations(spark, sf_dir):
     text = F.expr("concat('(Spike_C', cast(10 + l_linenumber as int), 'D, A_', chr(cast(65 + l_suppkey % 20 as int)), '3T)')")
     return table(spark, sf_dir, "lineitem").select(mutations.canonical_mutations(text).alias("canonical")).groupBy("canonical").agg(F.count("*").alias("n"))
+
+
+# -- the other modes of operators --------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CASE WHEN instr(t, '*') > 0 THEN substr(t, 1, instr(t, '*')) ELSE t END AS ended, CASE WHEN doc_id % 3 = 0 THEN concat(lang, '*') END AS framed FROM (SELECT doc_id, lang, concat(lang, CASE WHEN doc_id % 2 = 0 THEN '*' ELSE '' END, source, '**') AS t FROM documents)")
+def f22_ended_and_framed(spark, sf_dir):
+    k = F.col("doc_id")
+    ended = F.concat("lang", F.when(k % 2 == 0, "*").otherwise(""), "source", F.lit("**"))
+    framed = F.concat(F.when(k % 3 == 0, "1").otherwise("0"), "lang", F.lit("2"), F.lit("rest"))
+    return table(spark, sf_dir, "documents").select("doc_id", tokens.clean_generated(ended, "end").alias("ended"), tokens.clean_generated(framed, "framed").alias("framed"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, {LETTERS} AS seq FROM documents), h AS (SELECT doc_id, seq, substr(seq, 1, 510) AS t FROM s WHERE length(seq) <= 510)
+SELECT doc_id, CAST(length(seq) + 2 AS INT) AS n_mask, md5(t) AS held FROM h""")
+def f15_pool_form(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", tokens.pool_form(tokens.encode(letters("text")), 512, F.lit(30)).alias("x")).where("x is not null")
+    alphabet = F.split(F.lit(tokens.LETTERS + "?*"), "")
+    n = F.aggregate("x.attention_mask", F.lit(0), lambda a, m: a + m)
+    text = F.array_join(F.transform(F.slice("x.input_ids", F.lit(3), n - 2), lambda i: F.get(alphabet, i)), "")
+    return rows.select("doc_id", n.alias("n_mask"), F.md5(text.cast("binary")).alias("held"))
+
+
+@query(f"WITH {OBS} SELECT DISTINCT m, CASE WHEN d <= DATE '1998-01-15' THEN 'old' ELSE 'new' END AS age FROM obs")
+def e8_new_vs_old_by_row(spark, sf_dir):
+    return splits.new_vs_old(observations(spark, sf_dir), "1998-01-15", by_first_seen=False)
+
+
+@query(f"""WITH {OBS}, c AS (SELECT lineage, count(*) AS total FROM obs GROUP BY lineage), r AS (SELECT lineage, (row_number() OVER (ORDER BY total DESC, lineage DESC) - 1) // 4 AS block FROM c),
+s AS (SELECT lineage, row_number() OVER (PARTITION BY block ORDER BY {_key(2, 'lineage')}, lineage) AS pos FROM r), p AS (SELECT lineage, CASE WHEN pos <= 3 THEN 'train' ELSE 'val' END AS split FROM s),
+j AS (SELECT m, lineage, count(*) AS n, any_value(split) AS split FROM obs JOIN p USING (lineage) GROUP BY m, lineage)
+SELECT * FROM j WHERE split = 'train' OR m NOT IN (SELECT m FROM j WHERE split = 'train')""")
+def w3_split_without_test(spark, sf_dir):
+    return splits.split_by_lineage(observations(spark, sf_dir), 3, 1, 0, seed=2)
+
+
+@query(f"""WITH {PAIRS}, far AS (SELECT seq0, seq1, count0, count1, period FROM pairs WHERE count0 >= 600)
+SELECT f.seq0, f.seq1, period, (SELECT string_agg(CAST(c AS BIGINT), ',' ORDER BY cum.w) FROM cum WHERE m = f.seq0 AND cum.w BETWEEN cum.week AND {LAST_WEEK}) AS weekly0,
+(SELECT string_agg(CAST(c AS BIGINT), ',' ORDER BY cum.w) FROM cum WHERE m = f.seq1 AND cum.w BETWEEN cum.week AND {LAST_WEEK}) AS weekly1 FROM far f""")
+def j2_with_weekly_counts(spark, sf_dir):
+    rows = _pairs(spark, sf_dir, with_weekly=True).where("count0 >= 600")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("long").cast("string")), ",")
+    return rows.select("seq0", "seq1", "period", text("weekly_counts0").alias("weekly0"), text("weekly_counts1").alias("weekly1"))
+
+
+@query("""WITH r AS (SELECT c_name AS taxon, CASE WHEN c_custkey % 2 = 0 THEN 'b' ELSE c_mktsegment END AS lineage FROM customer WHERE c_custkey % 5 <> 0)
+SELECT count(*) AS n, count(*) FILTER (lineage IS NULL) AS missing, count(*) FILTER (lineage IS NULL OR lineage <> c_mktsegment) AS mismatches, count(*) FILTER (lineage <> c_mktsegment) AS mismatches_known FROM customer LEFT JOIN r ON taxon = c_name""")
+def j10_repeated_reports(spark, sf_dir):
+    people = table(spark, sf_dir, "customer")
+    first = people.where("c_custkey % 5 <> 0").select(F.col("c_name").alias("taxon"), F.col("c_mktsegment").alias("lineage"), F.lit("a").alias("file"), F.col("c_custkey").alias("row"))
+    again = first.where("row % 2 = 0").select("taxon", F.lit("b").alias("lineage"), F.lit("b").alias("file"), "row")
+    return audit.reassignment_audit(people.select(F.concat("c_name", F.lit("|2024")).alias("virus_name"), F.col("c_mktsegment").alias("lineage")), tables.last_reports(again.union(first)))

@@ -14,10 +14,12 @@ def _unit(i: str) -> str:
     return f"concat(chr(CAST(65 + ({i}) % 20 AS INT)), CAST(10 * ({i}) + 7 AS INT), chr(CAST(65 + (({i}) * 7 + 3) % 20 AS INT)))"
 
 
-#: A variant's key: up to three mutations by the supplier's number; none is the reference.
+#: A variant's key: up to three substitutions by the supplier's number, runs of deletions, an insertion, a stop; none is the reference.
 VARIANT = (
     f"concat_ws(',', CASE WHEN l_suppkey % 2 = 0 THEN {_unit('l_suppkey % 5')} END, "
-    f"CASE WHEN l_suppkey % 3 <> 0 THEN {_unit('5 + l_suppkey % 11')} END, CASE WHEN l_suppkey % 5 <> 0 THEN {_unit('20 + l_suppkey % 17')} END)"
+    f"CASE WHEN l_suppkey % 3 <> 0 THEN {_unit('5 + l_suppkey % 11')} END, CASE WHEN l_suppkey % 5 <> 0 THEN {_unit('20 + l_suppkey % 17')} END, "
+    "CASE WHEN l_suppkey % 4 = 1 THEN 'W374del,Y375del' END, CASE WHEN l_suppkey % 8 = 5 THEN 'A376del' END, CASE WHEN l_suppkey % 6 = 2 THEN 'ins380GA' END, "
+    "CASE WHEN l_suppkey % 9 = 4 THEN 'P385del' END, CASE WHEN l_suppkey % 13 = 5 THEN 'W390stop' END)"
 )
 
 OBS = f"""obs AS (
@@ -26,6 +28,25 @@ OBS = f"""obs AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
+#: The reference sequence of the variants.
+REFERENCE = "ACDEFGHIKLMNPQRSTVWY" * 20 + "*"
+
+#: Tokens of every variant, its units (runs of deletions as one), its full sequence and the spans that changed.
+VARIANTS = """v AS (SELECT DISTINCT m, list_filter(string_split(m, ','), lambda t: t <> '') AS ts FROM obs),
+tok AS (SELECT m, i, t, CAST(regexp_extract(t, '[0-9]+') AS INT) AS pos, regexp_extract(t, '^[A-Za-z]+') AS ref, regexp_extract(t, '[A-Za-z]+$') AS alt
+  FROM (SELECT m, unnest(ts) AS t, unnest(range(1, len(ts) + 1)) AS i FROM v)),
+flagged AS (SELECT *, CASE WHEN alt = 'del' AND lag(alt) OVER w = 'del' AND lag(pos) OVER w + 1 = pos THEN 0 ELSE 1 END AS fresh,
+  CASE WHEN ref = 'ins' THEN length(alt) WHEN alt = 'del' THEN -1 ELSE length(alt) - 1 END AS delta FROM tok WINDOW w AS (PARTITION BY m ORDER BY i)),
+summed AS (SELECT *, sum(fresh) OVER w AS k, sum(delta) OVER w - delta AS s FROM flagged WINDOW w AS (PARTITION BY m ORDER BY i)),
+unit AS (SELECT m, k, string_agg(t, ',' ORDER BY i) AS u FROM summed GROUP BY m, k),
+units AS (SELECT v.m, coalesce(list(u ORDER BY k) FILTER (u IS NOT NULL), []) AS us FROM v LEFT JOIN unit ON v.m = unit.m GROUP BY v.m)"""
+
+SEQUENCES = f"""put AS (SELECT m, pos, string_agg(CASE WHEN alt = 'del' THEN '' ELSE alt END, '') AS alt FROM tok WHERE ref <> 'ins' GROUP BY m, pos),
+behind AS (SELECT m, pos, string_agg(alt, '' ORDER BY i) AS alt FROM tok WHERE ref = 'ins' GROUP BY m, pos),
+letter AS (SELECT m, p, substr('{REFERENCE}', p, 1) AS c FROM v, (SELECT CAST(unnest(range(1, {len(REFERENCE) + 1})) AS INT) AS p)),
+seqs AS (SELECT l.m, string_agg(concat(coalesce(put.alt, c), coalesce(behind.alt, '')), '' ORDER BY p) AS seq
+  FROM letter l LEFT JOIN put ON put.m = l.m AND put.pos = p LEFT JOIN behind ON behind.m = l.m AND behind.pos = p GROUP BY l.m)"""
+
 #: Observations with the week since the first date.
 WEEKS = OBS + ", wobs AS (SELECT *, CAST(floor((d - (SELECT min(d) FROM obs)) / 7) AS INT) AS w FROM obs)"
 

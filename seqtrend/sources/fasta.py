@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqtrend.operators.splits import enumerate_rows
+
 # Fixed value: the shape of a cluster's header.
 CLUSTER_HEADER = r"^>?(\S+)\s+(.*)\s+n=(\d+)\s+Tax=(.*)\s+TaxID=(\S*)\s+RepID=(\S+)\s*$"
 
@@ -22,12 +24,18 @@ def read_fasta(spark: SparkSession, path: str, header_sep: str | None = None) ->
 
 
 def write_fasta(df: DataFrame, path: str, m: str = "m", seq: str = "seq", numbered: bool = True) -> None:
-    """``>name`` and sequence; the name of ``""`` is REF, others have _ for commas, with a running number in the name."""
+    """``>name`` and sequence; the name of ``""`` is REF, others have _ for commas, with a running number in the name.
+
+    Equal records are counted before they are numbered and dealt again in pieces, so a name that a third of
+    all rows has is neither sorted nor written by one task.
+    """
     name = F.when(F.col(m) == "", "REF").otherwise(F.replace(F.col(m), F.lit(","), F.lit("_")))
     rows = df.select(name.alias("name"), F.col(seq).alias("seq"))
     if numbered:
-        number = F.row_number().over(Window.partitionBy("name").orderBy("seq")) - 1
-        rows = rows.withColumn("name", F.concat_ws("_", "name", number.cast("string")))
+        before = Window.partitionBy("name").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        counted = rows.groupBy("name", "seq").agg(F.count("*").alias("_n")).withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        numbered_rows = enumerate_rows(counted, "_n")
+        rows = numbered_rows.select(F.concat_ws("_", "name", (F.col("_at") + F.col("number")).cast("string")).alias("name"), "seq")
     rows.select(F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")).write.text(path)
 
 

@@ -9,12 +9,15 @@ from pyspark.sql import types as T
 from seqtrend.functions.dates import parse_date
 from seqtrend.functions.mutations import extract_mutations
 from seqtrend.functions.rand import rand_key
+from seqtrend.operators.ranks import random_rank
+from seqtrend.operators.series import date_window
 
 # The columns of a raw table, the spellings of the host, what stands for a missing value.
 RAW = ("Accession ID", "Virus name", "Host", "Location", "Submission date", "Collection date", "Pango lineage", "AA Substitutions")
 HUMAN = ("Human", "human")
 MISSING = ("", "NA", "N/A", "NULL", "null", "NaN", "nan", "None", "n/a", "<NA>", "#N/A")
 PAIR = "seq0 string, count0 double, seq1 string, count1 double, period int, weekly_counts0 array<double>, weekly_counts1 array<double>"
+NORMALISED = "acc string, virus_name string, location string, lineage string, d date, m string, month string"
 NESTED = "orig_sequence string, generations array<array<struct<parent:string,child:string,ll:double,ll_ratio:double,metric:double,parent_mutation_repr:string,child_mutation_repr:string,potential:double>>>"
 
 
@@ -37,12 +40,18 @@ def normalise(raw: DataFrame, datefield: str = "Submission date", protein: str =
 
 
 def write_normalised(df: DataFrame, path: str) -> None:
-    """Parquet by month, so date windows prune folders."""
-    df.withColumn("month", F.date_format("d", "yyyy-MM")).write.partitionBy("month").parquet(path)
+    """Parquet by month; ``load_normalised`` with a range reads only its months. A null date has a folder of its own.
 
+    Rows of a month are brought together first, in as many parts as their hash gives: few files per folder.
+    """
+    rows = df.withColumn("month", F.date_format("d", "yyyy-MM"))
+    rows.repartition("month", F.pmod(F.xxhash64("acc"), F.lit(8))).write.partitionBy("month").parquet(path)
 
-def load_normalised(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("month")
+
+def load_normalised(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The stored table, or its rows from ``start`` to ``end``, of which only the months' folders are read."""
+    rows = spark.read.schema(NORMALISED).parquet(path)
+    return date_window(rows, start, end).drop("month")
 
 
 def export_accessions(df: DataFrame, path: str) -> None:
@@ -84,12 +93,8 @@ def filter_pairs(pairs: DataFrame, min_max: float | None = None, min_min: float
 
 
 def cap_rows(df: DataFrame, n: int, seed: int, by: str, keys: list[str]) -> DataFrame:
-    """At most n random rows per value of ``by``: first the rows below the share that is wanted, then the exact cut."""
-    sizes = df.groupBy(by).count().withColumnRenamed("count", "_n")
-    near = F.lit(float(1 << 60)) * F.least(F.lit(1.0), (F.lit(float(n)) + 6 * F.sqrt(F.lit(float(n))) + 10) / F.col("_n"))
-    rows = df.join(F.broadcast(sizes), by).withColumn("_key", rand_key(seed, *keys)).where(F.col("_key") <= near)  # a few splits
-    ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy("_key", *keys)))
-    return ranked.where(F.col("_rn") <= n).drop("_n", "_key", "_rn")
+    """At most n random rows per value of ``by``: ranked in parts of the random key, so also where one value has most rows."""
+    return random_rank(df, seed, keys, "_rn", (by,)).where(F.col("_rn") <= n).select(*df.columns)
 
 
 def write_pairs(pairs: DataFrame, path: str, max_rows: int | None = None, seed: int = 0) -> None:
