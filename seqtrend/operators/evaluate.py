@@ -61,14 +61,14 @@ def classify_samples(samples: DataFrame, obs: DataFrame, cutoff: str, k: int = 1
     """
     firsts = first_seen(obs.select("seq", "m", "d", "acc", "lineage"), "m")
     dates = firsts.groupBy("lineage").agg(F.min("d").alias("_first"))
-    by_m = obs.groupBy("m", "seq").agg(F.count("*").alias("n"), F.collect_set("lineage").alias("ls"), F.min("d").alias("d"))
+    by_m = stored(obs.groupBy("m", "seq").agg(F.count("*").alias("n"), F.collect_set("lineage").alias("ls"), F.min("d").alias("d")), "variants")
     by_seq = by_m.groupBy("seq").agg(F.max_by("n", "m").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ls")))).alias("ls"), F.min("d").alias("d"))
     day = F.lit(cutoff).cast("date")
     old, new = by_seq.where(F.col("d") <= day), by_seq.where(F.col("d") > day)
-    valid = samples.where(is_valid_sample("seq")).select("seq").distinct()
-    m_old = match_known(valid, old)
+    valid = stored(samples.where(is_valid_sample("seq")).select("seq").distinct(), "valid")
+    m_old = stored(match_known(valid, old), "old")
     hits = m_old.where("matched is not null").select("seq", "matched", "exact", F.lit("old").alias("age"))
-    m_new = match_known(m_old.where("matched is null").select("seq"), new)
+    m_new = stored(match_known(m_old.where("matched is null").select("seq"), new), "new")
     hits = hits.union(m_new.where("matched is not null").select("seq", "matched", "exact", F.lit("new")))
     facts = hits.join(by_seq.select(F.col("seq").alias("matched"), "n", "ls", "d"), "matched")
     late = facts.select("seq", F.explode("ls").alias("lineage")).join(dates, "lineage").groupBy("seq").agg(F.min("_first").alias("_first"))
