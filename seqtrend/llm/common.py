@@ -2,36 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqtrend.sources.scratch import scratch_path, stored
+
+__all__ = ["connected_components", "join_counted", "keyed_anti", "let", "match_spans", "row_key", "scratch_path", "small", "stored"]
+
 #: A side of a join is broadcast only if it was counted and has no more rows than this (narrow rows).
 BROADCAST_ROWS = 1_000_000
 #: Edges that one task contracts; more of them are shuffled.
 TASK_EDGES = 200_000
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("seqtrend.scratch.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("seqtrend.scratch.dir", where)
-    return where
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A key with more rows than this is hot: its row of the other side is broadcast, not the key's rows dealt to one task.
+HOT_ROWS = 2_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -39,6 +22,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with a table of one row per key, whose column ``n`` says how many rows the key has.
+
+    Hot keys, of which there are at most a HOT_ROWS-th of the rows, are joined by a broadcast (if counted as few),
+    the others by a shuffle. Keys must not be null.
+    """
+    hot = table.where(F.col(n) > HOT_ROWS)
+    cold = table.where(F.col(n) <= HOT_ROWS)
+    if hot.isEmpty():
+        return rows.join(cold, keys)
+    return rows.join(small(hot), keys).unionByName(rows.join(small(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
 def row_key() -> Column:
     """Identifies a document's row by id and text, also where the id is null or repeated."""
     return F.xxhash64("doc_id", "text")
