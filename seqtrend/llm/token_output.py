@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqtrend.llm.common import scratch_dir
+from seqtrend.llm.common import scratch_path
 
 MAGIC, HEAD, BLOCK = b"TPK1", struct.Struct("<4sB3xIIQI4x"), 4096
 SEGMENT_IDS = 1 << 19
@@ -171,8 +171,9 @@ def _write(path: str, bits: int, end_id: int):
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1) -> None:
     """Encode every text (null: empty), append ``end_id`` to it, and write segments in ascending doc_id order.
 
-    Null ids come first. Rows of one id are ordered by their text's hash, so repeats need not share a task.
-    An empty table gives files without segments.
+    Null ids come first. Ties of an id are ordered by their text's hash, then as they come, so repeats need not
+    share a task; each repeated row is a document of its own. Very long texts are encoded whole. An empty table
+    gives files without segments. Other columns, whatever their names, are left out.
     """
     bits = max(1, (_tokenizer(tokenizer)[0].get_vocab_size() - 1).bit_length())
     order = ["doc_id", "_llm_text", "_llm_row"]
@@ -212,10 +213,8 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     import public_tokenizers
 
-    out = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    out = scratch_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), out, public_tokenizers.path("word_bpe_49k.json"))
     return read_tokens(spark, out)
