@@ -93,14 +93,14 @@ def _at_width(docs: DataFrame, items: DataFrame, width: int, similarity: float,
     probes = _doc_shingles(docs, width).select(*KEY, F.size("sh").alias("n"), F.posexplode("sh").alias("p", "s"))
     span = F.col("words") - (width - 1)
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - span))
-    hits = stored(probes.join(anchors, "s").select(*KEY, "words", start.alias("start")).distinct(), "windows")
+    hits = stored(probes.join(anchors, "s").select(*KEY, "words", start.alias("start"), "item_id").distinct(), "windows")
+    at = [*KEY, "words", "start"]
 
     touched = small(hits.select(F.col("doc_id").alias("_id"), F.col("_k").alias("_key")).distinct())
     texts = docs.select("doc_id", "text").join(touched, (row_key() == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sources = _doc_shingles(texts.dropDuplicates(["doc_id", "text"]), width).toDF("_id", "_key", "sh")
-    windows = hits.join(sources, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("doc_id")))
-    windows = windows.select(*KEY, "words", "start", F.slice("sh", F.col("start") + 1, span).alias("ws"))
-    at = [*KEY, "words", "start"]
+    windows = hits.select(*at).distinct().join(sources, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("doc_id")))
+    windows = windows.select(*at, F.slice("sh", F.col("start") + 1, span).alias("ws"))
     window_rows = stored(windows.select(*at, F.explode("ws").alias("s")).groupBy(*at, "s").agg(F.count("*").alias("w")), "window_shingles")
     each = lambda rows: rows.select("*", F.explode(F.array_repeat(F.lit(0), F.col("w").cast("int")))).drop("col")
 
@@ -108,7 +108,10 @@ def _at_width(docs: DataFrame, items: DataFrame, width: int, similarity: float,
     item_weights = item_rows.groupBy("item_id", "words", "s").agg(F.count("*").alias("v"))
     item_prints = simhash(item_rows, ["item_id", "words"])
     cut = lambda prints, name: prints.select("*", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("*", "b.*").drop("b").withColumnRenamed("fp", name)
-    pairs = cut(window_prints, "fp").join(small(cut(item_prints, "item_fp")), ["words", "block", "bits"])
+    # A window goes with the items it shares a shingle with, so a block of few bits meets few of the items.
+    same_at = (F.col("_k") == F.col("_hk")) & F.col("doc_id").eqNullSafe(F.col("_hid")) & (F.col("words") == F.col("_hwords")) & (F.col("start") == F.col("_hstart"))
+    anchored = window_prints.join(hits.toDF("_hid", "_hk", "_hwords", "_hstart", "item_id"), same_at).select(*at, "fp", "item_id")
+    pairs = cut(anchored, "fp").join(small(cut(item_prints, "item_fp")), ["item_id", "words", "block", "bits"])
     pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*at, "item_id").distinct()
 
     shared = pairs.join(small(item_weights.drop("words")), "item_id")
