@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqtrend.llm.common import connected_components, row_key, small, stored
+from seqtrend.llm.common import connected_components, join_counted, row_key, small, stored
 
 MIN_WORDS = 50
 WIDTH, SIMILARITY = 5, 0.8
@@ -217,21 +217,25 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     One row per paragraph (kind 'paragraph') or window ('passage') that another document has too; kept is
     true for the first of its component by doc_id and place. Rows of one doc_id and text are one document,
-    also where the id is null. Null and empty texts, short ones and empty tables give no rows.
+    also where the id is null; of repeated rows each gives its rows, and ties of the first are all kept. Very long
+    texts are read whole. Null and empty texts, short ones and empty tables give no rows. Other columns, whatever
+    their names, are left out.
     """
     units = stored(docs.select("doc_id", row_key().alias("_k"), "text").mapInArrow(_units, UNITS), "units")
     paragraphs, windows = units.where("bands is not null"), units.where("bands is null")
 
-    often = windows.groupBy("digest").agg(F.min("_k").alias("x"), F.max("_k").alias("y")).where("x <> y").select("digest")
-    passages = windows.join(often, "digest").select("doc_id", "_k", F.lit("passage").alias("kind"), "start", "n_words", F.col("digest").alias("component_id"))
+    often = windows.groupBy("digest").agg(F.min("_k").alias("x"), F.max("_k").alias("y"), F.count("*").alias("n")).where("x <> y").select("digest", "n")
+    passages = join_counted(windows, often, ["digest"]).select("doc_id", "_k", F.lit("passage").alias("kind"), "start", "n_words", F.col("digest").alias("component_id"))
 
     labels = paragraph_components(docs, paragraphs, similarity)
-    lines = paragraphs.join(labels, "digest", "left").select("doc_id", "_k", F.lit("paragraph").alias("kind"), "start", "n_words", F.coalesce("component", "digest").alias("component_id"))
-    spread = lines.groupBy("component_id").agg(F.min("_k").alias("x"), F.max("_k").alias("y")).where("x <> y").select("component_id")
-    found = stored(passages.union(lines.join(spread, "component_id").select(*passages.columns)), "repeats")
-    first = found.groupBy("kind", "component_id").agg(F.min(F.struct("doc_id", "_k", "start")).alias("f"))
+    classes = paragraphs.groupBy("digest").agg(F.count("*").alias("n"), F.min("_k").alias("x"), F.max("_k").alias("y")).join(labels, "digest", "left")
+    classes = stored(classes.select("digest", "n", "x", "y", F.coalesce("component", "digest").alias("component_id")), "classes")
+    spread = classes.groupBy("component_id").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x <> y").select("component_id")
+    lines = join_counted(paragraphs, stored(classes.join(spread, "component_id", "left_semi").select("digest", "component_id", "n"), "repeated"), ["digest"])
+    found = stored(passages.unionByName(lines.withColumn("kind", F.lit("paragraph")).select(*passages.columns)), "repeats")
+    first = stored(found.groupBy("kind", "component_id").agg(F.min(F.struct("doc_id", "_k", "start")).alias("f"), F.count("*").alias("n")), "first")
     kept = F.col("f.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("f._k") == F.col("_k")) & (F.col("f.start") == F.col("start"))
-    return found.join(first, ["kind", "component_id"]).select("doc_id", "_k", "kind", F.col("start").alias("start_word"), "n_words", "component_id", kept.alias("kept"))
+    return join_counted(found, first, ["kind", "component_id"]).select("doc_id", "_k", "kind", F.col("start").alias("start_word"), "n_words", "component_id", kept.alias("kept"))
 
 
 def without_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
