@@ -38,7 +38,7 @@ MARKS = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))  # a null id has no labels
 
 
 def pieces(word: str) -> list[str]:
@@ -170,7 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, tree
     """Learn from at most ``sample_rows`` labelled rows that aren't held out, the first in a hashed order.
 
     Three quarters of the sample grow the lexicon and the trees, the rest calibrates. Labels that are null,
-    or that contradict each other for a doc_id, are left out.
+    or that contradict each other for a doc_id, are left out; repeated labels count once, and repeated rows of
+    documents each. Without labels, or with one class only, the score is constant: the share of toxic labels,
+    0 for none. Null, empty and very long texts are measured whole like others; other columns are left alone.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out())
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
