@@ -22,7 +22,7 @@ def test_edits_against_full_encoding():
     parts = ["  ", "\n\n", " the", "re", "'ll", "don't", " 12", "345", "...", " é", "😀", "\t", "x", " word", "-"]
     for n in [0, 1, 3, 40, 400, 1500] * 60:
         text = "".join(rng.choices(parts, k=n))
-        tree = S.TokenTree(text, counter)
+        tree = S.TokenTree.of(text, counter)
         assert tree.total == len(whole.encode_ordinary(text))
         cuts = sorted(rng.randint(0, len(text)) for _ in range(2 * rng.randint(1, 6)))
         edits = [(a, b, "".join(rng.choices(parts, k=rng.randint(0, 40)))) for a, b in zip(cuts[::2], cuts[1::2])]
