@@ -1,10 +1,11 @@
 """Approximate nearest neighbours: a forest of sorted arrays of long hash strings (LSH forest).
 
 Each task indexes the vectors of its partition in segments of bounded size. A segment has, per tree, the
-sorted array of its vectors' hash strings of ``BITS`` bits. A query descends in every tree to its longest
-prefix match and then all trees ascend together, one bit at a time, until enough distinct vectors share the
-prefix in some tree; those are compared exactly. The queries, a stated set, go to all segments in blocks of
-bounded size, and only the best of each task leave it.
+sorted array of its vectors' hash strings of ``BITS`` bits, which are the sides of planes drawn from one pool.
+A query descends in every tree to its longest prefix match and then all trees ascend together, one bit at a
+time, until enough distinct vectors share the prefix in some tree; those are compared exactly. The queries, a
+stated set, go to all segments in blocks of bounded size (a segment is indexed once per block, a small part
+of what searching that many queries takes), and only the best of each task leave it.
 """
 
 from __future__ import annotations
@@ -13,14 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BITS, TREES = 24, 64
+BITS, TREES, PLANES = 24, 256, 512
 SEGMENT_ROWS = 16_384
-CANDIDATE_SHARE = 0.35
-LEAST_CANDIDATES = 512
-QUERY_BLOCK = 2048
+#: How many of a segment's vectors a query is compared with: this share, and this number at least.
+CANDIDATE_SHARE = 0.2
+LEAST_CANDIDATES = 768
+QUERY_BLOCK, TOGETHER = 32_768, 512
 SEED = 7
 
 
@@ -29,10 +32,15 @@ def hash_strings(vectors: np.ndarray, trees: int, bits: int, seed: int) -> np.nd
 
     The planes pass through the origin: directions, then, decide, and exact distances correct for length.
     """
-    planes = np.random.default_rng(seed).standard_normal((vectors.shape[1], trees * bits))
+    rng = np.random.default_rng(seed)
+    planes = rng.standard_normal((vectors.shape[1], PLANES))
+    drawn = np.argsort(rng.random((trees, PLANES)), axis=1)[:, :bits]  # each tree's planes
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    signs = (vectors / norms @ planes > 0).reshape(len(vectors), trees, bits)
-    return (signs @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))).T
+    signs = (vectors / norms @ planes > 0).T
+    out = np.zeros((trees, len(vectors)), np.int64)
+    for b in range(bits):
+        out = out << 1 | signs[drawn[:, b]]
+    return out
 
 
 class Forest:
@@ -54,8 +62,11 @@ class Forest:
 
     def candidates(self, queries: np.ndarray, least: int) -> Iterator[np.ndarray]:
         """Per query the vectors (indices) that share the longest prefix at which there are ``least`` of them."""
+        for at in range(0, len(queries), TOGETHER):
+            yield from self._candidates(queries[at : at + TOGETHER], min(least, len(self.vectors)))
+
+    def _candidates(self, queries: np.ndarray, least: int) -> Iterator[np.ndarray]:
         hashes = hash_strings(queries, self.trees, self.bits, self.seed)
-        least = min(least, len(self.vectors))
         bounds, done = {}, np.full(len(queries), -1)
         for level in range(self.bits, -1, -1):  # synchronous ascent
             shift = self.bits - level
@@ -146,10 +157,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = C
     blocks = -(-asked.count() // QUERY_BLOCK)
     found = None
     for b in range(blocks):
-        held: dict = {}
-        for r in asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect():  # about QUERY_BLOCK rows
-            held.setdefault(len(r.v), []).append((r.vec_id, r.v))
-        block = spark.sparkContext.broadcast({d: (np.array([i for i, _ in x], np.int64), np.array([v for _, v in x])) for d, x in held.items()})
+        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()  # about QUERY_BLOCK rows
+        ids, flat, sizes = rows.column("vec_id").to_numpy(), pc.list_flatten(rows.column("v")).to_numpy(), pc.list_value_length(rows.column("v")).to_numpy()
+        begins = np.cumsum(sizes) - sizes
+        held = {int(d): (ids[sizes == d], flat[begins[sizes == d][:, None] + np.arange(d)]) for d in np.unique(sizes)}
+        block = spark.sparkContext.broadcast(held)
         one = indexed.mapInArrow(_search(block, k, share, least, segment_rows), "query_id long, vec_id long, score double")
         found = one if found is None else found.union(one)
     if found is None:
