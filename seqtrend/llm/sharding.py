@@ -11,6 +11,8 @@ from seqtrend.llm.common import small, stored
 
 BITS = 60
 LIMIT_BYTES = 32 << 20
+#: Of the query, so that also the small tables are split.
+QUERY_LIMIT_BYTES = 1 << 18
 STEP = 8
 
 
@@ -110,7 +112,7 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES) -> None:
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = shard(docs)
+    out = shard(docs, QUERY_LIMIT_BYTES)
     return out.select("doc_id", "shard_id", "shard_part", text_bytes().alias("n_bytes"))
 
 
@@ -119,13 +121,13 @@ WITH d AS (
   SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
          ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents),
-at AS (SELECT unnest(range(0, {BITS + 1})) AS depth),
+depths AS (SELECT unnest(range(0, {BITS + 1})) AS depth),
 nodes AS (
-  SELECT depth, h >> ({BITS} - depth) AS prefix, sum(n_bytes) AS b, count(*) AS n FROM d, at GROUP BY ALL),
+  SELECT depth, h >> ({BITS} - depth) AS prefix, sum(n_bytes) AS b, count(*) AS n FROM d, depths GROUP BY ALL),
 leaf AS (
   SELECT d.doc_id, d.h, min(nodes.depth) AS depth
   FROM d JOIN nodes ON d.h >> ({BITS} - nodes.depth) = nodes.prefix
-  WHERE nodes.b <= {LIMIT_BYTES} OR nodes.n = 1 GROUP BY ALL)
+  WHERE nodes.b <= {QUERY_LIMIT_BYTES} OR nodes.n = 1 GROUP BY ALL)
 SELECT d.doc_id, CAST((1::BIGINT << leaf.depth) + (d.h >> ({BITS} - leaf.depth)) AS BIGINT) AS shard_id,
        CAST(0 AS BIGINT) AS shard_part, CAST(d.n_bytes AS BIGINT) AS n_bytes
 FROM d JOIN leaf USING (doc_id, h)
