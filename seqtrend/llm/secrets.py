@@ -1,8 +1,9 @@
 """Secret scans: fixed rules, and character Markov models of random strings and of ordinary identifiers.
 
 Only DataFrame functions run. The two first-order models are trained from labelled samples: what the rules
-matched, and generated strings, are random; the other tokens of a bounded sample of documents are ordinary.
-A token is a secret if the log-likelihood ratio of the models exceeds ``prior_log_odds``.
+matched, and generated strings, are random; the other tokens of a bounded sample of documents, and identifiers
+put together from its words, are ordinary. A token is a secret if the log-likelihood ratio of the models
+exceeds ``prior_log_odds``: how much rarer secrets are held to be than ordinary tokens of that length.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = r"[A-Za-z0-9+/_=-]{%d,}"
-LEAST_TOKEN, TRAIN_TOKEN = 20, 8
+LEAST_TOKEN, TRAIN_TOKEN = 16, 8
+LOG_ODDS = 16.0
 SAMPLE_DOCS, SAMPLE_STRINGS = 2000, 3000
 
 
@@ -43,18 +45,32 @@ def _outside(tokens: Column, base: Column) -> Column:
 
 
 def labelled_tokens(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings: int = SAMPLE_STRINGS) -> DataFrame:
-    """(random, token): from about ``sample_docs`` documents, chosen by a hash, generated random strings and runs of one character."""
-    total = docs.count()
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(total, 1))) < sample_docs).select("text")
+    """(random, token) from at most ``sample_docs`` documents, generated random strings, identifiers and runs of one character.
+
+    The documents are those with the smallest hashes of id and text; of repeats of one row so many as fit. Null
+    and empty texts give nothing, an empty table leaves the generated strings.
+    """
+    order = F.xxhash64(F.lit(31), F.col("doc_id"), F.col("text"))
+    last = docs.select(order.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]  # one number
+    sample = docs.where(order <= F.lit(last)).select("text").limit(sample_docs)
     sample = sample.select("text", base_spans(F.col("text")).alias("base"))
     values = F.concat(F.transform("base.assign", lambda s: F.regexp_extract(s["value"], ASSIGN, 2)), F.transform("base.access", lambda s: s["value"]), F.transform("base.hex", lambda s: s["value"]))
     secret = sample.select(F.lit(True).alias("random"), F.explode(values).alias("token")).where(F.length("token") >= LEAST_TOKEN)
     plain = _outside(match_spans(F.coalesce("text", F.lit("")), TOKEN % TRAIN_TOKEN), F.col("base"))
     plain = sample.select(F.lit(False).alias("random"), F.explode(F.transform(plain, lambda s: s["value"])).alias("token"))
     digest = F.unhex(F.sha2(F.concat(F.lit("seqtrend-"), F.col("id")), 256))
-    made = docs.sparkSession.range(sample_strings).select(F.lit(True).alias("random"), F.when(F.col("id") % 3 == 0, F.upper(F.base64(digest))).otherwise(F.base64(digest)).alias("token"))
+    forms = F.when(F.col("id") % 4 == 0, F.upper(F.base64(digest))).when(F.col("id") % 4 == 1, F.hex(digest)).when(F.col("id") % 4 == 2, F.lower(F.base64(digest))).otherwise(F.base64(digest))
+    made = docs.sparkSession.range(sample_strings).select(F.lit(True).alias("random"), forms.alias("token"))
+    # Identifiers: three words in a row, joined in the usual ways.
+    words = F.filter(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{2,12}"), F.lit(0)), lambda w: w != "")
+    at = lambda i, j: F.lower(F.get("w", i * 3 + j))
+    mark = lambda i: F.get(F.array(F.lit("_"), F.lit("-"), F.lit("/")), i % 3)
+    joined = lambda i: F.concat(at(i, 0), mark(i), at(i, 1), mark(i), at(i, 2))
+    camel = lambda i: F.concat(at(i, 0), F.initcap(at(i, 1)), F.initcap(at(i, 2)), (i * 7 % 30).cast("string"))
+    one = lambda i: F.when(i % 4 == 3, camel(i)).when(i % 8 == 1, F.upper(joined(i))).otherwise(joined(i))
+    named = sample.select(F.slice(words, 1, 60).alias("w")).where("size(w) >= 3").select(F.lit(False).alias("random"), F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 3).cast("int") - 1), one)).alias("token"))
     runs = docs.sparkSession.range(len(ALPHABET)).select(F.lit(False).alias("random"), F.repeat(F.substring(F.lit(ALPHABET), F.col("id").cast("int") + 1, F.lit(1)), 200).alias("token"))
-    return secret.union(plain).union(made).union(runs)
+    return secret.union(plain).union(named).union(made).union(runs)
 
 
 def train(tokens: DataFrame, smoothing: float = 0.5) -> list[float]:
@@ -83,7 +99,7 @@ def log_ratio(token: Column, ratios: list[float]) -> Column:
     return F.aggregate(scores, F.lit(0.0), lambda s, x: s + x)
 
 
-def scan(docs: DataFrame, ratios: list[float], prior_log_odds: float = 10.0, least: int = LEAST_TOKEN) -> DataFrame:
+def scan(docs: DataFrame, ratios: list[float], prior_log_odds: float = LOG_ODDS, least: int = LEAST_TOKEN) -> DataFrame:
     """One row per row of ``docs``: doc_id, assign, access, hex and markov arrays of (start, end, value).
 
     Null and empty texts have no spans. Markov spans never overlap a rule's span. Each row is scanned by
