@@ -58,10 +58,10 @@ def export_accessions(df: DataFrame, path: str) -> None:
     df.select(F.col("acc").cast("string")).write.text(path)
 
 
-def read_samples(spark: SparkSession, paths: str | list[str], score: str = "ll") -> DataFrame:
-    """(run, seq, score) of JSON lines; run is the file's name."""
+def read_samples(spark: SparkSession, paths: str | list[str], score: str = "ll", level: int = -1) -> DataFrame:
+    """(run, seq, score) of JSON lines; run is the file's name, or with ``level`` -2 that of its folder."""
     rows = spark.read.schema(f"seq string, {score} double").json(paths)
-    return rows.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("run"), "seq", F.col(score).alias("score"))
+    return rows.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), level).alias("run"), "seq", F.col(score).alias("score"))
 
 
 def read_generations(spark: SparkSession, path: str) -> DataFrame:

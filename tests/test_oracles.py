@@ -1,7 +1,7 @@
 import pytest
 from oracle import compare
 
-from seqtrend.plans import queries
+from seqtrend.plans import files, queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
