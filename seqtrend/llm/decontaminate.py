@@ -3,7 +3,8 @@
 Only DataFrame functions run. Windows have as many words as a benchmark item and are aligned on a word
 shingle that the item has too; a window without one has similarity 0. Windows and items whose fingerprints
 differ in at most ``RADIUS`` bits agree in one of ``RADIUS`` + 1 blocks of bits (pigeonhole), so joining on
-the blocks finds all of them. What is left is verified by exact weighted-shingle similarity: the sum of the
+the item and the blocks finds all of them. At similarity 0.8 about 1 window of 1,000 is beyond the radius, at
+0.9 fewer: that is the recall. What is left is verified by exact weighted-shingle similarity: the sum of the
 smaller over the sum of the larger weights, a shingle's weight being how often it occurs.
 """
 
@@ -88,8 +89,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 def _at_width(docs: DataFrame, items: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
     item_rows = items.select("item_id", "words", F.posexplode("sh").alias("q", "s"))
-    # The first place of a shingle in an item is enough to align on: it may stand anywhere in the document.
-    anchors = small(item_rows.groupBy("item_id", "words", "s").agg(F.min("q").alias("q")))
+    # Every place of a shingle in an item, so that every window is aligned that shares one in its place.
+    anchors = small(item_rows.select("item_id", "words", "s", "q"))
     probes = _doc_shingles(docs, width).select(*KEY, F.size("sh").alias("n"), F.posexplode("sh").alias("p", "s"))
     span = F.col("words") - (width - 1)
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - span))
