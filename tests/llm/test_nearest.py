@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from seqtrend.llm import nearest as S
@@ -32,6 +33,22 @@ def test_recall_and_scores(spark):
     assert set(ranks.values()) == {10}
 
 
+@pytest.mark.parametrize("folder", ["sf0.1/embeddings.parquet", "check_l/embeddings.parquet"])
+def test_recall_of_the_query(spark, folder):
+    """The registered parameters on 2,000 and on 51,282 vectors."""
+    vectors = spark.read.parquet(f"/root/testdata/{folder}")
+    rows = vectors.toArrow()
+    ids, all_vectors = rows.column("vec_id").to_numpy(), np.array(rows.column("embedding").to_pylist(), float)
+    want = set()
+    for i in np.nonzero(ids % 100 == 0)[0]:
+        far = np.sqrt(((all_vectors - all_vectors[i]) ** 2).sum(axis=1))
+        far[i] = np.inf
+        want |= {(int(ids[i]), int(ids[j])) for j in np.lexsort((ids, far))[:10]}
+    got = {(r.query_id, r.vec_id) for r in S.search(vectors, vectors.where("vec_id % 100 = 0")).collect()}
+    print("recall", len(got & want) / len(want))
+    assert len(got & want) >= 0.93 * len(want)
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (100, [0.0, 0.0]), (200, None), (300, [nan, 1.0]), (400, [inf, 1.0]), (500, []), (600, [3.0, 4.0]), (700, [1.0, 2.0, 3.0])]
