@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqtrend.llm.common import connected_components, keyed_anti, row_key, stored
+from seqtrend.llm.common import connected_components, join_counted, keyed_anti, row_key, stored
 
 SEED = 42
 HALF, RADIUS = 23, 3  # of the binary Golay code
@@ -115,18 +115,23 @@ def simhash_groups(docs: DataFrame, max_bits: int = 2) -> DataFrame:
     null component_id. An empty table gives an empty result.
     """
     rows = stored(fingerprints(docs), "fingerprints")
-    prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
+    prints = _classes(rows)
     return grouped(rows, connected_components(linked_prints(prints.select("fp"), max_bits)).withColumnRenamed("v", "fp"), prints)
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """(fp, first, n): the smallest doc_id and the number of rows of each fp."""
+    return stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "prints")
+
+
 def grouped(rows: DataFrame, labels: DataFrame, prints: DataFrame | None = None) -> DataFrame:
     """``rows`` (doc_id, _k, fp) with the smallest doc_id of the component of their fp; ``labels``: (fp, component)."""
-    prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints") if prints is None else prints
+    prints = _classes(rows) if prints is None else prints
     linked = prints.join(labels, "fp")
     lowest = linked.groupBy("component").agg(F.min("first").alias("lowest"))
     linked = linked.join(lowest, "component").select("fp", "lowest")
-    groups = prints.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
-    return rows.join(groups, "fp").select("doc_id", "_k", "fp", "component_id")
+    groups = prints.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"), "n")
+    return join_counted(rows, stored(groups, "groups"), ["fp"]).select("doc_id", "_k", "fp", "component_id")
 
 
 def keep_one_per_group(docs: DataFrame, max_bits: int = 2) -> DataFrame:
