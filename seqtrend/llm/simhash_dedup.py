@@ -101,6 +101,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def linked_prints(prints: DataFrame, max_bits: int) -> DataFrame:
     """(a, b), a < b: every pair of distinct fingerprints (column fp) at ``max_bits`` bits or fewer, once each."""
+    # A few bytes a row make many copies: they are made in as many tasks as a shuffle has, not one per file split.
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     placed = stored(prints.mapInArrow(_anchored(max_bits), "fp long, anchor long, home boolean"), "anchors")
     homes = placed.where("home").select("anchor", F.col("fp").alias("b")).hint("shuffle_hash")
     copies = placed.where("not home").select("anchor", F.col("fp").alias("a"))
