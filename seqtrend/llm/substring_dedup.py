@@ -1,6 +1,6 @@
 """Substring dedup: paragraphs by MinHash banding, and passages inside paragraphs by winnowed word windows.
 
-Paragraphs are lines of at least ``MIN_WORDS`` words. Equal ones fall together first; BANDS bands of ROWS
+Paragraphs are lines of at least ``MIN_WORDS`` words (a parameter; down to a shingle's five). Equal ones fall together first; BANDS bands of ROWS
 MinHashes over five-word shingles find similarity 0.8 with probability 1 - (1 - 0.8**3)**10 > 0.999. In a
 bucket every class is verified against the bucket's leader by exact Jaccard; then those of a bucket that are
 still in different components are verified against each other, block by block: that loses no component, and
@@ -87,14 +87,14 @@ def minhash_bands(shingles: np.ndarray, begins: np.ndarray, ends: np.ndarray) ->
     return keys
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _units(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
     names = ["doc_id", "_k", "start", "n_words", "digest", "bands"]
     for batch in batches:
         cols: list[list] = [[] for _ in names]
         for doc, k, text in zip(batch.column("doc_id").to_pylist(), batch.column("_k").to_pylist(), batch.column("text")):
             w = Words(text.as_py())
-            long = np.nonzero(w.counts >= MIN_WORDS)[0]
+            long = np.nonzero(w.counts >= min_words)[0]
             if len(long):
                 b, c = w.begins[long], w.counts[long]
                 keys = minhash_bands(w.runs(WIDTH), b, b + c - WIDTH + 1)
@@ -116,7 +116,7 @@ def _paragraph_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
         for text, starts, ids in zip(batch["text"], batch["starts"], batch["ids"]):
             w = Words(text)
             shingles = w.runs(WIDTH)
-            by_start = {b: c for b, c in zip(w.begins.tolist(), w.counts.tolist()) if c >= MIN_WORDS}
+            by_start = {b: c for b, c in zip(w.begins.tolist(), w.counts.tolist()) if c >= WIDTH}
             for start, digest in zip(starts, ids):
                 digests.append(digest)
                 sets.append(np.unique(shingles[start : start + by_start[start] - WIDTH + 1]).view(np.int64))
@@ -212,16 +212,18 @@ def common_counts(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarr
     return counts
 
 
-def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def repeats(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, _k, kind, start_word, n_words, component_id, kept): what repeats in other documents, and where.
 
     One row per paragraph (kind 'paragraph') or window ('passage') that another document has too; kept is
-    true for the first of its component by doc_id and place. Rows of one doc_id and text are one document,
+    true for the first of its component by doc_id and place. A paragraph has ``min_words`` words at least, and
+    WIDTH of them, for it needs a shingle: WIDTH compares all lines that have one. Rows of one doc_id and text are one document,
     also where the id is null; of repeated rows each gives its rows, and ties of the first are all kept. Very long
     texts are read whole. Null and empty texts, short ones and empty tables give no rows. Other columns, whatever
     their names, are left out.
     """
-    units = stored(docs.select("doc_id", row_key().alias("_k"), "text").mapInArrow(_units, UNITS), "units")
+    least = max(min_words, WIDTH)
+    units = stored(docs.select("doc_id", row_key().alias("_k"), "text").mapInArrow(lambda batches: _units(batches, least), UNITS), "units")
     paragraphs, windows = units.where("bands is not null"), units.where("bands is null")
 
     often = windows.groupBy("digest").agg(F.min("_k").alias("x"), F.max("_k").alias("y"), F.count("*").alias("n")).where("x <> y").select("digest", "n")
@@ -238,9 +240,9 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return join_counted(found, first, ["kind", "component_id"]).select("doc_id", "_k", "kind", F.col("start").alias("start_word"), "n_words", "component_id", kept.alias("kept"))
 
 
-def without_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def without_repeats(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with all but the kept paragraphs and windows cut from the texts."""
-    cuts = repeats(docs, similarity).where("not kept").groupBy(F.col("doc_id").alias("_llm_id"), F.col("_k").alias("_llm_k"))
+    cuts = repeats(docs, similarity, min_words).where("not kept").groupBy(F.col("doc_id").alias("_llm_id"), F.col("_k").alias("_llm_k"))
     cuts = small(cuts.agg(F.collect_list(F.struct("start_word", "n_words")).alias("_llm_cuts")))  # places in one text
 
     @F.pandas_udf("string")

@@ -6,19 +6,19 @@ import numpy as np
 from seqtrend.llm import substring_dedup as S
 
 
-def lines_of(text):
+def lines_of(text, min_words):
     at, out = 0, []
     for line in (text or "").encode().lower().split(b"\n"):
         w = line.split()
-        if len(w) >= S.MIN_WORDS:
+        if len(w) >= min_words:
             out.append((at, tuple(w)))
         at += len(w)
     return out
 
 
-def brute_paragraphs(rows):
+def brute_paragraphs(rows, min_words=S.MIN_WORDS):
     """{(doc, start): component} over exact Jaccard of all pairs of paragraphs, components over two documents or more."""
-    units = [(d, s, w, frozenset(w[i : i + 5] for i in range(len(w) - 4))) for d, t in rows for s, w in lines_of(t)]
+    units = [(d, s, w, frozenset(w[i : i + 5] for i in range(len(w) - 4))) for d, t in rows for s, w in lines_of(t, min_words)]
     parent = list(range(len(units)))
 
     def find(i):
@@ -47,6 +47,29 @@ def test_paragraphs_against_brute_force(spark, sf):
     assert len({frozenset(g) for g in got.values()} ^ want) <= 0.01 * len(want)
 
 
+def test_short_lines_are_paragraphs_on_demand(spark):
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    footers = [words(n) for n in (5, 6, 12, 30, 45)]
+    docs = []
+    for i in range(40):
+        lines = [words(rng.randint(1, 60)) for _ in range(3)]
+        line = list(footers[i % 5])
+        if len(line) > 40 and i % 2:
+            line[-1] = "edited"
+        lines.insert(rng.randint(0, 3), line)
+        docs.append((i, "\n".join(" ".join(x) for x in lines)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = defaultdict(set)
+    for r in S.repeats(df, min_words=5).where("kind = 'paragraph'").collect():
+        got[r.component_id].add((r.doc_id, r.start_word))
+    want = brute_paragraphs(docs, 5)
+    assert {frozenset(g) for g in got.values()} == want and len(want) == 5
+    assert S.repeats(df).where("kind = 'paragraph'").isEmpty()
+    left = "\n".join(r.text for r in S.without_repeats(df, min_words=5).collect()).split("\n")
+    assert all(sum(x == " ".join(f) for x in left) == 1 for f in footers)
+
+
 def test_chain_and_group(spark):
     rng = random.Random(4)
     words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
