@@ -139,12 +139,13 @@ def paragraph_components(docs: DataFrame, paragraphs: DataFrame, similarity: flo
     rep = F.min(F.struct("doc_id", "_k", "start")).alias("rep")
     classes = stored(paragraphs.groupBy("digest").agg(F.count("*").alias("n"), rep, F.first("bands").alias("bands")), "classes")
     keyed = classes.select("digest", "n", F.explode("bands").alias("key"))
-    several = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    keyed = stored(keyed.join(several, "key"), "buckets")
+    several = stored(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "several")
+    keyed = stored(join_counted(keyed, several, ["key"], "c"), "buckets")
     # The leader is the class that meets most others: of near copies, the one they were made from.
     met = keyed.groupBy("digest").agg(F.sum("c").alias("met"))
-    leaders = keyed.join(met, "digest").groupBy("key").agg(F.max(F.struct("met", "n", "digest")).alias("l")).select("key", F.col("l.digest").alias("leader"))
-    members = stored(keyed.join(leaders, "key").select("key", "digest", "leader", "c"), "members")
+    leaders = keyed.join(met, "digest").groupBy("key").agg(F.max(F.struct("met", "n", "digest")).alias("l"), F.max("c").alias("c"))
+    leaders = stored(leaders.select("key", F.col("l.digest").alias("leader"), "c"), "leaders")
+    members = stored(join_counted(keyed.select("key", "digest"), leaders, ["key"], "c").select("key", "digest", "leader", "c"), "members")
 
     wanted = classes.join(members.select("digest").distinct(), "digest", "left_semi").select("digest", "rep.*")
     wanted = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("_k").alias("_key")).agg(F.collect_list("start").alias("starts"), F.collect_list("digest").alias("ids"))  # of one text
@@ -154,9 +155,10 @@ def paragraph_components(docs: DataFrame, paragraphs: DataFrame, similarity: flo
 
     stars = stored(_verified(members.where("digest <> leader").select(F.col("digest").alias("a"), F.col("leader").alias("b")).distinct(), sets, similarity), "stars")
     labels = connected_components(stars)
-    placed = members.join(labels.withColumnRenamed("v", "digest"), "digest", "left").select("key", "digest", "c", F.coalesce("component", "digest").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    return connected_components(stars.union(_across(placed.join(mixed, "key", "left_semi"), sets, similarity))).withColumnRenamed("v", "digest")
+    placed = stored(members.join(labels.withColumnRenamed("v", "digest"), "digest", "left").select("key", "digest", F.coalesce("component", "digest").alias("component")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x <> y").select("key", "c")
+    apart = join_counted(placed, stored(mixed, "mixed"), ["key"], "c").select("key", "digest", "c", "component")
+    return connected_components(stars.union(_across(apart, sets, similarity))).withColumnRenamed("v", "digest")
 
 
 def _across(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
