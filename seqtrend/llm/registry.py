@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from seqtrend.llm import decontaminate, mixing, nearest, secrets, sharding, simhash_dedup, substring_dedup, token_counts, token_output, toxicity
+from seqtrend.llm import clustering, decontaminate, divergence, mixing, nearest, secrets, sharding, simhash_dedup, substring_dedup
+from seqtrend.llm import token_counts, token_output, toxicity, warc
 
 QUERIES = {
     "op1_token_output": token_output.op1,
@@ -16,7 +17,15 @@ QUERIES = {
     "op8_simhash_dedup": simhash_dedup.op8,
     "op9_sharding": sharding.op9,
     "op10_secrets": secrets.op10,
+    "op11_clustering": clustering.op11,
+    "op12_warc": warc.op12,
+    "op13_divergence": divergence.op13,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op9_sharding": sharding.OP9_SQL}
+ORACLES = {
+    "op9_sharding": sharding.OP9_SQL,
+    "op11_clustering": clustering.OP11_SQL,
+    "op12_warc": warc.OP12_SQL,
+    "op13_divergence": divergence.OP13_SQL,
+}
