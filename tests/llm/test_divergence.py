@@ -17,7 +17,11 @@ def brute(rows, least, top=10):
     out = []
     for lang, groups in counts.items():
         kept = [t for t, n in docs[lang].items() if n >= least]
-        share = lambda c: {t: 1 + 10**9 * (c[t] + 2) // (sum(c[x] for x in kept) + 2 * len(kept)) for t in kept}  # noqa: E731, B023
+
+        def share(c):
+            under = sum(c[x] for x in kept) + 2 * len(kept)  # noqa: B023
+            return {t: 1 + 10**9 * (c[t] + 2) // under for t in kept}  # noqa: B023
+
         f = lambda p, q: (p - q) ** 2 // (p + q)
         every = Counter()
         for c in groups.values():
