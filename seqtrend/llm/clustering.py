@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqtrend.llm.common import stored
@@ -190,8 +190,8 @@ def cluster(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, seed: int = SE
     found = stored(assign(rows, simplex, centroids), "clusters")
     digests = F.array(*[F.lit(hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for c in centroids.tolist()])
     sums = found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("_s"))
-    # One row a cluster, so at most k.
-    sums = sums.crossJoin(F.broadcast(sums.agg(F.sum("_s").alias("_all"))))
+    # One row a cluster, so at most k: one task adds them up, and they are broadcast.
+    sums = sums.withColumn("_all", F.sum("_s").over(Window.partitionBy(F.lit(0))))
     out = found.join(F.broadcast(sums), "cluster")
     return out.select("vec_id", "cluster", "distance", F.expr("try_cast(_s as bigint)").alias("cluster_inertia"), F.expr("try_cast(_all as bigint)").alias("inertia"), F.get(digests, F.col("cluster")).alias("centroid_sha256"), "compared")
 

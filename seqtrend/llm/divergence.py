@@ -8,16 +8,25 @@ taken from histograms of the counts, and of a correction for the terms that both
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqtrend.llm.common import small, stored
+from seqtrend.llm.common import BROADCAST_ROWS, small, stored
 
 LEAST_DOCUMENTS, TOP = 10, 10
 SCALE, PRIOR = 1_000_000_000, 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of ASCII letters and of all that is not ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+TERM_BYTES = rb"[a-z\x80-\xff]+"  # the same in UTF-8, lower-cased
+#: Different terms that a task holds at once.
+TASK_TERMS = 300_000
 WHOLE = "decimal(38,0)"
 
 
@@ -32,28 +41,73 @@ def apart(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def collapsed(docs: DataFrame) -> DataFrame:
+def text_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, counts): documents (lang, source, text, k) with the texts' SHA-256, and (lang, k, source, m), how many there are of each."""
+    clean = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = docs.select(clean("lang").alias("lang"), clean("source").alias("source"), clean("text").alias("text")).withColumn("k", F.unhex(F.sha2("text", 256)))
+    return rows, stored(rows.groupBy("lang", "k", "source").agg(F.count("*").alias("m")), "texts")
+
+
+def collapsed(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """(lang, text, sources): the distinct texts of every language with the number of documents per source.
 
-    Texts meet by their SHA-256, and one of equal texts leaves each task.
+    Where the texts that repeat were counted as few, their digests are broadcast, and a text that is alone in its
+    language stays in its task; repeated ones meet by their digest, and one of equal texts leaves each task.
+    Else all meet that way.
     """
-    clean = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(clean("lang").alias("lang"), clean("source").alias("source"), clean("text").alias("text")).withColumn("_k", F.unhex(F.sha2("text", 256)))
-    counts = rows.groupBy("lang", "_k", "source").agg(F.count("*").alias("m"))
-    counts = counts.groupBy("lang", "_k").agg(F.collect_list(F.struct("source", "m")).alias("sources"))  # as many as the language has sources
-    texts = rows.groupBy("lang", "_k").agg(F.first("text").alias("text"))
-    return texts.join(counts, ["lang", "_k"]).drop("_k")
+    sources = F.collect_list(F.struct("source", "m")).alias("sources")  # as many as the language has sources
+    held = counts.groupBy("lang", "k").agg(F.sum("m").alias("n"), sources)
+    often = stored(held.where("n > 1").drop("n"), "repeated")
+    meet = lambda part, table: part.groupBy("lang", "k").agg(F.first("text").alias("text")).join(table, ["lang", "k"]).select("lang", "text", "sources")
+    if often.count() > BROADCAST_ROWS:
+        return meet(rows, held)
+    digests = F.broadcast(often.select("lang", "k"))
+    alone = rows.join(digests, ["lang", "k"], "left_anti").select("lang", "text", F.array(F.struct("source", F.lit(1).cast("long").alias("m"))).alias("sources"))
+    return alone.unionByName(meet(rows.join(digests, ["lang", "k"], "left_semi"), often))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], most: int = TASK_TERMS) -> Iterator[pa.RecordBatch]:
+    """Counts of a task's texts, handed on whenever they have over ``most`` terms."""
+    lower, term = bytes.maketrans(UPPER.encode(), LOWER.encode()), re.compile(TERM_BYTES)
+    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for (lang, source), terms in held.items():
+            names = pa.array(terms, pa.binary()).cast(pa.string())
+            n, d = (pa.array([x[i] for x in terms.values()], pa.int64()) for i in (0, 1))
+            repeat = lambda v: pa.array([v], pa.string()).take(pa.array(np.zeros(len(terms), np.int32)))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([repeat(lang), names, repeat(source), n, d], ["lang", "term", "source", "n", "d"])
+        held.clear()
+
+    size = 0
+    for batch in batches:
+        for lang, text, sources in zip(batch.column("lang").to_pylist(), batch.column("text"), batch.column("sources").to_pylist()):
+            found = Counter(term.findall(text.as_py().translate(lower)))
+            for s in sources:
+                terms, m = held.setdefault((lang, s["source"]), {}), s["m"]
+                before = len(terms)
+                for word, n in found.items():
+                    if (x := terms.get(word)) is None:
+                        terms[word] = [n * m, m]
+                    else:
+                        x[0] += n * m
+                        x[1] += m
+                size += len(terms) - before
+            if size > most:
+                yield from rows()
+                size = 0
+    yield from rows()
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
-    """(lang, term, source, n, d): occurrences and documents of every term, from collapsed texts."""
-    words = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    rows = texts.select("lang", "sources", words.alias("words"))
-    # Every word once for its count, and every different word once more for its document.
-    marked = F.concat(F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(1).alias("one"), F.lit(0).alias("doc"))), F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("one"), F.lit(1).alias("doc"))))
-    rows = rows.select("lang", "sources", F.explode(marked).alias("w"))
-    rows = rows.select("lang", "w.*", F.explode("sources").alias("s"))
-    return rows.groupBy("lang", "term", F.col("s.source").alias("source")).agg(F.sum(F.col("s.m") * F.col("one")).alias("n"), F.sum(F.col("s.m") * F.col("doc")).alias("d"))
+    """(lang, term, source, n, d): occurrences and documents of every term, from collapsed texts, each cut into terms once.
+
+    Terms are looked for in UTF-8, where a character beyond ASCII is bytes of 128 and more. A task adds up before
+    it hands on; a third of the texts in one group are so many additions and few rows.
+    """
+    rows = texts.select("lang", F.col("text").cast("binary").alias("text"), "sources")
+    parts = rows.mapInArrow(_counted, "lang string, term string, source string, n long, d long")
+    return parts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, top: int = TOP) -> DataFrame:
@@ -65,9 +119,9 @@ def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, top: int = TO
     takes part with counts of 0; a language without kept terms has pairs of value 0 and no terms. Ties go to
     the smaller item. An empty table stays empty.
     """
-    texts = stored(collapsed(docs), "texts")
-    groups = texts.select("lang", F.explode("sources.source").alias("source")).distinct()
-    counts = stored(term_counts(texts), "terms")
+    rows, documents = text_counts(docs)
+    groups = documents.select("lang", "source").distinct()
+    counts = stored(term_counts(collapsed(rows, documents)), "terms")
     kept = counts.groupBy("lang", "term").agg(F.sum("d").alias("d"), F.sum("n").alias("all")).where(F.col("d") >= least_documents).drop("d")
     kept = stored(kept, "kept")
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("all").alias("lang_total"))

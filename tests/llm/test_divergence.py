@@ -57,7 +57,10 @@ def test_ties_and_letters(spark):
     assert sorted(tuple(r) for r in D.audit(df).collect()) == brute(rows, 10)
 
 
-def test_repeats_are_tokenised_once(spark):
-    rows = [("same words in a text", "en", s) for s in "ab" for _ in range(500)] + [("other words", "en", "a")] * 10
-    texts = D.collapsed(spark.createDataFrame(rows, "text string, lang string, source string").repartition(4)).collect()
-    assert sorted((r.text, sorted((s.source, s.m) for s in r.sources)) for r in texts) == [("other words", [("a", 10)]), ("same words in a text", [("a", 500), ("b", 500)])]
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_repeats_are_tokenised_once(spark, monkeypatch, most):
+    monkeypatch.setattr(D, "BROADCAST_ROWS", most)
+    rows = [("same words in a text", "en", s) for s in "ab" for _ in range(500)] + [("other words", "en", "a")] * 10 + [("same words in a text", "de", "b"), ("alone", "en", "c")]
+    texts = D.collapsed(*D.text_counts(spark.createDataFrame(rows, "text string, lang string, source string").repartition(4))).collect()
+    want = [("de", "same words in a text", [("b", 1)]), ("en", "alone", [("c", 1)]), ("en", "other words", [("a", 10)]), ("en", "same words in a text", [("a", 500), ("b", 500)])]
+    assert sorted((r.lang, r.text, sorted((s.source, s.m) for s in r.sources)) for r in texts) == want
