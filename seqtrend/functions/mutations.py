@@ -133,36 +133,78 @@ def spans(m: str) -> list[tuple[int, int]]:
     return [(max(0, a), b) for a, b in out]
 
 
-def _gotoh(ref: str, seq: str, band: int, gap_open: float = -4.0, gap_extend: float = -0.1) -> tuple[float, str]:
-    """Score and steps (M, D, I) of a global alignment inside a band: match 1, mismatch -1, affine gaps.
+# Scores of an alignment, in tenths so that sums are exact.
+MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND = 10, -10, -40, -1
+#: Score of what can't be, and cells whose steps are held at once.
+NEVER, CELLS = -(10**12), 1 << 24
 
-    By anti-diagonals; cells further than ``band`` from the main diagonal are left out.
+
+def _rows(a: np.ndarray, b: np.ndarray, m: int, band: int, state: np.ndarray, first: int, steps: np.ndarray | None = None) -> np.ndarray:
+    """Scores (pair, gap in seq, gap in ref; place in the band) of the row behind the last letter of ``a``.
+
+    ``state`` has those of row ``first``, ``b`` the letters padded by the band. Place t of row i is column
+    i - band + t. ``steps`` takes, per cell, where each of the three came from, two bits each.
     """
-    n, m = len(ref), len(seq)
-    a, b = np.frombuffer(ref.encode("utf-32-le"), "<u4"), np.frombuffer(seq.encode("utf-32-le"), "<u4")
-    low = -1e18
-    score = np.full((3, n + 1, m + 1), low)  # ends in: pair, gap in seq (D), gap in ref (I)
-    score[0, 0, 0] = 0.0
-    score[1, 1:, 0] = gap_open + gap_extend * np.arange(n)
-    score[2, 0, 1:] = gap_open + gap_extend * np.arange(m)
-    for d in range(2, n + m + 1):
-        i = np.arange(max(1, d - m, (d - band) // 2), min(n, d - 1, (d + band) // 2) + 1)
-        j = d - i
-        score[0, i, j] = score[:, i - 1, j - 1].max(axis=0) + np.where(a[i - 1] == b[j - 1], 1.0, -1.0)
-        score[1, i, j] = np.maximum(np.maximum(score[0, i - 1, j], score[2, i - 1, j]) + gap_open, score[1, i - 1, j] + gap_extend)
-        score[2, i, j] = np.maximum(np.maximum(score[0, i, j - 1], score[1, i, j - 1]) + gap_open, score[2, i, j - 1] + gap_extend)
-    state, i, j, steps = int(score[:, n, m].argmax()), n, m, []
-    total = float(score[state, n, m])
-    while i or j:
-        steps.append("MDI"[state])
-        if state == 0:
-            i, j = i - 1, j - 1
-            state = int(score[:, i, j].argmax())
-        else:
-            i, j = (i - 1, j) if state == 1 else (i, j - 1)
-            came = score[:, i, j] + np.array([gap_extend if k == state else gap_open for k in range(3)])
-            state = int(came.argmax())
-    return total, "".join(reversed(steps))
+    width = 2 * band + 1
+    along = GAP_EXTEND * np.arange(width)
+    for r, letter in enumerate(a):
+        i = first + r + 1
+        pair, down, right = state
+        best = np.maximum(np.maximum(pair, down), right)
+        now = np.full((3, width), NEVER)
+        now[0] = best + np.where(b[i : i + width] == letter, MATCH, MISMATCH)
+        opened = np.maximum(pair, right)[1:] + GAP_OPEN
+        now[1, :-1] = np.maximum(opened, down[1:] + GAP_EXTEND)
+        low, high = max(0, band - i), min(width, m - i + band + 1)  # columns 0 to m
+        now[0, : max(0, band - i + 1)] = NEVER
+        now[:2, :low] = now[:2, high:] = NEVER
+        # A gap in the reference runs along the row: the best place to open it is a running maximum.
+        base = np.maximum(now[0], now[1])
+        now[2, 1:] = np.maximum.accumulate(base - along)[:-1] + along[:-1] + GAP_OPEN
+        now[2, :low] = now[2, high:] = NEVER
+        if steps is not None:
+            steps[r] = np.where(pair == best, 0, np.where(down == best, 1, 2))
+            up = np.maximum(opened, down[1:] + GAP_EXTEND)
+            steps[r, :-1] |= np.where(pair[1:] + GAP_OPEN == up, 0, np.where(down[1:] + GAP_EXTEND == up, 4, 8)).astype(np.uint8)
+            steps[r, 1:] |= np.where(now[0, :-1] + GAP_OPEN == now[2, 1:], 0, np.where(now[1, :-1] + GAP_OPEN == now[2, 1:], 16, 32)).astype(np.uint8)
+        state = now
+    return state
+
+
+def _gotoh(ref: str, seq: str, band: int) -> tuple[int, str]:
+    """Score in tenths and steps (M, D, I) of a best global alignment inside a band, with affine gaps.
+
+    Rows are scored one after another and only every so many are kept; from the last on, the steps of a stretch
+    between two of them are found again when the path gets there. So memory is in proportion to the root of
+    the band's cells, not to them, and a row is scored twice.
+    """
+    n, m, width = len(ref), len(seq), 2 * band + 1
+    a, b = (np.frombuffer(x.encode("utf-32-le"), "<u4").astype(np.int64) for x in (ref, seq))
+    b = np.concatenate([np.full(band + 1, -1), b, np.full(max(0, n + width - m), -1)])
+    state = np.full((3, width), NEVER)
+    state[0, band] = 0
+    state[2, band + 1 : band + 1 + m] = GAP_OPEN + GAP_EXTEND * np.arange(min(band, m))
+    stretch = max(1, n if n * width <= CELLS else min(n, int(np.sqrt(24 * n)), max(1, CELLS // width)))
+    kept = [state]
+    for at in range(0, n, stretch):
+        if at + stretch < n:
+            kept.append(_rows(a[at : at + stretch], b, m, band, kept[-1], at))
+    path, i, j, kind, total = [], n, m, None, 0
+    for k in range(len(kept) - 1, -1, -1):
+        begin = k * stretch
+        steps = np.zeros((min(stretch, n - begin), width), np.uint8)
+        last = _rows(a[begin : begin + stretch], b, m, band, kept[k], begin, steps)
+        if kind is None:
+            end = last[:, m - n + band]
+            kind = int(end.argmax())
+            total = int(end[kind])
+        while i > begin:
+            came = int(steps[i - begin - 1, j - i + band]) >> 2 * kind & 3
+            path.append("MDI"[kind])
+            i, j, kind = i - (kind != 2), j - (kind != 1), came
+        kept.pop()
+    path.append("I" * j)
+    return total, "".join(reversed(path))
 
 
 def global_alignment(ref: str, seq: str) -> tuple[float, str]:
@@ -179,15 +221,16 @@ def global_alignment(ref: str, seq: str) -> tuple[float, str]:
     while head < min(n, m) - tail and ref[head] == seq[head]:
         head += 1
     a, b = ref[head : n - tail], seq[head : m - tail]
-    band = abs(len(a) - len(b)) + 16
+    apart = abs(len(a) - len(b))
+    band = apart + 16
     while True:
         score, steps = _gotoh(a, b, band)
         # Beyond the band a path has gaps of over (band + difference) / 2 letters one way, and so fewer pairs.
-        gaps = (band + abs(len(a) - len(b))) // 2
-        if band >= max(len(a), len(b)) or score >= max(0, min(len(a), len(b)) - gaps) - 8.0:
+        gaps = (band + apart) // 2
+        if band >= max(len(a), len(b)) or score >= MATCH * max(0, min(len(a), len(b)) - gaps) + 2 * GAP_OPEN:
             break
         band *= 2
-    return score + head + tail, "M" * head + steps + "M" * tail
+    return (score + MATCH * (head + tail)) / 10, "M" * head + steps + "M" * tail
 
 
 def aligned(ref: str, seq: str, merge_insertions: bool = True) -> str:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,54 +105,50 @@ def masked_example(df: DataFrame, seed: int, shortest: int = 1, longest: int = 5
     return rows.withColumn("example", mask_at(s, F.col("mask_start"), F.col("mask_length"))).drop("_left", "_right", "_most", "_room")
 
 
-def tiles(size: int, seed: int, salt: str, shortest: int, longest: int) -> list[tuple[int, int]]:
-    """(start, length) of consecutive masks of random length over ``size`` letters; never two of length 0 in a row."""
-    import random
+def tiles(seq: Column | str, seed: int | str, shortest: int, longest: int) -> Column:
+    """array<struct<mask_start,mask_length>>: consecutive masks of random length over the sequence, the last may
+    reach beyond it; never two of length 0 in a row.
 
-    rng, out, at = random.Random(f"{seed}|{salt}"), [], 0
-    while at < size:
-        low = max(shortest, 1) if out and out[-1][1] == 0 else shortest
-        out.append((at, rng.randint(low, longest)))
-        at += out[-1][1]
-    return out
+    A fold over draws that are keyed by seed, sequence and number. A sequence of n letters has at most 2n tiles.
+    """
+    if longest < max(shortest, 1):
+        raise ValueError("the longest mask is too short")
+    s = _col(seq)
+    kind = "array<struct<mask_start:int,mask_length:int>>"
+    state = F.struct(F.length(s).alias("n"), rand_key(seed, s).alias("key"), F.lit(0).alias("at"), F.lit(-1).alias("last"), F.array().cast(kind).alias("out"))
 
+    def step(t: Column, i: Column) -> Column:
+        low = F.when(t["last"] == 0, max(shortest, 1)).otherwise(shortest)
+        drawn = (low + F.pmod(rand_key(seed, t["key"], i), (longest - low + 1).cast("long"))).cast("int")
 
-def tile_masks(df: DataFrame, seed: int, shortest: int = 0, longest: int = 128, seq: str = "seq", spans: str | None = None, least_extra: int = 0) -> DataFrame:
-    """``df`` with one row per tile (mask_start, mask_length) of the sequence.
+        def add(k: Column) -> Column:
+            out = F.concat(t["out"], F.array(F.struct(t["at"].alias("mask_start"), k.alias("mask_length"))))
+            return F.struct(t["n"].alias("n"), t["key"].alias("key"), (t["at"] + k).alias("at"), k.alias("last"), out.alias("out"))
 
-    With ``spans`` (array<struct<start,end>>) only one tile per changed place not yet covered is kept, and as
-    many more at random, ``least_extra`` at least. Draws depend on seed and sequence alone.
-    """
-    import random
-
-    def chosen(text: str, changes) -> list[dict]:
-        every = tiles(len(text), seed, text, shortest, longest)
-        if changes is None:
-            return [{"mask_start": a, "mask_length": n} for a, n in every]
-        kept, covered = [], set()
-        for c in changes:
-            for place in range(c["start"], c["end"]):
-                hit = next((t for t in every if t[0] <= place < t[0] + t[1]), None)
-                if place not in covered and hit:
-                    kept.append(hit)
-                    covered.update(range(hit[0], sum(hit)))
-        extra = min(max(least_extra, len(kept)), len(every))
-        kept += random.Random(f"{seed}|extra|{text}").sample(every, extra)
-        return [{"mask_start": a, "mask_length": n} for a, n in kept]
+        # An array of one: a length is drawn once.
+        return F.when(t["at"] < t["n"], F.element_at(F.transform(F.array(drawn), add), 1)).otherwise(t)
 
-    kind = "array<struct<mask_start:int,mask_length:int>>"
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), 2 * F.length(s))), state, step, lambda t: t["out"])
 
-    @F.pandas_udf(kind)
-    def plain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([chosen(t or "", None) for t in texts], dtype=object)
 
-    @F.pandas_udf(kind)
-    def covering(texts: pd.Series, changes: pd.Series) -> pd.Series:
-        return pd.Series([chosen(t or "", c if c is not None else []) for t, c in zip(texts, changes)], dtype=object)
+def tile_masks(df: DataFrame, seed: int | str, shortest: int = 0, longest: int = 128, seq: str = "seq", spans: str | None = None, least_extra: int = 0) -> DataFrame:
+    """``df`` with one row per tile (mask_start, mask_length) of the sequence.
 
-    found = plain(seq) if spans is None else covering(seq, spans)
-    return df.withColumn("_tiles", found).select("*", F.explode("_tiles").alias("_tile")).select("*", "_tile.*").drop("_tiles", "_tile")
+    With ``spans`` (array<struct<start,end>>) only the tiles that hold a changed place are kept, and as many
+    more of all tiles at random, ``least_extra`` at least, each at most once. Draws depend on seed and sequence
+    alone. A null or empty sequence has no tiles, null spans are none.
+    """
+    rows = df.withColumn("_every", tiles(seq, seed, shortest, longest))
+    chosen = F.col("_every")
+    if spans is not None:
+        touched = lambda t: F.exists(spans, lambda c: (c["start"] < t["mask_start"] + t["mask_length"]) & (c["end"] > t["mask_start"]) & (c["end"] > c["start"]))
+        rows = rows.withColumn("_hit", F.filter("_every", lambda t: (t["mask_length"] > 0) & F.coalesce(touched(t), F.lit(False))))
+        rows = rows.withColumn("_key", rand_key(seed, seq))
+        drawn = F.array_sort(F.transform("_every", lambda t, i: F.struct(rand_key(f"{seed}-extra", F.col("_key"), i).alias("k"), i.alias("i"), t.alias("t"))))
+        extra = F.transform(F.slice(drawn, F.lit(1), F.greatest(F.lit(least_extra), F.size("_hit"))), lambda x: x["t"])
+        chosen = F.concat("_hit", extra)
+    rows = rows.withColumn("_tile", F.explode(chosen)).select("*", "_tile.*")
+    return rows.drop("_every", "_hit", "_key", "_tile")
 
 
 def sliding_stimuli(df: DataFrame, window: int = 64, step: int = 32, frozen: list[int] | None = None, seq: str = "seq") -> DataFrame:

@@ -22,6 +22,8 @@ from seqtrend.sources.scratch import stored
 BRACKETS = ((0.0, 1e-5, 5), (1e-5, 1e-4, 4), (1e-4, 1e-3, 3), (1e-3, 1e-2, 2), (1e-2, 1e-1, 1), (1e-1, 1.0, 0))
 LEAD_RATIO, MIN_LEAD, MIN_TOTAL = 2, 8, 10
 CHI2_LEAST = 5
+#: Rows of one week and decade from which they are dealt to several tasks.
+TASK_ROWS = 20_000
 
 
 def bracket(ratio: Column, brackets=BRACKETS) -> Column:
@@ -32,14 +34,41 @@ def bracket(ratio: Column, brackets=BRACKETS) -> Column:
     return out
 
 
-def week_band_pairs(series: DataFrame, last_week: int, cap: int | None = None, seed: int = 0, brackets=BRACKETS, min_lead: int = MIN_LEAD, min_total: int = MIN_TOTAL, with_weekly: bool = False) -> DataFrame:
+def _decade(count: Column) -> Column:
+    """0 for counts below 1, else 1 and the power of ten: it grows with the count."""
+    return F.when(count < 1, 0).otherwise(1 + F.floor(F.log10(count))).cast("int")
+
+
+def band_candidates(leaders: DataFrame, partners: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Leaders with the partners of their week and offset whose count is in the decades of theirs, [low, high).
+
+    Leaders have (seq0, w1, o, low, high), partners (seq1, w1, o, count1). Both are dealt by week, offset and
+    decade; where a key has more than ``task_rows`` rows on a side, those are dealt to parts by a hash of the
+    variant and meet all parts of the other side. The keys are weeks by offsets by decades, so their table is
+    broadcast.
+    """
+    key = ["w1", "o", "band"]
+    a = leaders.withColumn("band", F.explode(F.sequence(_decade(F.col("low")), _decade(F.col("high")))))
+    b = partners.withColumn("band", _decade(F.col("count1")))
+    sizes = a.groupBy(*key).agg((F.floor(F.count("*") / task_rows) + 1).alias("_na"))
+    sizes = sizes.join(b.groupBy(*key).agg((F.floor(F.count("*") / task_rows) + 1).alias("_nb")), key)
+    sizes = F.broadcast(stored(sizes, "sizes"))
+    parts = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = a.join(sizes, key).withColumn("_a", F.pmod(F.xxhash64("seq0"), F.col("_na"))).withColumn("_b", parts("_nb")).drop("_na", "_nb")
+    b = b.join(sizes, key).withColumn("_b", F.pmod(F.xxhash64("seq1"), F.col("_nb"))).withColumn("_a", parts("_na")).drop("_na", "_nb")
+    return a.join(b, [*key, "_a", "_b"]).drop("band", "_a", "_b")
+
+
+def week_band_pairs(
+    series: DataFrame, last_week: int, cap: int | None = None, seed: int = 0, brackets=BRACKETS, min_lead: int = MIN_LEAD, min_total: int = MIN_TOTAL, with_weekly: bool = False
+) -> DataFrame:
     """(seq0, count0, seq1, count1, period[, weekly_counts0, weekly_counts1]): leading and partner variant.
 
     A leading variant of ``min_total`` sightings is compared with those first seen within the weeks that its
-    total tolerates; with ``cap`` only with that many of them, at random. The weeks of a band are exploded,
-    so the join is an equi-join on the week; what doesn't depend on the partner is filtered before it. Both
-    are counted as many weeks after their first as the later one has: its total, and the earlier one's count
-    at most the widest tolerance before the end. So only the last few counts go through the join.
+    total tolerates; with ``cap`` only with that many of them, at random. Both are counted as many weeks after
+    their first as the later one has: its total, and the earlier one's count at most the widest tolerance before
+    the end. So only the last few counts matter. The weeks of a band are exploded, and with the week a leader
+    knows its own count and the limits of its partner's: they meet by week and by the decade of that count.
     """
     widest = max(t for *_, t in brackets)
     total, tail = F.element_at("counts", -1), F.reverse(F.slice("counts", -(widest + 1), widest + 1))
@@ -47,20 +76,29 @@ def week_band_pairs(series: DataFrame, last_week: int, cap: int | None = None, s
     lead = series.where(total >= min_total).select(F.col("m").alias("seq0"), F.col("week").alias("w0"), tail.alias("c0"), bracket(1 / total, brackets).alias("_t"))
     lead = lead.where(F.col("_t").isNotNull() & (last_week - F.col("w0") + 1 >= min_lead))
     lead = lead.withColumn("w1", F.explode(F.sequence(F.greatest(F.lit(0), F.col("w0") - F.col("_t")), F.least(F.lit(last_week), F.col("w0") + F.col("_t")))))
+    gap, later = F.abs(F.col("w1") - F.col("w0")), F.greatest("w0", "w1")
+    lead = lead.withColumns({"gap": gap, "period": (last_week - later + 1).cast("int"), "count0": F.get("c0", F.greatest(F.col("w1") - F.col("w0"), F.lit(0))), "o": F.greatest(F.col("w0") - F.col("w1"), F.lit(0))})
+    lead = lead.drop("c0", "_t")
+    # What the brackets that tolerate a gap leave of the partner's count.
+    low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for g in range(widest + 1):
+        fit = [x for x in brackets if x[2] >= g]
+        low, high = F.when(F.col("gap") == g, min(x[0] for x in fit)).otherwise(low), F.when(F.col("gap") == g, max(x[1] for x in fit)).otherwise(high)
+    near = lead.withColumns({"low": low * F.col("count0"), "high": F.least(high, F.lit(1.0)) * F.col("count0")})
+    near = near.where((F.col("period") >= LEAD_RATIO * F.col("gap")) & (F.col("count0") > 0))
     partner = series.select(F.col("m").alias("seq1"), F.col("week").alias("w1"), tail.alias("c1"))
     late = last_week - F.col("w1") + 1 >= min_lead
     if cap is not None:
         # Candidates that can't be among a leader's cap smallest keys of its band go before the join: a week's cap smallest suffice.
-        near = partner.withColumn("_key", rand_key(seed, "seq1"))
-        near = near.withColumn("_rn", F.row_number().over(Window.partitionBy("w1").orderBy("_key", "seq1"))).where(F.col("_rn") <= cap).drop("_rn")
-        pairs = lead.join(near, "w1")
+        some = partner.withColumn("_key", rand_key(seed, "seq1"))
+        some = some.withColumn("_rn", F.row_number().over(Window.partitionBy("w1").orderBy("_key", "seq1"))).where(F.col("_rn") <= cap).drop("_rn")
+        pairs = lead.join(some, "w1")
         pairs = pairs.withColumn("_rn", F.row_number().over(Window.partitionBy("seq0").orderBy("_key", "seq1"))).where((F.col("_rn") <= cap) & late)
+        pairs = pairs.withColumn("count1", F.get("c1", F.col("o"))).where(F.col("period") >= LEAD_RATIO * F.col("gap"))
     else:
-        pairs = lead.join(partner.where(late), "w1")
-    gap = F.abs(F.col("w1") - F.col("w0"))
-    at = lambda c, own, other: F.get(c, F.greatest(F.col(other) - F.col(own), F.lit(0)))
-    pairs = pairs.withColumn("count0", at("c0", "w0", "w1")).withColumn("count1", at("c1", "w1", "w0")).withColumn("period", (last_week - F.greatest("w0", "w1") + 1).cast("int"))
-    pairs = pairs.where((F.col("count1") <= F.col("count0")) & (bracket(F.col("count1") / F.col("count0"), brackets) >= gap) & (F.col("period") >= LEAD_RATIO * gap))
+        counts = stored(partner.where(late).select("seq1", "w1", F.posexplode("c1").alias("o", "count1")), "partners")
+        pairs = band_candidates(stored(near.select("seq0", "w1", "o", "gap", "period", "count0", "low", "high"), "leaders"), counts)
+    pairs = pairs.where((F.col("count1") <= F.col("count0")) & (bracket(F.col("count1") / F.col("count0"), brackets) >= F.col("gap")))
     pairs = pairs.select("seq0", "count0", "seq1", "count1", "period")
     if with_weekly:
         for i in (0, 1):

@@ -189,7 +189,15 @@ def f18_masked_example(spark, sf_dir):
     return tokens.masked_example(rows, seed=5).select("doc_id", "mask_start", "mask_length", F.md5(text("encoder").cast("binary")).alias("encoder"), text("decoder").alias("decoder"))
 
 
-@query()
+def _tiles_sql(rows: str, id_: str, seed: int, shortest: int, longest: int) -> str:
+    """Recursive CTE t (id, h, i, a, k): tile i of every sequence (id, seq) of ``rows``, and its key h."""
+    return f"""t AS (SELECT {id_}, length(seq) AS n, {_key(seed, "seq")} AS h, 0 AS i, 0 AS next, -1 AS k, -1 AS a FROM {rows} UNION ALL
+  SELECT {id_}, n, h, i + 1, next + len, len, next FROM (SELECT *, CAST(low + draw % ({longest} - low + 1) AS INT) AS len FROM (
+    SELECT *, CASE WHEN k = 0 THEN {max(shortest, 1)} ELSE {shortest} END AS low, {_key(seed, "h", "i + 1")} AS draw FROM t WHERE next < n)))"""
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id, {LETTERS} AS seq FROM documents), {_tiles_sql("s", "doc_id", 5, 0, 128)}
+SELECT doc_id, a AS mask_start, k AS mask_length FROM t WHERE i > 0""")
 def f19_tile_masks(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", letters("text").alias("seq"))
     return tokens.tile_masks(rows, seed=5).select("doc_id", "mask_start", "mask_length")
@@ -760,11 +768,16 @@ def f15_pad_or_crop(spark, sf_dir):
     return rows.select("doc_id", n.alias("n"), F.md5(text.cast("binary")).alias("held"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {OBS}, {VARIANTS}, {SEQUENCES}, sp AS (SELECT m, CASE WHEN ref = 'ins' THEN greatest(0, pos + s - 1) WHEN alt = 'del' THEN greatest(0, pos + s - 2) ELSE greatest(0, pos + s - 1) END AS x,
+CASE WHEN ref = 'ins' THEN pos + s + length(alt) + 1 WHEN alt = 'del' THEN pos + s ELSE pos + s - 1 + length(alt) END AS y FROM summed WHERE fresh = 1),
+{_tiles_sql("seqs", "m", 6, 1, 40)},
+e AS (SELECT t.m, a, k, EXISTS (SELECT 1 FROM sp WHERE sp.m = t.m AND x < a + k AND y > a AND y > x) AS hit, row_number() OVER (PARTITION BY t.m ORDER BY {_key("6-extra", "h", "i - 1")}, i) AS r FROM t WHERE i > 0),
+c AS (SELECT *, greatest(2, count(*) FILTER (hit) OVER (PARTITION BY m)) AS extra FROM e)
+SELECT m, a AS mask_start, k AS mask_length FROM c WHERE hit UNION ALL SELECT m, a, k FROM c WHERE r <= extra""")
 def f20_selected_tiles(spark, sf_dir):
-    spans = F.expr("array(struct(10 as start, 12 as end), struct(100 as start, 130 as end))")
-    rows = table(spark, sf_dir, "documents").select("doc_id", letters("text").alias("seq"), spans.alias("spans"))
-    return tokens.tile_masks(rows, seed=6, shortest=1, spans="spans", least_extra=2).select("doc_id", "mask_start", "mask_length")
+    seqs = mutations.apply_mutations(observations(spark, sf_dir).select("m").distinct(), REFERENCE)
+    rows = mutations.changed_spans(seqs)
+    return tokens.tile_masks(rows, seed=6, shortest=1, longest=40, spans="spans", least_extra=2).select("m", "mask_start", "mask_length")
 
 
 @query("SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(concat(text, '<|endoftext|>'), '<\\|endoftext\\|>', '', 'g'), '[ \\t\\n\\r\\f\\v]+', '', 'g'), '\\*+$', '*')) AS seq FROM documents")

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -111,6 +112,29 @@ def test_alignment_score_and_round_trip(spark):
     assert mutations.aligned(ref, ref[:10] + ref[11:]).endswith("del") and mutations.aligned("ACD", "ACWWD") == "ins2WW"
 
 
+def test_long_alignments_stay_small(monkeypatch):
+    import random
+    import tracemalloc
+
+    rng = random.Random(4)
+    ref = "".join(rng.choices("ACDEFGHIK", k=120))
+    for k in range(12):
+        s = "".join(c if rng.random() < 0.8 else rng.choice(["", "W", c + "V"]) for c in ref)
+        whole = mutations._gotoh(ref, s, 150)
+        with monkeypatch.context() as m:
+            m.setattr(mutations, "CELLS", 600)  # stretches of a few rows
+            assert mutations._gotoh(ref, s, 150) == whole
+        assert whole[0] / 10 == pytest.approx(plain_gotoh(ref, s))
+    long = "".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=30_000))
+    changed = "W" * 7 + long[5:9000] + long[9040:20_000] + "VWV" * 10 + long[20_000:]
+    tracemalloc.start()
+    score, steps = mutations.global_alignment(long, changed)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20 and len(steps) - steps.count("I") == len(long) and len(steps) - steps.count("D") == len(changed)
+    assert score > 30_000 - 45 - 40
+
+
 def test_edit_distance(spark):
     rows = [("", "A1C", 1, 1), ("A1C", "", 1, None), ("A1C,G3T", "A1C,C2G,G3T", 1, 1), ("A1C,G3T", "G3T,A1C", 2, None), ("A1C", "A1C", 0, 0), ("A1del,C2del", "A1del", 2, None)]
     df = spark.createDataFrame(rows, "a string, b string, full int, ins int")
@@ -157,15 +181,43 @@ def test_masked_examples(spark):
     assert rows == tokens.masked_example(df.repartition(7), seed=1, longest=8).collect() or sorted(map(str, rows)) == sorted(map(str, tokens.masked_example(df.repartition(7), seed=1, longest=8).collect()))
 
 
+def plain_tiles(seq, seed, shortest, longest):
+    """The fold in plain Python, and its draws of more tiles."""
+    key = lambda *parts: int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+    own, out, at, last = key(seed, seq), [], 0, -1
+    while at < len(seq):
+        low = max(shortest, 1) if last == 0 else shortest
+        last = low + key(seed, own, len(out) + 1) % (longest - low + 1)
+        out.append((at, last))
+        at += last
+    return out, [t for _, _, t in sorted((key(f"{seed}-extra", own, i), i, t) for i, t in enumerate(out))]
+
+
 def test_tiles(spark):
-    for seed in range(20):
-        t = tokens.tiles(200, seed, "x", 0, 9)
-        assert t[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(t, t[1:])) and sum(t[-1]) >= 200
-        assert not any(n == m == 0 for (_, n), (_, m) in zip(t, t[1:]))
-    df = spark.createDataFrame([("A" * 100, [(10, 12), (60, 61)]), ("C" * 50, [])], "seq string, spans array<struct<start:int,end:int>>")
-    rows = tokens.tile_masks(df, 3, 1, 9, spans="spans").collect()
-    assert any(r.mask_start <= 10 < r.mask_start + r.mask_length for r in rows) and any(r.mask_start <= 60 < r.mask_start + r.mask_length for r in rows)
-    assert all(r.seq[0] == "A" for r in rows)
+    texts = ["A" * 100, "C", "ACD" * 70, "", "AC" * 300, None]
+    df = spark.createDataFrame([(t,) for t in texts], "seq string")
+    for seed, shortest, longest in ((1, 0, 9), (2, 0, 1), (3, 4, 4), (4, 0, 128)):
+        got = {r.seq: [tuple(x) for x in r.t] if r.t is not None else None for r in df.select("seq", tokens.tiles("seq", seed, shortest, longest).alias("t")).collect()}
+        assert got == {t: None if t is None else plain_tiles(t, seed, shortest, longest)[0] for t in texts}
+        for t in filter(None, texts):
+            found = got[t]
+            assert found[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(found, found[1:])) and sum(found[-1]) >= len(t)
+            assert not any(n == m == 0 for (_, n), (_, m) in zip(found, found[1:]))
+    with pytest.raises(ValueError):
+        tokens.tiles("seq", 1, 0, 0)
+
+
+def test_selected_tiles(spark):
+    rows = [("A" * 100, [(10, 12), (60, 61), (98, 140)]), ("C" * 50, []), ("D" * 30, [(-3, 1), (29, 29), (500, 600)]), ("E" * 40, None), ("", [(0, 1)])]
+    df = spark.createDataFrame(rows, "seq string, spans array<struct<start:int,end:int>>")
+    for least in (0, 2, 1000):
+        got = {}
+        for r in tokens.tile_masks(df, 3, 0, 9, spans="spans", least_extra=least).collect():
+            got.setdefault(r.seq, []).append((r.mask_start, r.mask_length))
+        for seq, spans in rows:
+            every, drawn = plain_tiles(seq, 3, 0, 9)
+            hit = [t for t in every if any(t[0] <= p < sum(t) for a, b in spans or [] for p in range(a, b))]
+            assert sorted(got.get(seq, [])) == sorted(hit + drawn[: max(least, len(hit))])
 
 
 @pytest.mark.parametrize("frozen, want", [([4, 5], ["ACG", "GB", "A", "AC"]), ([4, 6], ["ACG", "GB", "T", "C"])])
