@@ -1,6 +1,6 @@
 """Samples of several runs -> classified samples, statistics and curves per run, and means with intervals per tool.
 
-spark-submit seqtrend/jobs/evaluate.py SAMPLES OBSERVATIONS REFERENCE OUT --cutoff DATE
+spark-submit seqtrend/jobs/evaluate.py SAMPLES OBSERVATIONS REFERENCE OUT --cutoff DATE [--tools FILE] [...]
 """
 
 from __future__ import annotations
@@ -11,33 +11,66 @@ from pyspark.sql import functions as F
 from seqtrend.functions.mutations import apply_mutations
 from seqtrend.jobs.common import arguments, session
 from seqtrend.operators import evaluate, matching
+from seqtrend.operators.broadcasts import if_small
 from seqtrend.sources.scratch import stored
 from seqtrend.sources.tables import load_normalised, read_samples
 
+BY = ["tool", "setting"]
 
-def run(samples: DataFrame, obs: DataFrame, cutoff: str, n_periods: int = 4, tool=None) -> dict[str, DataFrame]:
-    """samples (run, seq, score), obs (m, seq, d, acc, lineage): the tables classified, stats, curve, periods and means.
 
-    Samples are ranked by score per run; of equal or compatible ones in a run the first counts.
+def figures(table: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, figure, value): a row per number of the table."""
+    names = [c for c in table.columns if c not in keys]
+    return table.select(*keys, *[F.col(c).cast("double").alias(c) for c in names]).unpivot(keys, names, "figure", "value")
+
+
+def run(samples: DataFrame, obs: DataFrame, cutoff: str, n_weeks: int = 75, n_periods: int = 18, period: int = 28, tools: DataFrame | None = None) -> dict[str, DataFrame]:
+    """samples (run, seq, score), obs (m, seq, d, acc, lineage): the tables below, by name.
+
+    classified: the samples, ranked by score per run. stats, curves, periods: a row per run, per run, kind and
+    place, and per run, kind and period; of equal or compatible samples of a run the first counts. Weeks are
+    cumulative, periods are not. means, curve_means, period_means: every figure's mean with its interval per
+    tool and setting, lists place by place as far as the shortest run goes. ``tools`` has (run, tool, setting);
+    without it a run's tool is the first part of its name, up to ``-``, and the setting is empty.
     """
     classified = evaluate.classify_samples(samples, obs, cutoff)
     order = Window.partitionBy("run").orderBy(F.desc("score"), "seq")
     ranked = stored(classified.withColumn("rank", F.row_number().over(order)), "classified")
     valid = stored(matching.uniquify(ranked.where("not invalid_seq")), "unique")
     stats = stored(evaluate.run_stats(valid), "stats")
-    named = stats.withColumn("tool", F.substring_index("run", "-", 1) if tool is None else tool)
+    place = F.row_number().over(Window.partitionBy("run").orderBy("rank")).alias("place")
+    curves = [evaluate.precision_curve(valid, kind).select(F.lit(kind).alias("kind"), "*", place).drop("rank") for kind in ("NOVEL", "ALL")]
+    curves = stored(curves[0].union(curves[1]), "curves")
+    weeks = evaluate.period_stats(valid, cutoff, n_weeks, 7, cumulative=True).select(F.lit("week").alias("kind"), "*")
+    periods = evaluate.period_stats(valid, cutoff, n_periods, period).select(F.lit("period").alias("kind"), "*")
+    periods = stored(weeks.union(periods), "periods")
+    if tools is None:
+        tools = stats.select("run", F.substring_index("run", "-", 1).alias("tool"), F.lit("").alias("setting"))
+    tools = if_small(stored(tools.select("run", *BY), "tools"))
+    named = lambda t: t.join(tools, "run")
     return {
-        "classified": ranked, "stats": stats, "curve": evaluate.precision_curve(valid, "ALL"), "periods": evaluate.period_stats(valid, cutoff, n_periods), "means": evaluate.mean_ci(named, ["tool"], "ppv"),
+        "classified": ranked, "stats": stats, "curves": curves, "periods": periods,
+        "means": evaluate.mean_ci(named(figures(stats, ["run"])), [*BY, "figure"], "value"),
+        "curve_means": evaluate.mean_ci_by_place(named(figures(curves, ["run", "kind", "place"])), [*BY, "kind", "figure"], "value"),
+        "period_means": evaluate.mean_ci_by_place(named(figures(periods, ["run", "kind", "period"])), [*BY, "kind", "figure"], "value", place="period"),
     }
 
 
-def main() -> None:
+def main(argv: list[str] | None = None) -> None:
     parser = arguments(__doc__, "samples", "observations", "reference", "out")
     parser.add_argument("--cutoff", required=True)
-    a, spark = parser.parse_args(), session("evaluate")
+    parser.add_argument("--score", default="ll", help="field of the samples that ranks them")
+    parser.add_argument("--level", type=int, default=-1, help="-1: a run is a file, -2: a folder")
+    parser.add_argument("--tools", help="JSON lines of run, tool, setting")
+    parser.add_argument("--weeks", type=int, default=75)
+    parser.add_argument("--periods", type=int, default=18)
+    parser.add_argument("--period", type=int, default=28, help="days of a period")
+    a, spark = parser.parse_args(argv), session("evaluate")
     reference = spark.read.text(a.reference, wholetext=True).first()[0].strip()  # one sequence
     obs = apply_mutations(load_normalised(spark, a.observations), reference)
-    for name, table in run(read_samples(spark, a.samples), obs, a.cutoff).items():
+    tools = spark.read.schema("run string, tool string, setting string").json(a.tools) if a.tools else None
+    made = run(read_samples(spark, a.samples, a.score, a.level), obs, a.cutoff, a.weeks, a.periods, a.period, tools)
+    for name, table in made.items():
         table.write.parquet(f"{a.out}/{name}")
 
 

@@ -8,7 +8,7 @@ from seqtrend.functions import mutations
 from seqtrend.jobs import audit as audit_job
 from seqtrend.jobs import evaluate as evaluate_job
 from seqtrend.jobs import make_corpus, make_pairs, make_splits, normalise
-from seqtrend.plans.queries import LAST_WEEK, PAIRS, _key, _pairs, query
+from seqtrend.plans.queries import AGREED, AGREED_BY, CLASSIFY, COMPATIBLE, FISHER, FLAGS, LAST_WEEK, PAIRS, T95, _frequent_rare_sql, _key, _negatives_sql, _pairs, _split_pairs_sql, query
 from seqtrend.plans.roles import CLUSTERS, LETTERS, OBS, REFERENCE, SEQUENCES, VARIANTS, clusters, letters, observations, table
 from seqtrend.sources import clusters as cluster_files
 from seqtrend.sources import fasta, tables
@@ -152,19 +152,58 @@ def job_make_splits(spark, sf_dir):
     return made.groupBy("split", "m", F.md5(F.col("seq").cast("binary")).alias("seq")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {AGREED}, {FISHER}, {VARIANTS}, agreed AS ({AGREED_BY.format(test="p >= 0.1")}), {_split_pairs_sql(3, "tot")},
+kn AS (SELECT agreed.*, a.split FROM agreed JOIN sp a ON a.m = seq0 JOIN sp b ON b.m = seq1 WHERE a.split = b.split),
+cn AS (SELECT m, count(*) AS total FROM obs GROUP BY m), {_frequent_rare_sql(3, "kn", 7, 600, 599)}, {_negatives_sql(3, "fr", 2, 2)}
+SELECT * FROM fr UNION ALL SELECT * FROM fake""")
 def job_make_pairs(spark, sf_dir):
+    """The regions are the even and the odd orders. No split has as many variants as the cap."""
     obs = observations(spark, sf_dir).withColumn("location", F.when(F.substring_index("acc", "-", 1).cast("long") % 2 == 0, "ASIA").otherwise("EUROPE"))
-    return make_pairs.run(obs, "ASIA", "~ASIA", LAST_WEEK, min_count=600, max_total=599, trailing=0, most_rare=7, n_mutations=2, trials=2, seed=3)
+    frequent = make_pairs.Frequent(min_count=600, max_total=599, trailing=0, most_rare=7)
+    return make_pairs.run(obs, "ASIA", "~ASIA", last_week=LAST_WEEK, blocks=(4, 1, 1), how="union", p_value=0.1, frequent=frequent, n_mutations=2, trials=(2, 2), seed=3)
+
+
+_FIGURES = ["n_valid", "n_new", "n_false", "n_old", "avg_novelty", "old_rate", "new_rate", "ppv", "counts", "n_non_old", "n_new_lineages", "count_per_forecast", "count_per_novel", "n_salient"]
+_EVALUATED = f"""{CLASSIFY.format(runs=f"SELECT concat(CASE WHEN doc_id % 2 = 0 THEN 'one-' ELSE 'two-' END, source) AS run, {LETTERS} AS seq, CAST(doc_id AS DOUBLE) AS score FROM documents")},
+flags AS ({FLAGS}), ranked AS (SELECT * REPLACE (string_split(lineage, ',') AS lineage), row_number() OVER (PARTITION BY run ORDER BY score DESC, seq) AS rank FROM flags WHERE NOT invalid_seq),
+f AS (SELECT run, seq, min(rank) AS rank FROM ranked GROUP BY run, seq),
+near AS (SELECT DISTINCT x.run, x.seq AS a, y.seq AS b FROM f x JOIN f y ON x.run = y.run AND length(x.seq) = length(y.seq) AND y.rank < x.rank AND x.seq <> y.seq), lower AS (SELECT DISTINCT run, a FROM near WHERE {COMPATIBLE}),
+u AS (SELECT ranked.* FROM ranked JOIN f USING (run, seq, rank) WHERE (run, seq) NOT IN (SELECT (run, a) FROM lower)),
+ul AS (SELECT run, rank, unnest(lineage) AS l FROM u), ll AS (SELECT run, l, min(rank) AS f FROM ul GROUP BY run, l),
+late AS (SELECT ul.run, ul.rank, bool_or(ll.f < ul.rank) AS late FROM ul JOIN ll ON ul.run = ll.run AND ul.l = ll.l GROUP BY ul.run, ul.rank),
+st AS (SELECT u.run, count(*) AS n_valid, count(*) FILTER (new_seq) AS n_new, count(*) FILTER (false_seq) AS n_false, count(*) FILTER (old_seq) AS n_old, avg(novelty) AS avg_novelty, coalesce(sum(count) FILTER (new_seq), 0) AS counts,
+  count(*) FILTER (NOT old_seq) AS n_non_old, count(*) FILTER (new_seq AND new_lineage AND NOT coalesce(late, FALSE)) AS n_new_lineages, count(*) FILTER (new_seq AND count >= 10) AS n_salient
+  FROM u LEFT JOIN late ON u.run = late.run AND u.rank = late.rank GROUP BY u.run),
+full_st AS (SELECT *, n_old / n_valid AS old_rate, n_new / n_valid AS new_rate, CASE WHEN n_new + n_false > 0 THEN n_new / (n_new + n_false) ELSE 0 END AS ppv,
+  CASE WHEN n_new > 0 THEN counts / n_new ELSE 0 END AS count_per_forecast, CASE WHEN n_non_old > 0 THEN counts / n_non_old ELSE 0 END AS count_per_novel FROM st)"""
+
+
+@query(f"""WITH {_EVALUATED}, figures AS ({" UNION ALL ".join(f"SELECT split_part(run, '-', 1) AS tool, '{x}' AS figure, CAST({x} AS DOUBLE) AS v FROM full_st" for x in _FIGURES)}),
+g AS (SELECT tool, figure, avg(v) AS mean, stddev_samp(v) AS s, count(*) AS n FROM figures GROUP BY tool, figure)
+SELECT tool, figure, round(mean, 7) AS mean, round(s / sqrt(n) * CASE n {T95} END, 5) AS err, n FROM g""")
+def job_evaluate(spark, sf_dir):
+    out = _evaluated(spark, sf_dir)["means"]
+    return out.select("tool", "figure", F.round("mean", 7).alias("mean"), F.round("err", 5).alias("err"), "n")
 
 
-@query()
-def job_evaluate(spark, sf_dir):
+@query(f"""WITH {_EVALUATED}, c AS (SELECT run, row_number() OVER w AS place, count(*) FILTER (new_seq) OVER w AS tp, count(*) FILTER (NOT new_seq) OVER w AS fp, coalesce(sum(count) FILTER (new_seq) OVER w, 0) AS tp_count
+  FROM u WHERE new_seq OR NOT invalid_seq WINDOW w AS (PARTITION BY run ORDER BY rank)),
+short AS (SELECT tool, min(n) AS n FROM (SELECT split_part(run, '-', 1) AS tool, run, max(place) AS n FROM c GROUP BY run) GROUP BY tool),
+v AS (SELECT split_part(run, '-', 1) AS tool, place, unnest(['tp', 'fp', 'tp_count', 'rate']) AS figure, unnest([CAST(tp AS DOUBLE), CAST(fp AS DOUBLE), CAST(tp_count AS DOUBLE), tp / (tp + fp)]) AS x FROM c),
+g AS (SELECT v.tool, figure, place, avg(x) AS mean, stddev_samp(x) AS s, count(*) AS n FROM v JOIN short ON short.tool = v.tool AND place <= short.n GROUP BY v.tool, figure, place)
+SELECT tool, figure, CAST(place AS INT) AS place, round(mean, 7) AS mean, round(s / sqrt(n) * CASE n {T95} END, 5) AS err, n FROM g""")
+def job_evaluate_curves(spark, sf_dir):
+    """Means of the curves over all valid samples, place by place."""
+    out = _evaluated(spark, sf_dir)["curve_means"].where("kind = 'ALL'")
+    return out.select("tool", "figure", F.col("place").cast("int").alias("place"), F.round("mean", 7).alias("mean"), F.round("err", 5).alias("err"), "n")
+
+
+def _evaluated(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("q"), (F.col("n_chars") % 97).cast("string")).alias("lineage"), letters("text").alias("seq"))
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 200).cast("int"))
     obs = docs.select("seq", F.md5(F.col("seq").cast("binary")).alias("m"), day.alias("d"), F.col("doc_id").cast("string").alias("acc"), "lineage")
     runs = docs.select(F.concat(F.when(F.col("doc_id") % 2 == 0, "one-").otherwise("two-"), "source").alias("run"), "seq", F.col("doc_id").cast("double").alias("score"))
-    return evaluate_job.run(runs, obs, "2024-04-01")["means"].select("tool", F.round("mean", 9).alias("mean"), F.round("err", 6).alias("err"), "n")
+    return evaluate_job.run(runs, obs, "2024-04-01")
 
 
 @query("""WITH j AS (SELECT o_orderkey, c_name, c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_mktsegment END AS n FROM orders JOIN customer ON o_custkey = c_custkey)

@@ -276,7 +276,7 @@ FISHER = """tb AS (SELECT DISTINCT a0, a1, b0, b1 FROM low), tx AS (SELECT *, un
 lf AS (SELECT *, lgamma(a0 + a1 + 1) + lgamma(b0 + b1 + 1) + lgamma(a0 + b0 + 1) + lgamma(a1 + b1 + 1) - lgamma(a0 + a1 + b0 + b1 + 1) - lgamma(x + 1) - lgamma(a0 + a1 - x + 1) - lgamma(a0 + b0 - x + 1) - lgamma(b1 - a0 + x + 1) AS lp FROM tx),
 pv AS (SELECT f.a0, f.a1, f.b0, f.b1, CASE WHEN min(least(f.a0 + f.a1, f.b0 + f.b1, f.a0 + f.b0, f.a1 + f.b1)) = 0 THEN 1 ELSE sum(exp(f.lp)) FILTER (f.lp <= h.lp + 1e-7) END AS p
   FROM lf f JOIN lf h ON f.a0 = h.a0 AND f.a1 = h.a1 AND f.b0 = h.b0 AND f.b1 = h.b1 AND h.x = h.a0 GROUP BY f.a0, f.a1, f.b0, f.b1)"""
-_AGREED_BY = "SELECT seq0, count0, seq1, count1, period FROM low JOIN pv USING (a0, a1, b0, b1) WHERE count1 / (count0 + count1) < 0.01 OR {test}"
+AGREED_BY = "SELECT seq0, count0, seq1, count1, period FROM low JOIN pv USING (a0, a1, b0, b1) WHERE count1 / (count0 + count1) < 0.01 OR {test}"
 
 
 def _agreed(spark, sf_dir, **how) -> DataFrame:
@@ -285,7 +285,7 @@ def _agreed(spark, sf_dir, **how) -> DataFrame:
     return pairs.validate_pairs(pairs.week_band_pairs(pairs.combine_regions(a, b), LAST_WEEK), a, b, **how)
 
 
-@query(f"WITH {AGREED}, {FISHER} {_AGREED_BY.format(test='p >= 0.1')}")
+@query(f"WITH {AGREED}, {FISHER} {AGREED_BY.format(test='p >= 0.1')}")
 def a18_validated_pairs(spark, sf_dir):
     return _agreed(spark, sf_dir, p_value=0.1)
 
@@ -323,33 +323,49 @@ def _draw_sql(j: str, n: str, size: str, key: str) -> str:
     return f"({j} * {size}) // {n} + {key} % ((({j} + 1) * {size}) // {n} - ({j} * {size}) // {n})"
 
 
-@query(f"""WITH {PAIRS}, cn AS (SELECT m, count(*) AS total FROM obs GROUP BY m), rk AS (SELECT m, total, (row_number() OVER (ORDER BY total DESC, {_key('3-ties', 'm')}, m) - 1) // 6 AS block FROM cn),
-sl AS (SELECT m, row_number() OVER (PARTITION BY block ORDER BY {_key(3, 'm')}, m) AS pos FROM rk), sp AS (SELECT m, CASE WHEN pos <= 4 THEN 'train' WHEN pos <= 5 THEN 'val' ELSE 'test' END AS split FROM sl),
-kn AS (SELECT pairs.*, a.split FROM pairs JOIN sp a ON a.m = seq0 JOIN sp b ON b.m = seq1 WHERE a.split = b.split AND length(seq0) < 12),
-held AS (SELECT m, min(p) AS p FROM (SELECT seq0 AS m, {_PLACES} AS p FROM kn UNION ALL SELECT seq1, {_PLACES} FROM kn) GROUP BY m),
-ls AS (SELECT m, total AS n, CASE WHEN total >= 600 THEN 'frequent' ELSE 'rare' END AS kind FROM cn), nw AS (SELECT ls.*, row_number() OVER (PARTITION BY kind ORDER BY {_key(3, 'm')}, m) AS rn, count(*) OVER (PARTITION BY kind) AS k FROM ls WHERE m NOT IN (SELECT m FROM held)),
+def _split_pairs_sql(seed: int, totals: str) -> str:
+    """CTEs sp (m, split): blocks of 6 ranks by the totals (m, total), dealt 4, 1 and 1."""
+    return f"""rk AS (SELECT m, total, (row_number() OVER (ORDER BY total DESC, {_key(f"{seed}-ties", "m")}, m) - 1) // 6 AS block FROM {totals}),
+sl AS (SELECT m, row_number() OVER (PARTITION BY block ORDER BY {_key(seed, "m")}, m) AS pos FROM rk), sp AS (SELECT m, CASE WHEN pos <= 4 THEN 'train' WHEN pos <= 5 THEN 'val' ELSE 'test' END AS split FROM sl)"""
+
+
+def _frequent_rare_sql(seed: int, known: str, most: int, min_count: int, max_total: int) -> str:
+    """CTE fr: the known pairs with a split, and every frequent variant with up to ``most`` rare ones of its split; cn has (m, total)."""
+    return f"""held AS (SELECT m, min(p) AS p FROM (SELECT seq0 AS m, {_PLACES} AS p FROM {known} UNION ALL SELECT seq1, {_PLACES} FROM {known}) GROUP BY m),
+ls AS (SELECT m, total AS n, CASE WHEN total >= {min_count} THEN 'frequent' ELSE 'rare' END AS kind FROM cn WHERE total >= {min_count} OR total <= {max_total}),
+nw AS (SELECT ls.*, row_number() OVER (PARTITION BY kind ORDER BY {_key(seed, "m")}, m) AS rn, count(*) OVER (PARTITION BY kind) AS k FROM ls WHERE m NOT IN (SELECT m FROM held)),
 pl AS (SELECT ls.m, n, kind, p FROM ls JOIN held USING (m) UNION ALL SELECT m, n, kind, CASE WHEN rn <= greatest(k * 4 // 6, 1) THEN 0 WHEN rn <= greatest(k * 4 // 6, 1) + greatest(k // 6, 1) THEN 1 ELSE 2 END FROM nw),
-rr AS (SELECT m, n, p, row_number() OVER (PARTITION BY p ORDER BY {_key('3-rare', 'm')}, m) - 1 AS pos, count(*) OVER (PARTITION BY p) AS size FROM pl WHERE kind = 'rare'),
-fq AS (SELECT pl.m, pl.n, pl.p, size, unnest(range(0, least(7, size))) AS j FROM pl JOIN (SELECT DISTINCT p, size FROM rr) z ON z.p = pl.p WHERE kind = 'frequent'),
-dr AS (SELECT m, n, p, {_draw_sql('j', 'least(7, size)', 'size', _key(3, 'm', 'j'))} AS pos FROM fq),
-md AS (SELECT dr.m AS seq0, CAST(dr.n AS DOUBLE) AS count0, rr.m AS seq1, CAST(rr.n AS DOUBLE) AS count1, CAST(NULL AS INT) AS period, ['train', 'val', 'test'][dr.p + 1] AS split FROM dr JOIN rr ON rr.p = dr.p AND rr.pos = dr.pos)
-SELECT * FROM md UNION ALL SELECT seq0, count0, seq1, count1, period, split FROM kn WHERE (split, seq0, seq1) NOT IN (SELECT (split, seq0, seq1) FROM md)""")
+rr AS (SELECT m, n, p, row_number() OVER (PARTITION BY p ORDER BY {_key(f"{seed}-rare", "m")}, m) - 1 AS pos, count(*) OVER (PARTITION BY p) AS size FROM pl WHERE kind = 'rare'),
+fq AS (SELECT pl.m, pl.n, pl.p, size, unnest(range(0, least({most}, size))) AS j FROM pl JOIN (SELECT DISTINCT p, size FROM rr) z ON z.p = pl.p WHERE kind = 'frequent'),
+dr AS (SELECT m, n, p, {_draw_sql("j", f"least({most}, size)", "size", _key(seed, "m", "j"))} AS pos FROM fq),
+md AS (SELECT dr.m AS seq0, CAST(dr.n AS DOUBLE) AS count0, rr.m AS seq1, CAST(rr.n AS DOUBLE) AS count1, CAST(NULL AS INT) AS period, ['train', 'val', 'test'][dr.p + 1] AS split FROM dr JOIN rr ON rr.p = dr.p AND rr.pos = dr.pos),
+fr AS (SELECT * FROM md UNION ALL SELECT seq0, count0, seq1, count1, period, split FROM {known} WHERE (split, seq0, seq1) NOT IN (SELECT (split, seq0, seq1) FROM md))"""
+
+
+@query(f"""WITH {PAIRS}, cn AS (SELECT m, count(*) AS total FROM obs GROUP BY m), {_split_pairs_sql(3, "cn")},
+kn AS (SELECT pairs.*, a.split FROM pairs JOIN sp a ON a.m = seq0 JOIN sp b ON b.m = seq1 WHERE a.split = b.split), {_frequent_rare_sql(3, "kn", 5000, 600, 599)} SELECT * FROM fr""")
 def j4_frequent_rare_pairs(spark, sf_dir):
     lists = series.frequent_and_rare(weeks(spark, sf_dir), trailing=0, min_count=600, max_total=599)
     made = ranks.split_by_rank_blocks(series.variant_counts(observations(spark, sf_dir)).withColumnRenamed("n", "total"), 4, 1, 1, seed=3)
     known = _pairs(spark, sf_dir).join(made.select(F.col("m").alias("seq0"), "split"), "seq0").join(made.select(F.col("m").alias("seq1"), F.col("split").alias("_s")), "seq1").where("split = _s").drop("_s")
-    return pairs.frequent_rare_pairs(lists, known.where("length(seq0) < 12"), 4, 1, 1, most=7, seed=3)
+    return pairs.frequent_rare_pairs(lists, known, 4, 1, 1, seed=3)
 
 
-@query(f"""WITH {PAIRS}, {VARIANTS}, sq AS (SELECT DISTINCT m FROM (SELECT seq0 AS m FROM pairs UNION ALL SELECT seq1 FROM pairs)),
-pool AS (SELECT t, pos, row_number() OVER (ORDER BY {_key('4-pool', 't')}, t) AS rn, count(*) OVER () AS size FROM (SELECT DISTINCT t, pos FROM tok)),
-dj AS (SELECT m, trial, unnest(range(0, 6)) AS j FROM (SELECT m, unnest([1, 2, 3]) AS trial FROM sq)), dk AS (SELECT m, trial, j, {_key(4, 'm', 'trial', 'j')} % (SELECT max(size) FROM pool) + 1 AS rn FROM dj),
+def _negatives_sql(seed: int, known: str, n: int, trials: int) -> str:
+    """CTE fake: variants of the known pairs (with a split) with n random mutations added, per split."""
+    return f"""sq AS (SELECT DISTINCT split, m FROM (SELECT split, seq0 AS m FROM {known} UNION ALL SELECT split, seq1 FROM {known})),
+pool AS (SELECT t, pos, row_number() OVER (ORDER BY {_key(f"{seed}-pool", "t")}, t) AS rn, count(*) OVER () AS size FROM (SELECT DISTINCT t, pos FROM tok)),
+dj AS (SELECT m, trial, unnest(range(0, {2 * n + 2})) AS j FROM (SELECT m, unnest(range(1, {trials + 1})) AS trial FROM (SELECT DISTINCT m FROM sq))),
+dk AS (SELECT m, trial, j, {_key(seed, "m", "trial", "j")} % (SELECT max(size) FROM pool) + 1 AS rn FROM dj),
 df AS (SELECT m, trial, rn, row_number() OVER (PARTITION BY m, trial ORDER BY min(j)) AS k FROM dk GROUP BY m, trial, rn),
-ad AS (SELECT df.m, trial, pool.t, pool.pos, row_number() OVER (PARTITION BY df.m, trial ORDER BY pool.pos, pool.t) AS i FROM df JOIN pool USING (rn) WHERE k <= 2),
-ok AS (SELECT m, trial FROM ad GROUP BY m, trial HAVING count(*) = 2), bad AS (SELECT DISTINCT ad.m, trial FROM ad JOIN tok ON tok.m = ad.m AND tok.pos = ad.pos),
+ad AS (SELECT df.m, trial, pool.t, pool.pos, row_number() OVER (PARTITION BY df.m, trial ORDER BY pool.pos, pool.t) AS i FROM df JOIN pool USING (rn) WHERE k <= {n}),
+ok AS (SELECT m, trial FROM ad GROUP BY m, trial HAVING count(*) = {n}), bad AS (SELECT DISTINCT ad.m, trial FROM ad JOIN tok ON tok.m = ad.m AND tok.pos = ad.pos),
 al AS (SELECT m, trial, t, pos, 1 AS src, i FROM ad UNION ALL SELECT ok.m, trial, t, pos, 0, i FROM ok JOIN tok USING (m)),
-mk AS (SELECT al.m AS seq0, al.trial, string_agg(t, ',' ORDER BY pos, src, i) AS seq1 FROM al JOIN ok ON ok.m = al.m AND ok.trial = al.trial WHERE (al.m, al.trial) NOT IN (SELECT (m, trial) FROM bad) GROUP BY al.m, al.trial)
-SELECT seq0, CAST(1 AS DOUBLE) AS count0, seq1, CAST(0 AS DOUBLE) AS count1, CAST(NULL AS INT) AS period FROM mk WHERE seq1 NOT IN (SELECT m FROM v)""")
+mk AS (SELECT al.m AS seq0, al.trial, string_agg(t, ',' ORDER BY pos, src, i) AS seq1 FROM al JOIN ok ON ok.m = al.m AND ok.trial = al.trial WHERE (al.m, al.trial) NOT IN (SELECT (m, trial) FROM bad) GROUP BY al.m, al.trial),
+fake AS (SELECT seq0, CAST(1 AS DOUBLE) AS count0, seq1, CAST(0 AS DOUBLE) AS count1, CAST(NULL AS INT) AS period, split FROM mk JOIN sq ON sq.m = seq0 WHERE seq1 NOT IN (SELECT m FROM v))"""
+
+
+@query(f"WITH {PAIRS}, {VARIANTS}, one AS (SELECT *, 'x' AS split FROM pairs), {_negatives_sql(4, 'one', 2, 3)} SELECT * EXCLUDE (split) FROM fake")
 def j15_synthetic_negatives(spark, sf_dir):
     return pairs.synthetic_negatives(_pairs(spark, sf_dir), observations(spark, sf_dir), n_mutations=2, trials=3, seed=4)
 
@@ -496,8 +512,9 @@ def w7_uniquify(spark, sf_dir):
     return matching.uniquify(samples(spark, sf_dir)).select("run", "rank")
 
 
-@query(f"""WITH obs AS (SELECT {LETTERS} AS seq, DATE '2024-01-01' + CAST(doc_id % 200 AS INT) AS d, CAST(doc_id AS VARCHAR) AS acc, concat('q', CAST(n_chars % 97 AS VARCHAR)) AS lineage FROM documents),
-runs AS (SELECT source AS run, {LETTERS} AS seq, CAST(doc_id AS DOUBLE) AS score FROM documents UNION ALL SELECT 'benchmark', concat(CASE WHEN item_id % 5 = 0 THEN '[' ELSE '' END, {LETTERS}), CAST(item_id AS DOUBLE) FROM benchmark),
+#: Samples classified by what was known at a date: the steps, with the runs left open, and the flags.
+CLASSIFY = f"""obs AS (SELECT {LETTERS} AS seq, DATE '2024-01-01' + CAST(doc_id % 200 AS INT) AS d, CAST(doc_id AS VARCHAR) AS acc, concat('q', CAST(n_chars % 97 AS VARCHAR)) AS lineage FROM documents),
+runs AS ({{runs}}),
 dates AS (SELECT lineage, min(d) AS first FROM (SELECT seq, arg_min(lineage, row(d, acc)) AS lineage, min(d) AS d FROM obs GROUP BY seq) GROUP BY lineage),
 known AS (SELECT seq, count(*) AS n, min(d) AS d, string_agg(DISTINCT obs.lineage, ',' ORDER BY obs.lineage) AS ls, min(first) AS first FROM obs LEFT JOIN dates ON dates.lineage = obs.lineage GROUP BY seq),
 o AS (SELECT seq AS b FROM known WHERE d <= DATE '2024-04-01'), w AS (SELECT seq AS b FROM known WHERE d > DATE '2024-04-01'), va AS (SELECT DISTINCT seq AS a FROM runs WHERE seq NOT LIKE '[%'),
@@ -505,9 +522,13 @@ po AS (SELECT a, min(b) AS b FROM va JOIN o ON length(a) = length(b) WHERE a = b
 pw AS (SELECT a, min(b) AS b FROM (SELECT a FROM va WHERE a NOT IN (SELECT a FROM po)) va JOIN w ON length(a) = length(b) WHERE a = b OR ({COMPATIBLE}) AND a NOT IN (SELECT b FROM w) GROUP BY a),
 hit AS (SELECT a, b, 'old' AS age FROM po UNION ALL SELECT a, b, 'new' FROM pw),
 kb AS (SELECT DISTINCT substr(b, i, 11) AS k FROM (SELECT b, unnest(range(1, length(b) - 9)) AS i FROM o)),
-nv AS (SELECT a, count(*) AS n FROM (SELECT a, substr(a, i, 11) AS k FROM (SELECT a, unnest(range(1, length(a) - 9)) AS i FROM va)) WHERE k NOT IN (SELECT k FROM kb) GROUP BY a)
-SELECT run, score, coalesce(age = 'old', FALSE) AS old_seq, coalesce(age = 'new', FALSE) AS new_seq, age IS NULL AND runs.seq NOT LIKE '[%' AS false_seq, runs.seq LIKE '[%' AS invalid_seq, CASE WHEN hit.a = hit.b THEN known.n ELSE 0 END AS count, coalesce(nv.n, 0) AS novelty,
-known.ls AS lineage, known.d AS seq_date, coalesce(known.first > DATE '2024-04-01', FALSE) AS new_lineage FROM runs LEFT JOIN hit ON hit.a = runs.seq LEFT JOIN known ON known.seq = hit.b LEFT JOIN nv ON nv.a = runs.seq""")
+nv AS (SELECT a, count(*) AS n FROM (SELECT a, substr(a, i, 11) AS k FROM (SELECT a, unnest(range(1, length(a) - 9)) AS i FROM va)) WHERE k NOT IN (SELECT k FROM kb) GROUP BY a)"""
+FLAGS = """SELECT run, runs.seq, score, coalesce(age = 'old', FALSE) AS old_seq, coalesce(age = 'new', FALSE) AS new_seq, age IS NULL AND runs.seq NOT LIKE '[%' AS false_seq, runs.seq LIKE '[%' AS invalid_seq, CASE WHEN hit.a = hit.b THEN known.n ELSE 0 END AS count, coalesce(nv.n, 0) AS novelty,
+known.ls AS lineage, known.d AS seq_date, coalesce(known.first > DATE '2024-04-01', FALSE) AS new_lineage FROM runs LEFT JOIN hit ON hit.a = runs.seq LEFT JOIN known ON known.seq = hit.b LEFT JOIN nv ON nv.a = runs.seq"""
+_RUNS = f"""SELECT source AS run, {LETTERS} AS seq, CAST(doc_id AS DOUBLE) AS score FROM documents UNION ALL SELECT 'benchmark', concat(CASE WHEN item_id % 5 = 0 THEN '[' ELSE '' END, {LETTERS}), CAST(item_id AS DOUBLE) FROM benchmark"""
+
+
+@query(f"WITH {CLASSIFY.format(runs=_RUNS)}, flags AS ({FLAGS}) SELECT * EXCLUDE (seq) FROM flags")
 def j7_classified_samples(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("q"), (F.col("n_chars") % 97).cast("string")).alias("lang"), letters("text").alias("seq"))
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 200).cast("int"))
@@ -542,11 +563,11 @@ def a6_run_stats(spark, sf_dir):
 
 # 97.5 % quantiles of Student's t by degrees of freedom, from 1.
 _T = (12.70620474, 4.30265273, 3.18244631, 2.77644511, 2.57058184, 2.44691185, 2.36462425, 2.30600414, 2.26215716, 2.22813885, 2.20098516, 2.17881283, 2.16036866, 2.14478669, 2.13144955, 2.11990530, 2.10981558, 2.10092204, 2.09302405, 2.08596345)
-_T95 = " ".join(f"WHEN {n} THEN {t}" for n, t in enumerate(_T, 2))
+T95 = " ".join(f"WHEN {n} THEN {t}" for n, t in enumerate(_T, 2))
 
 
 @query(f"""WITH {STATS}, r AS (SELECT lang, run, count(*) FILTER (new_seq) AS v FROM u GROUP BY lang, run), g AS (SELECT lang, avg(v) AS mean, stddev_samp(v) AS s, count(*) AS n FROM r GROUP BY lang)
-SELECT lang, round(mean, 9) AS mean, n, round(s / sqrt(n) * CASE n {_T95} END, 6) AS err FROM g""")
+SELECT lang, round(mean, 9) AS mean, n, round(s / sqrt(n) * CASE n {T95} END, 6) AS err FROM g""")
 def a7_mean_and_error(spark, sf_dir):
     first = matching.uniquify(samples(spark, sf_dir).where("not invalid_seq"), ambiguous=False)
     runs = first.groupBy("lang", "run").agg(F.count_if("new_seq").alias("v"))
