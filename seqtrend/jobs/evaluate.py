@@ -38,8 +38,7 @@ def run(samples: DataFrame, obs: DataFrame, cutoff: str, n_weeks: int = 75, n_pe
     ranked = stored(classified.withColumn("rank", F.row_number().over(order)), "classified")
     valid = stored(matching.uniquify(ranked.where("not invalid_seq")), "unique")
     stats = stored(evaluate.run_stats(valid), "stats")
-    place = F.row_number().over(Window.partitionBy("run").orderBy("rank")).alias("place")
-    curves = [evaluate.precision_curve(valid, kind).select(F.lit(kind).alias("kind"), "*", place).drop("rank") for kind in ("NOVEL", "ALL")]
+    curves = [evaluate.with_place(evaluate.precision_curve(valid, kind)).select(F.lit(kind).alias("kind"), "*").drop("rank") for kind in ("NOVEL", "ALL")]
     curves = stored(curves[0].union(curves[1]), "curves")
     weeks = evaluate.period_stats(valid, cutoff, n_weeks, 7, cumulative=True).select(F.lit("week").alias("kind"), "*")
     periods = evaluate.period_stats(valid, cutoff, n_periods, period).select(F.lit("period").alias("kind"), "*")

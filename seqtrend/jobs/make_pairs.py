@@ -118,12 +118,14 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--mutations", type=int, help="random mutations of a made-up variant")
     parser.add_argument("--trials", type=int, nargs=2, default=(1, 1), metavar=("TRAIN", "VAL"))
     parser.add_argument("--randomizations", type=int, default=1, help="runs with seeds of their own")
+    parser.add_argument("--reconstructed", action="store_true", help="only rows whose record agrees with them")
     parser.add_argument("--max-rows", type=int, nargs=3, metavar=("TRAIN", "VAL", "TEST"))
     a = parser.parse_args(argv)
     if a.given and a.randomizations > 1:
         parser.error("given splits leave nothing to randomize")
     spark = session("make_pairs")
-    obs = load_normalised(spark, a.observations, end=a.until)
+    obs = load_normalised(spark, a.observations, end=a.until, labelled=True)
+    obs = obs.where("reconstructed") if a.reconstructed else obs
     given = tuple(spark.read.text(path).withColumnRenamed("value", "m") for path in a.given) if a.given else None
     for i in range(a.randomizations):
         made = run(

@@ -13,12 +13,14 @@ from seqtrend.functions.stats import t_quantile
 from seqtrend.functions.tokens import discretise
 from seqtrend.operators.broadcasts import if_small
 from seqtrend.operators.matching import match_known
-from seqtrend.operators.ranks import above_cuts, balanced_cuts
+from seqtrend.operators.ranks import above_cuts, balanced_cuts, global_rank, prefix_sums
 from seqtrend.operators.series import first_seen
 from seqtrend.sources.scratch import stored
 
 SALIENT = 10
 PIECE = 256
+#: Ranks of a run that one task sums up.
+SEGMENT = 1 << 16
 
 
 def kmers(df: DataFrame, k: int, *keys: str, seq: str = "seq") -> DataFrame:
@@ -118,23 +120,29 @@ def precision_curve(samples: DataFrame, kind: str = "NOVEL") -> DataFrame:
         raise ValueError(f"no kind {kind!r}")
     wrong = ~F.col("new_seq") & ~F.col("invalid_seq") & (F.col("false_seq") if kind == "NOVEL" else F.lit(True))
     rows = samples.where(F.col("new_seq") | wrong)
-    along = Window.partitionBy("run").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tp, fp = F.sum(F.col("new_seq").cast("long")).over(along), F.sum((~F.col("new_seq")).cast("long")).over(along)
-    return rows.select("run", "rank", fp.alias("fp"), tp.alias("tp"), F.sum(F.when(F.col("new_seq"), F.col("count")).otherwise(0)).over(along).alias("tp_count"), (tp / (tp + fp)).alias("rate"))
+    new = F.col("new_seq")
+    sums = {"fp": (~new).cast("long"), "tp": new.cast("long"), "tp_count": F.when(new, F.col("count")).otherwise(0)}
+    out = prefix_sums(rows.select("run", "rank", "new_seq", "count"), "run", F.floor(F.col("rank") / SEGMENT), [F.col("rank")], sums)
+    return out.select("run", "rank", "fp", "tp", "tp_count", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("rate"))
+
+
+def with_place(curve: DataFrame) -> DataFrame:
+    """The curve with the place, from 1, of each row in its run."""
+    return prefix_sums(curve, "run", F.floor(F.col("rank") / SEGMENT), [F.col("rank")], {"place": F.lit(1).cast("long")})
 
 
 def at_ranks(curve: DataFrame, ranks: list[int]) -> DataFrame:
     """The curve's rows at these places (from 1) of each run."""
-    place = F.row_number().over(Window.partitionBy("run").orderBy("rank"))
-    return curve.withColumn("place", place).where(F.col("place").isin(*ranks))
+    return with_place(curve).where(F.col("place").isin(*ranks))
 
 
 def discovery_curve(best: DataFrame, new: DataFrame, known: DataFrame) -> DataFrame:
     """(run, metric, fp, tp): running counts by falling metric without the known ones; ties are one step."""
     rows = best.join(known.select("child").distinct(), "child", "left_anti").join(new.select("child").distinct().withColumn("_new", F.lit(1)), "child", "left")
-    steps = rows.groupBy("run", "metric").agg(F.count("_new").alias("_t"), F.count("*").alias("_n"))
-    along = Window.partitionBy("run").orderBy(F.desc("metric")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return steps.select("run", "metric", F.sum(F.col("_n") - F.col("_t")).over(along).alias("fp"), F.sum("_t").over(along).alias("tp"))
+    steps = stored(rows.groupBy("run", "metric").agg(F.count("_new").alias("_t"), F.count("*").alias("_n")), "steps")
+    cuts = balanced_cuts(steps, "metric")
+    out = prefix_sums(steps, "run", -above_cuts("metric", cuts), [F.desc("metric")], {"fp": F.col("_n") - F.col("_t"), "tp": F.col("_t")})
+    return out.select("run", "metric", "fp", "tp")
 
 
 def mean_ci(stats: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -164,7 +172,10 @@ def period_stats(samples: DataFrame, cutoff: str, n_periods: int, period: int =
     Over new valid hits in the order of date, then score; only new-lineage hits block a lineage.
     """
     rows = samples.where(F.col("new_seq") & ~F.col("invalid_seq")).withColumn("period", week_after("seq_date", F.lit(cutoff).cast("date"), period))
-    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("run").orderBy("seq_date", F.desc("score"), "seq"))).where(F.col("period").between(1, n_periods))
+    rows = stored(rows, "hits")
+    # Ranked by day and part of the scores, so that a run is ranked in many tasks.
+    rows = global_rank(rows, [F.col("seq_date"), -above_cuts("score", balanced_cuts(rows, "score"))], [F.desc("score"), F.col("seq")], "_at", ("run",))
+    rows = rows.where(F.col("period").between(1, n_periods))
     rows = new_lineage_flags(rows, "_at", F.col("new_lineage"))
     made = rows.groupBy("run", "period").agg(F.sum("count").alias("case_counts"), F.count("*").alias("seq_counts"), F.count_if("counts_lineage").alias("lineage_counts"), F.count_if(F.col("count") >= SALIENT).alias("salient_counts"))
     grid = samples.select("run").distinct().select("run", F.explode(F.sequence(F.lit(1), F.lit(n_periods))).alias("period"))

@@ -29,6 +29,22 @@ def spread(key: Column, bits: int = 8) -> Column:
     return F.shiftright(key, 60 - bits)
 
 
+def prefix_sums(df: DataFrame, within: str, segment: Column, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with running sums, named by ``sums``, by (segment, order) of the rows with equal ``within``.
+
+    Sums run inside each segment, and what the segments before it sum up to is added, from one row a segment:
+    a run of any size is summed up in many tasks. Rows of equal order belong into one segment.
+    """
+    names = [f"_v{i}" for i in range(len(sums))]
+    rows = df.withColumn("_segment", segment).withColumns(dict(zip(names, sums.values())))
+    totals = rows.groupBy(within, "_segment").agg(*[F.sum(v).alias(v) for v in names])
+    before = Window.partitionBy(within).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(within, "_segment", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_before{v}") for v in names])
+    along = Window.partitionBy(within, "_segment").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = [(F.sum(v).over(along) + F.col(f"_before{v}")).alias(name) for name, v in zip(sums, names)]
+    return rows.join(offsets, [within, "_segment"]).select(*df.columns, *out)
+
+
 def random_rank(df: DataFrame, seed: int | str, keys: list[str], name: str = "rn", within: tuple[str, ...] = ()) -> DataFrame:
     """Row number in a random order, of all rows or of those with equal ``within``; equal rows are ranked as they come."""
     key = rand_key(seed, *keys)

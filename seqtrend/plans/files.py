@@ -12,7 +12,7 @@ from seqtrend.plans.queries import AGREED, AGREED_BY, CLASSIFY, COMPATIBLE, FISH
 from seqtrend.plans.roles import CLUSTERS, LETTERS, OBS, REFERENCE, SEQUENCES, VARIANTS, clusters, letters, observations, table
 from seqtrend.sources import clusters as cluster_files
 from seqtrend.sources import fasta, tables
-from seqtrend.sources.scratch import scratch_path
+from seqtrend.sources.scratch import scratch_path, stored
 
 
 def _raw(spark, sf_dir) -> str:
@@ -38,6 +38,26 @@ def s1_s9_normalised_window(spark, sf_dir):
     return tables.load_normalised(spark, out, "1996-03-10", "1996-07-20")
 
 
+_SNAPSHOTS = ("NOT (month IN ('1995-03', '1996-07') AND line % 2 = 1) AND month <> '1997-05'", "month <> '1994-01'")
+
+
+@query(f"""WITH {OBS}, o AS (SELECT *, strftime(d, '%Y-%m') AS month, CAST(split_part(acc, '-', 2) AS INT) AS line FROM obs),
+a AS (SELECT month, count(*) AS n FROM o WHERE {_SNAPSHOTS[0]} GROUP BY month), b AS (SELECT month, count(*) AS n, count(DISTINCT m) AS variants FROM o WHERE {_SNAPSHOTS[1]} GROUP BY month)
+SELECT b.month, b.n, variants, a.n IS NULL OR a.n <> b.n AS rewritten FROM b LEFT JOIN a USING (month)""")
+def s9_refreshed_snapshot(spark, sf_dir):
+    """Two snapshots, of which the second changes two months, adds one and lacks one; whether a month has new files."""
+    rows = observations(spark, sf_dir).withColumn("virus_name", F.lit("v")).withColumn("month", F.date_format("d", "yyyy-MM")).withColumn("line", F.split("acc", "-")[1].cast("int"))
+    out, one, two = scratch_path(spark, "snapshots"), *(rows.where(x).select("acc", "virus_name", "location", "lineage", "d", "m") for x in _SNAPSHOTS)
+    held = lambda: spark.read.schema("m string, month string").parquet(out)
+    files = lambda: held().groupBy("month").agg(F.array_sort(F.collect_set("_metadata.file_name")).alias("files"))
+    tables.write_normalised(one, out)
+    before = stored(files().select(F.col("month").alias("_month"), F.col("files").alias("_files")), "files")
+    tables.refresh_normalised(two, out)
+    after = held().groupBy("month").agg(F.count("*").alias("n"), F.countDistinct("m").alias("variants")).join(files(), "month")
+    same = F.col("files").eqNullSafe(F.col("_files"))
+    return after.join(F.broadcast(before), F.col("month") == F.col("_month"), "left").select("month", "n", "variants", (~same).alias("rewritten"))  # a row a month
+
+
 @query(f"WITH {_NORMAL} SELECT acc FROM kept")
 def s13_exported_accessions(spark, sf_dir):
     out = scratch_path(spark, "accessions")

@@ -39,18 +39,56 @@ def normalise(raw: DataFrame, datefield: str = "Submission date", protein: str =
     return rows.where("lineage is not null")
 
 
+def _by_month(df: DataFrame) -> DataFrame:
+    rows = df.withColumn("month", F.date_format("d", "yyyy-MM"))
+    return rows.repartition("month", F.pmod(F.xxhash64("acc"), F.lit(8)))
+
+
 def write_normalised(df: DataFrame, path: str) -> None:
     """Parquet by month; ``load_normalised`` with a range reads only its months. A null date has a folder of its own.
 
     Rows of a month are brought together first, in as many parts as their hash gives: few files per folder.
     """
-    rows = df.withColumn("month", F.date_format("d", "yyyy-MM"))
-    rows.repartition("month", F.pmod(F.xxhash64("acc"), F.lit(8))).write.partitionBy("month").parquet(path)
+    _by_month(df).write.partitionBy("month").parquet(path)
+
 
+def month_digests(df: DataFrame) -> DataFrame:
+    """(month, n, digest) of normalised rows: rows and the sum of their hashes, whatever their order."""
+    columns = [c for c in df.columns if c != "month"]
+    return df.groupBy(F.date_format("d", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("digest"))
 
-def load_normalised(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """The stored table, or its rows from ``start`` to ``end``, of which only the months' folders are read."""
-    rows = spark.read.schema(NORMALISED).parquet(path)
+
+def refresh_normalised(df: DataFrame, path: str) -> DataFrame:
+    """Bring a stored table to the new snapshot ``df``, with the columns that were stored, and return the (month, change) that differed.
+
+    Only months whose rows changed are written, as whole folders; those that the snapshot no longer has are removed
+    (change: written or removed). Other folders keep their files. ``df`` must not read from ``path``. A run that
+    is cut off can be repeated: what it has written is then found equal.
+    """
+    spark = df.sparkSession
+    held = spark.read.schema(T.StructType([*df.drop("month").schema.fields, T.StructField("month", T.StringType())])).parquet(path)
+    old = month_digests(held.drop("month")).toDF("month", "_n", "_digest").withColumn("_old", F.lit(True))
+    new = month_digests(df).withColumn("_new", F.lit(True))
+    both = new.join(old, new["month"].eqNullSafe(old["month"]), "full")
+    same = F.coalesce((F.col("n") == F.col("_n")) & (F.col("digest") == F.col("_digest")), F.lit(False))
+    changed = both.where(~same).select(F.coalesce(new["month"], old["month"]).alias("month"), F.when(F.col("_new"), "written").otherwise("removed").alias("change"))
+    changed = spark.createDataFrame(changed.collect(), "month string, change string")  # a row a month
+    months = F.broadcast(changed.where("change = 'written'").select(F.col("month").alias("_month")))
+    rows = df.join(months, F.date_format("d", "yyyy-MM").eqNullSafe(F.col("_month")), "left_semi")
+    _by_month(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for r in changed.where("change = 'removed'").collect():
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/month={r.month or '__HIVE_DEFAULT_PARTITION__'}")
+        folder.getFileSystem(conf).delete(folder, True)
+    return changed
+
+
+def load_normalised(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, labelled: bool = False) -> DataFrame:
+    """The stored table, or its rows from ``start`` to ``end``, of which only the months' folders are read.
+
+    ``labelled``: with the column reconstructed, null where the table was stored without it.
+    """
+    rows = spark.read.schema("reconstructed boolean, " + NORMALISED if labelled else NORMALISED).parquet(path)
     return date_window(rows, start, end).drop("month")
 
 
