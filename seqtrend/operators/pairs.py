@@ -15,7 +15,6 @@ from seqtrend.functions.rand import rand_key
 from seqtrend.functions.stats import chi2_yates, fisher_exact
 from seqtrend.operators.broadcasts import if_small
 from seqtrend.operators.ranks import random_rank
-from seqtrend.operators.series import count_at
 from seqtrend.sources.scratch import stored
 
 # Brackets [low, high) of the ratio of two counts with the weeks tolerated, lead times, least total.
@@ -232,18 +231,33 @@ def contingency_p(a0: int, a1: int, b0: int, b1: int, use_chi2: bool = False) ->
     return fisher_exact(int(a0), int(b0), int(a1), int(b1))
 
 
+def _with_counts(rows: DataFrame, t: DataFrame, side: str) -> DataFrame:
+    """``rows`` whose variants are both in the region's series, with its counts ``_<side>0`` and ``_<side>1`` at the end of
+    the time that both were seen there.
+
+    The weeks asked for are gathered per variant, so that a series moves once per variant and not once per pair.
+    """
+    for i in (0, 1):
+        rows = rows.join(t.select(F.col("m").alias(f"seq{i}"), F.col("week").alias(f"_w{i}"), F.size("counts").alias("_last")), f"seq{i}")
+        rows = rows.drop("_last") if i == 0 else rows
+    period = F.least(F.col("_last") - F.col("_w0"), F.col("_last") - F.col("_w1"))
+    rows = stored(rows.withColumns({f"_at{i}": (F.col(f"_w{i}") + period).cast("int") for i in (0, 1)}).drop("_w0", "_w1", "_last"), "sided")
+    asked = rows.select(F.col("seq0").alias("m"), F.col("_at0").alias("_at")).union(rows.select("seq1", "_at1"))
+    asked = asked.groupBy("m").agg(F.collect_set("_at").alias("_ats"))  # at most one a week
+    counts = asked.join(t.select("m", "counts"), "m").select("m", "counts", F.explode("_ats").alias("_at"))
+    counts = counts.select("m", "_at", F.element_at("counts", F.col("_at")).alias("_c"))
+    for i in (0, 1):
+        rows = rows.join(counts.toDF(f"seq{i}", f"_at{i}", f"_{side}{i}"), [f"seq{i}", f"_at{i}"])
+    return rows.drop("_at0", "_at1")
+
+
 def validate_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, max_p_diff: float | None = None, p_value: float | None = None, cutoff: float = 1e-2, use_chi2: bool = False) -> DataFrame:
     """The pairs on whose direction and strength the regions' series a and b agree."""
     if not max_p_diff and not p_value:
         raise ValueError("one of max_p_diff and p_value is needed")
     rows = pairs
     for side, t in (("a", a), ("b", b)):
-        for i in (0, 1):
-            rows = rows.join(t.select(F.col("m").alias(f"seq{i}"), F.col("week").alias(f"_w{i}"), F.col("counts").alias(f"_c{i}")), f"seq{i}")
-        last = F.size("_c0")
-        # Each region's own first weeks set its period.
-        period = F.least(last - F.col("_w0"), last - F.col("_w1"))
-        rows = rows.withColumn(f"_{side}0", count_at("_c0", "_w0", period)).withColumn(f"_{side}1", count_at("_c1", "_w1", period)).drop("_w0", "_w1", "_c0", "_c1")
+        rows = _with_counts(rows, t, side)
     shares = [F.col(y) / (F.col(x) + F.col(y) + F.lit(1e-12)) for x, y in (("count0", "count1"), ("_a0", "_a1"), ("_b0", "_b1"))]
     rows = rows.where(F.greatest(*shares) <= 0.5)
     if max_p_diff:

@@ -11,7 +11,8 @@ from seqtrend.functions import dates, mutations, tokens
 from seqtrend.functions.rand import rand_key
 from seqtrend.sources import clusters as cluster_files
 from seqtrend.sources import fasta, tables
-from seqtrend.operators import audit, evaluate, matching, pairs, ranks, series, splits
+from seqtrend.sources.scratch import scratch_path
+from seqtrend.operators import audit, evaluate, kmer_index, matching, pairs, ranks, series, splits
 from seqtrend.plans.roles import CLUSTERS, HITS, LETTERS, OBS, REFERENCE, SAMPLES, SEQUENCES, VARIANTS, WEEKS, clusters, hits, letters, observations, samples, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -485,6 +486,15 @@ def a4_kmer_novelty(spark, sf_dir):
     return evaluate.kmer_novelty(docs, known).select(F.md5(F.col("seq").cast("binary")).alias("seq"), "novelty")
 
 
+@query(f"WITH {KMERS} SELECT md5(seq) AS seq, novelty FROM nov")
+def a4_indexed_novelty(spark, sf_dir):
+    """The same from a stored index of the known k-mers."""
+    docs, known = (table(spark, sf_dir, t).select(letters("text").alias("seq")) for t in ("documents", "benchmark"))
+    path = scratch_path(spark, "kmers")
+    index = kmer_index.write_kmer_index(known, "kmers_" + path.rsplit("-", 1)[1], path)
+    return kmer_index.indexed_novelty(docs, index).select(F.md5(F.col("seq").cast("binary")).alias("seq"), "novelty")
+
+
 @query(f"WITH {KMERS}, r AS (SELECT DISTINCT source AS run, {LETTERS} AS seq FROM documents) SELECT run, round(avg(novelty), 6) AS novelty, count(*) AS n_valid FROM r JOIN nov ON r.seq = nov.seq GROUP BY run")
 def a4_run_novelty(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("run"), letters("text").alias("seq"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqtrend.functions import mutations
-from seqtrend.operators import evaluate, matching, pairs, wildcards
+from seqtrend.operators import evaluate, kmer_index, matching, pairs, wildcards
 from seqtrend.sources.scratch import stored
 
 
@@ -138,3 +138,21 @@ def test_kmers_of_a_long_sequence(spark):
     began = time.time()
     assert evaluate.kmers(long, 11, "id").count() == 80_000 - 10
     assert time.time() - began < 5
+
+
+def test_stored_kmers_are_not_shuffled(spark, tmp_path):
+    """A run with the index shuffles neither its k-mers nor those of samples whose bit isn't set."""
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choices("ACDE", k=n))
+    known = [text(rng.randint(3, 60)) for _ in range(40)] + [None]
+    samples = [text(rng.randint(0, 700)) for _ in range(25)] + [k + text(4) for k in known[:10]] + [None, "AC" * 500]
+    table = lambda x: spark.createDataFrame([(s,) for s in x], "seq string")
+    index = kmer_index.write_kmer_index(table(known), "known_kmers", f"file://{tmp_path}/index", k=6)
+    seen = {k[i : i + 6] for k in filter(None, known) for i in range(len(k) - 5)}
+    for s in (samples, samples[:3]):
+        made = kmer_index.indexed_novelty(table(s), index)
+        assert {r.seq: r.novelty for r in made.collect()} == {x: sum(x[i : i + 6] not in seen for i in range(len(x) - 5)) for x in s if x is not None}
+    text = made._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    side = text[text.rindex("Sort [kmer") :]  # the known side of the join
+    assert "SortMergeJoin [kmer" in text and "Bucketed: true" in side and "Exchange" not in side
+    assert not kmer_index.indexed_novelty(table([]), index).count()
