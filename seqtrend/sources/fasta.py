@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqtrend.operators.splits import enumerate_rows
+from seqtrend.sources.block_gzip import read_block_gzip
 
 # Fixed value: the shape of a cluster's header.
 CLUSTER_HEADER = r"^>?(\S+)\s+(.*)\s+n=(\d+)\s+Tax=(.*)\s+TaxID=(\S*)\s+RepID=(\S+)\s*$"
@@ -14,13 +15,14 @@ CLUSTER_HEADER = r"^>?(\S+)\s+(.*)\s+n=(\d+)\s+Tax=(.*)\s+TaxID=(\S*)\s+RepID=(\
 def read_fasta(spark: SparkSession, path: str, header_sep: str | None = None) -> DataFrame:
     """(header, sequence): the first word of the header, or its text before ``header_sep``; joined lines.
 
-    Records without a sequence are left out. One .gz file is one task: store large inputs in split form.
+    Records without a sequence are left out. One .gz file is one task; a .bgz file, of gzip blocks, has one per split.
     """
     lines = F.split(F.regexp_replace("value", r"^>", ""), r"\r?\n")
     head = F.get(lines, F.lit(0))
     head = F.trim(F.substring_index(head, header_sep, 1)) if header_sep else F.regexp_extract(head, r"^\S*", 0)
     body = F.array_join(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.trim(x)), "")
-    return spark.read.text(path, lineSep="\n>").select(head.alias("header"), body.alias("sequence")).where("sequence <> ''")
+    records = read_block_gzip(spark, path, "\n>") if path.endswith(".bgz") else spark.read.text(path, lineSep="\n>")
+    return records.select(head.alias("header"), body.alias("sequence")).where("sequence <> ''")
 
 
 def write_fasta(df: DataFrame, path: str, m: str = "m", seq: str = "seq", numbered: bool = True) -> None:
@@ -48,7 +50,7 @@ def parse_cluster_headers(lines: DataFrame) -> DataFrame:
 
 
 def read_cluster_headers(spark: SparkSession, path: str) -> DataFrame:
-    return parse_cluster_headers(spark.read.text(path))
+    return parse_cluster_headers(read_block_gzip(spark, path) if path.endswith(".bgz") else spark.read.text(path))
 
 
 def select_records(fasta: DataFrame, names: DataFrame, name: str = "name") -> tuple[DataFrame, DataFrame]:
