@@ -1,8 +1,8 @@
 """Secret scans: fixed rules, and character Markov models of random strings and of ordinary identifiers.
 
 Only DataFrame functions run. The two first-order models are trained from labelled samples: what the rules
-matched, and generated strings, are random; the other tokens of a bounded sample of documents, and identifiers
-put together from its words, are ordinary. A token is a secret if the log-likelihood ratio of the models
+matched, and generated strings, are random; the other tokens of a bounded sample of documents, identifiers
+put together from its words, and numbers are ordinary. A token is a secret if the log-likelihood ratio of the models
 exceeds ``prior_log_odds``: how much rarer secrets are held to be than ordinary tokens of that length.
 """
 
@@ -26,7 +26,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = r"[A-Za-z0-9+/_=-]{%d,}"
 LEAST_TOKEN, TRAIN_TOKEN = 16, 8
 LOG_ODDS = 16.0
-SAMPLE_DOCS, SAMPLE_STRINGS = 2000, 3000
+SAMPLE_DOCS, SAMPLE_STRINGS, SAMPLE_NUMBERS = 2000, 3000, 500
 
 
 def base_spans(text: Column) -> Column:
@@ -45,7 +45,7 @@ def _outside(tokens: Column, base: Column) -> Column:
 
 
 def labelled_tokens(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings: int = SAMPLE_STRINGS) -> DataFrame:
-    """(random, token) from at most ``sample_docs`` documents, generated random strings, identifiers and runs of one character.
+    """(random, token) from at most ``sample_docs`` documents, generated random strings, identifiers, numbers and runs of one character.
 
     The documents are those with the smallest hashes of id and text; of repeats of one row so many as fit. Null
     and empty texts give nothing, an empty table leaves the generated strings.
@@ -69,8 +69,11 @@ def labelled_tokens(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_stri
     camel = lambda i: F.concat(at(i, 0), F.initcap(at(i, 1)), F.initcap(at(i, 2)), (i * 7 % 30).cast("string"))
     one = lambda i: F.when(i % 4 == 3, camel(i)).when(i % 8 == 1, F.upper(joined(i))).otherwise(joined(i))
     named = sample.select(F.slice(words, 1, 60).alias("w")).where("size(w) >= 3").select(F.lit(False).alias("random"), F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 3).cast("int") - 1), one)).alias("token"))
+    # Numbers of all lengths are ordinary: of account, order and phone.
+    digits = F.translate(F.sha2(F.concat(F.lit("number-"), F.col("id")), 256), "abcdef", "012345")
+    numbers = docs.sparkSession.range(SAMPLE_NUMBERS).select(F.lit(False).alias("random"), F.substring(digits, F.lit(1), (F.col("id") % 33 + TRAIN_TOKEN).cast("int")).alias("token"))
     runs = docs.sparkSession.range(len(ALPHABET)).select(F.lit(False).alias("random"), F.repeat(F.substring(F.lit(ALPHABET), F.col("id").cast("int") + 1, F.lit(1)), 200).alias("token"))
-    return secret.union(plain).union(named).union(made).union(runs)
+    return secret.union(plain).union(named).union(numbers).union(made).union(runs)
 
 
 def train(tokens: DataFrame, smoothing: float = 0.5) -> list[float]:
@@ -102,7 +105,7 @@ def log_ratio(token: Column, ratios: list[float]) -> Column:
 def scan(docs: DataFrame, ratios: list[float], prior_log_odds: float = LOG_ODDS, least: int = LEAST_TOKEN) -> DataFrame:
     """One row per row of ``docs``: doc_id, assign, access, hex and markov arrays of (start, end, value).
 
-    Null and empty texts have no spans. Markov spans never overlap a rule's span. Each row is scanned by
+    Null and empty texts have no spans, very long ones are scanned whole. Markov spans never overlap a rule's span. Each row is scanned by
     itself, so repeated rows, null ids and clashing columns are of no account.
     """
     spans = docs.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
