@@ -45,13 +45,28 @@ def cells(docs: DataFrame) -> DataFrame:
     return rows.groupBy(*DIMENSIONS).agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"))
 
 
-def targets(table: DataFrame, powers: dict[str, float] = POWERS) -> dict[str, DataFrame]:
-    """Per dimension (value, target): shares that sum to 1 over the values with tokens."""
+def targets(table: DataFrame, powers: dict[str, float] = POWERS, shares: dict[str, dict[str, float]] | None = None) -> dict[str, DataFrame]:
+    """Per dimension (value, target): shares that sum to 1 over the values with tokens.
+
+    ``shares`` gives values of a dimension their target share by name, such as {"source": {"web": 0.5}} (a null value
+    is ''); the other values share the rest in proportion to their powered shares. A named value without tokens
+    is passed over; if no other value is there for the rest, the named ones are scaled up to 1. 0 leaves a value out.
+    """
     out = {}
     for d in DIMENSIONS:
+        given = (shares or {}).get(d, {})
+        if any(not 0 <= x <= 1 for x in given.values()) or sum(given.values()) > 1 + 1e-9:
+            raise ValueError(f"the shares of {d} must be from 0 to 1 and sum up to 1 at most")
         sums = table.groupBy(d).agg(F.sum("tokens").alias("t")).where("t > 0").withColumn("p", F.pow("t", F.lit(powers[d])))
-        total = sums.agg(F.sum("p").alias("all"))
-        out[d] = stored(sums.join(F.broadcast(total)).select(d, (F.col("p") / F.col("all")).alias("target")), "target")  # total: one row
+        if given:
+            named = table.sparkSession.createDataFrame([(v, float(x)) for v, x in given.items()], f"{d} string, named double")
+            sums = sums.join(F.broadcast(named), d, "left")  # as many as the caller names
+        else:
+            sums = sums.withColumn("named", F.lit(None).cast("double"))
+        sums = stored(sums, "shares")
+        total = sums.agg(F.coalesce(F.sum("named"), F.lit(0.0)).alias("given"), F.sum(F.when(F.col("named").isNull(), F.col("p"))).alias("rest"))  # one row
+        target = F.when(F.col("named").isNull(), F.greatest(1 - F.col("given"), F.lit(0.0)) * F.col("p") / F.col("rest")).when(F.col("rest").isNull() & (F.col("given") > 0), F.col("named") / F.col("given")).otherwise(F.col("named"))
+        out[d] = stored(sums.join(F.broadcast(total)).select(d, target.alias("target")), "target")
     return out
 
 
@@ -148,17 +163,17 @@ def _rake_by_joins(table: DataFrame, goals: dict[str, DataFrame], tolerance: flo
     return fitted.drop("off").withColumn("weight", F.least("weight", bound))
 
 
-def probabilities(table: DataFrame, goals: dict[str, DataFrame], keep_share: float = KEEP_SHARE, task_cells: int = TASK_CELLS) -> DataFrame:
+def probabilities(table: DataFrame, goals: dict[str, DataFrame], keep_share: float = KEEP_SHARE, task_cells: int = TASK_CELLS, least_share: float = LEAST_SHARE) -> DataFrame:
     """The raked cells with ``probability``: proportional to weight / tokens, in expectation a share of all tokens.
 
     The share is ``keep_share``; where that is 1, the largest at which every target is met exactly, or
-    LEAST_SHARE if rare cells would make it less than that. Where a cell's tokens don't suffice for the share,
+    ``least_share`` if rare cells would make it less than that. Where a cell's tokens don't suffice for the share,
     its probability is 1 and the other cells are raked to what remains of the targets.
     """
     fitted = rake(table, goals, task_cells=task_cells)
     total, top = fitted.agg(F.sum("tokens"), F.max(F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))).first()
     exact = 1 / (total * top) if top else 1.0
-    share = keep_share if keep_share < 1 else max(exact, LEAST_SHARE)
+    share = keep_share if keep_share < 1 else max(exact, least_share)
     if share > exact:
         fitted = rake(table, goals, task_cells=task_cells, keep_share=share)
     drawn = F.col("weight") / F.col("tokens") * float((total or 0) * share)
@@ -182,14 +197,15 @@ def uniform(seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11).cast("double") / float(1 << 53)
 
 
-def calibrated(docs: DataFrame, powers: dict[str, float] = POWERS, keep_share: float = KEEP_SHARE) -> DataFrame:
+def calibrated(docs: DataFrame, powers: dict[str, float] = POWERS, keep_share: float = KEEP_SHARE, shares: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """``docs`` with _llm_topic, _llm_probability and _llm_weight, the token weight of the row's cell.
 
     Documents without words are in no one's way: cells without tokens have probability 1. Repeated rows of
-    one id and text are drawn together. An empty table stays empty.
+    one id and text are drawn together. Very long texts are counted whole. An empty table stays empty. Other
+    columns stay, but for those whose names start with _llm_. ``shares`` are explicit targets, see ``targets``: as many tokens are drawn as meet them exactly.
     """
     table = stored(cells(docs), "cells")
-    fitted = probabilities(table, targets(table, powers), keep_share)
+    fitted = probabilities(table, targets(table, powers, shares), keep_share, least_share=0.0 if shares else LEAST_SHARE)
     fitted = stored(fitted.select(*[F.col(c).alias(f"_llm_{c}") for c in DIMENSIONS], F.col("probability").alias("_llm_probability"), F.col("weight").alias("_llm_weight")), "probabilities")
     fitted = small(fitted.withColumnRenamed("_llm_topic", "_llm_kind"))
     rows = docs.withColumn("_llm_topic", topic())
@@ -197,9 +213,9 @@ def calibrated(docs: DataFrame, powers: dict[str, float] = POWERS, keep_share: f
     return rows.join(fitted, same, "left").drop("_llm_source", "_llm_lang", "_llm_kind")
 
 
-def mixed(docs: DataFrame, powers: dict[str, float] = POWERS, keep_share: float = KEEP_SHARE, seed: int = 17) -> DataFrame:
+def mixed(docs: DataFrame, powers: dict[str, float] = POWERS, keep_share: float = KEEP_SHARE, seed: int = 17, shares: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """The drawn rows of ``docs``, columns as before."""
-    return calibrated(docs, powers, keep_share).where(uniform(seed) < F.col("_llm_probability")).select(*docs.columns)
+    return calibrated(docs, powers, keep_share, shares).where(uniform(seed) < F.col("_llm_probability")).select(*docs.columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
