@@ -74,7 +74,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """(doc_id, _k, item_id, similarity, start_word, n_words): the best window of each document for each item.
 
     Null and empty texts, and items without words, match nothing. Repeated items each match. Rows of one
-    doc_id and text give one result; rows with a null doc_id take part. Empty tables give an empty result.
+    doc_id and text give one result; rows with a null doc_id take part. Very long texts are searched whole; of
+    equally similar windows the first counts; other columns of any name are left out. Empty tables give an empty
+    result.
     """
     items = stored(item_table(benchmark), "items")
     widths = [r[0] for r in items.select("width").distinct().orderBy("width").collect()]  # at most WIDTH values

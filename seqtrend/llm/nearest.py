@@ -150,7 +150,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = C
     parts, take no part; vectors of another length than the query's are no candidates. A query is not its
     own candidate (same vec_id). Ties go to the smaller vec_id. Equal vectors are indexed once a segment.
     Repeated rows (same vec_id and vector) count once in both tables; different vectors of one vec_id are rows
-    of their own, and need distinct ids.
+    of their own, and need distinct ids. Other columns of any name are left out.
     """
     spark = vectors.sparkSession
     indexed, asked = usable(vectors).distinct(), usable(queries).distinct()

@@ -114,7 +114,8 @@ def simhash_groups(docs: DataFrame, max_bits: int = 2) -> DataFrame:
 
     Null and empty texts have fingerprint 0, which is linked like any other. Copies fall together by
     fingerprint before any comparison. Rows with a null doc_id take part; a group of only such rows has a
-    null component_id. An empty table gives an empty result.
+    null component_id. Very long texts are fingerprinted whole; other columns of any name are left out. An
+    empty table gives an empty result.
     """
     rows = stored(fingerprints(docs), "fingerprints")
     prints = _classes(rows)
