@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqtrend.llm.common import small, stored
+from seqtrend.llm.common import BROADCAST_ROWS, join_counted, small, stored
 
 BITS = 60
 LIMIT_BYTES = 32 << 20
@@ -63,17 +63,27 @@ def directory(rows: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
         low, high = high + 1, min(BITS, high + STEP)
 
 
-def assign(docs: DataFrame, leaves: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
+def assign(docs: DataFrame, leaves: DataFrame, limit: int = LIMIT_BYTES, most: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with shard_id (1 bits prefix, as a number) and shard_part (0 but for repeats over the limit).
 
-    One join with the directory per depth that occurs (at most 61), broadcast where it was counted as small.
+    A directory of up to ``most`` leaves is broadcast, with one join per depth that occurs (at most 61). A larger one
+    meets the hashes alone, each at the depths that occur, and the texts are joined with their hash's shard once.
     """
     depths = [r[0] for r in leaves.select("depth").distinct().orderBy("depth").collect()]
-    out = docs.withColumn("_llm_h", hash60()).withColumn("shard_id", F.lit(None).cast("long"))
-    for d in depths:
-        part = small(leaves.where(F.col("depth") == d).select(F.col("prefix").alias("_llm_prefix")))
-        out = out.join(part, _prefix(F.col("_llm_h"), d) == F.col("_llm_prefix"), "left")
-        out = out.withColumn("shard_id", F.coalesce("shard_id", F.when(F.col("_llm_prefix").isNotNull(), F.col("_llm_prefix") + F.lit(1 << d)))).drop("_llm_prefix")
+    out = docs.withColumn("_llm_h", hash60())
+    if leaves.count() <= most:
+        out = out.withColumn("shard_id", F.lit(None).cast("long"))
+        for d in depths:
+            part = F.broadcast(leaves.where(F.col("depth") == d).select(F.col("prefix").alias("_llm_prefix")))
+            out = out.join(part, _prefix(F.col("_llm_h"), d) == F.col("_llm_prefix"), "left")
+            out = out.withColumn("shard_id", F.coalesce("shard_id", F.when(F.col("_llm_prefix").isNotNull(), F.col("_llm_prefix") + F.lit(1 << d)))).drop("_llm_prefix")
+    else:
+        tries = out.groupBy("_llm_h").agg(F.count("*").alias("n"))
+        tries = tries.select("_llm_h", "n", F.explode(F.array(*map(F.lit, depths))).alias("depth")).withColumn("prefix", _prefix(F.col("_llm_h"), F.col("depth")))
+        shard_id = F.col("prefix") + F.call_function("shiftleft", F.lit(1).cast("long"), F.col("depth"))
+        found = stored(tries.join(leaves.select("depth", "prefix"), ["depth", "prefix"]).select("_llm_h", "n", shard_id.alias("shard_id")), "shards")
+        out = join_counted(out, found, ["_llm_h"]).drop("n")
+        out = out.select(*docs.columns, "_llm_h", "shard_id")
     full = leaves.where("full").select(F.col("prefix").alias("_llm_h"))
     if full.isEmpty():
         return out.withColumn("shard_part", F.lit(0).cast("long")).drop("_llm_h")

@@ -36,6 +36,16 @@ def test_against_brute_force(spark, sf):
         assert all(r.b <= limit or r.n == 1 for r in sizes.collect())
 
 
+def test_a_large_directory_meets_hashes_alone(spark, sf, odd_docs):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.limit(1).join(spark.range(2500)).select("doc_id", "text")).union(odd_docs.select("doc_id", "text")).repartition(3).cache()
+    leaves = S.directory(docs.select(S.hash60().alias("h"), S.text_bytes().alias("bytes")), 3000)
+    rows = lambda df: sorted((str(r.doc_id), str(r.text), r.shard_id, r.shard_part) for r in df.collect())
+    one, many = S.assign(docs, leaves, 3000), S.assign(docs, leaves, 3000, most=0)
+    key = lambda r: r[:3]  # noqa: E731  (parts of repeats are numbered as they come)
+    assert list(map(key, rows(many))) == list(map(key, rows(one))) and one.columns == many.columns
+
+
 def test_repeats_over_the_limit(spark):
     docs = spark.createDataFrame([(7, "a" * 100)] * 57 + [(i, "b" * 10) for i in range(20)] + [(8, "c" * 900)], "doc_id long, text string").repartition(3)
     got = S.shard(docs, 350)
