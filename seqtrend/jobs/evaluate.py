@@ -12,7 +12,7 @@ from seqtrend.functions.mutations import apply_mutations
 from seqtrend.jobs.common import arguments, session
 from seqtrend.operators import evaluate, matching
 from seqtrend.operators.broadcasts import if_small
-from seqtrend.sources.scratch import stored
+from seqtrend.sources.scratch import scratch_tables, stored
 from seqtrend.sources.tables import load_normalised, read_samples
 
 BY = ["tool", "setting"]
@@ -68,9 +68,10 @@ def main(argv: list[str] | None = None) -> None:
     reference = spark.read.text(a.reference, wholetext=True).first()[0].strip()  # one sequence
     obs = apply_mutations(load_normalised(spark, a.observations), reference)
     tools = spark.read.schema("run string, tool string, setting string").json(a.tools) if a.tools else None
-    made = run(read_samples(spark, a.samples, a.score, a.level), obs, a.cutoff, a.weeks, a.periods, a.period, tools)
-    for name, table in made.items():
-        table.write.parquet(f"{a.out}/{name}")
+    with scratch_tables(spark):
+        made = run(read_samples(spark, a.samples, a.score, a.level), obs, a.cutoff, a.weeks, a.periods, a.period, tools)
+        for name, table in made.items():
+            table.write.parquet(f"{a.out}/{name}")
 
 
 if __name__ == "__main__":

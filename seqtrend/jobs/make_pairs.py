@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seqtrend.jobs.common import arguments, session
 from seqtrend.operators import pairs, ranks, series
-from seqtrend.sources.scratch import stored
+from seqtrend.sources.scratch import scratch_tables, stored
 from seqtrend.sources.tables import cap_rows, load_normalised
 
 SPLITS = ("train", "val", "test")
@@ -128,14 +128,15 @@ def main(argv: list[str] | None = None) -> None:
     obs = obs.where("reconstructed") if a.reconstructed else obs
     given = tuple(spark.read.text(path).withColumnRenamed("value", "m") for path in a.given) if a.given else None
     for i in range(a.randomizations):
-        made = run(
-            obs, a.primary, a.control, a.until, None, a.period, a.discovery, tuple(a.blocks), given, a.combine, a.cap, a.min_lead, a.to_check, a.p_value, a.cutoff, a.chi2, a.max_p_diff,
-            Frequent(*a.frequent) if a.frequent else None, a.mutations, tuple(a.trials), a.seed + i,
-        )
-        if a.max_rows:
-            cut = [cap_rows(made.where(F.col("split") == s), n, a.seed, "split", ["seq0", "seq1"]) for s, n in zip(SPLITS, a.max_rows)]
-            made = cut[0].union(cut[1]).union(cut[2])
-        made.write.partitionBy("split").json(a.out if a.randomizations == 1 else f"{a.out}/run={i}")
+        with scratch_tables(spark):
+            made = run(
+                obs, a.primary, a.control, a.until, None, a.period, a.discovery, tuple(a.blocks), given, a.combine, a.cap, a.min_lead, a.to_check, a.p_value, a.cutoff, a.chi2, a.max_p_diff,
+                Frequent(*a.frequent) if a.frequent else None, a.mutations, tuple(a.trials), a.seed + i,
+            )
+            if a.max_rows:
+                cut = [cap_rows(made.where(F.col("split") == s), n, a.seed, "split", ["seq0", "seq1"]) for s, n in zip(SPLITS, a.max_rows)]
+                made = cut[0].union(cut[1]).union(cut[2])
+            made.write.partitionBy("split").json(a.out if a.randomizations == 1 else f"{a.out}/run={i}")
 
 
 if __name__ == "__main__":

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from seqtrend.jobs.common import arguments, session
 from seqtrend.operators.audit import label_reconstruction
 from seqtrend.sources.fasta import read_fasta
-from seqtrend.sources.scratch import stored
+from seqtrend.sources.scratch import scratch_tables, stored
 from seqtrend.sources.tables import load_normalised, normalise, read_observations, refresh_normalised, write_normalised
 
 
@@ -42,7 +42,8 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--protein", default="Spike")
     a, spark = parser.parse_args(argv), session("normalise")
     reference = spark.read.text(a.reference, wholetext=True).first()[0].strip() if a.reference else None  # one sequence
-    run(spark, a.raw, a.out, read_fasta(spark, a.fasta) if a.fasta else None, reference, a.datefield, a.protein, a.fake, a.refresh)
+    with scratch_tables(spark):
+        run(spark, a.raw, a.out, read_fasta(spark, a.fasta) if a.fasta else None, reference, a.datefield, a.protein, a.fake, a.refresh)
 
 
 if __name__ == "__main__":

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths made inside each open ``scratch_tables``.
+_made: list[list[str]] = []
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode and an error else."""
@@ -20,15 +25,34 @@ def scratch_dir(spark: SparkSession) -> str:
     return where
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
+    """A new path in the shared folder, deleted at the end of ``scratch_tables``, else when the driver ends."""
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    files, hadoop_path = _hadoop(spark, path)
+    files.deleteOnExit(hadoop_path)
+    if _made:
+        _made[-1].append(path)
     return path
 
 
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables stored inside, so that a long session keeps its disk. Results must have been written by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            files, hadoop_path = _hadoop(spark, path)
+            files.delete(hadoop_path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table and read back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)

@@ -87,3 +87,23 @@ def test_streaming_counts(spark, tmp_path):
     finally:
         query.stop()
     assert got == {(str(r.start), r.m, r.n) for r in streaming_period_counts(rows).collect()} and sum(n for *_, n in got) == 3
+
+
+def test_scratch_tables_go_with_their_block(spark, tmp_path):
+    import os
+
+    from seqtrend.sources.scratch import scratch_path, scratch_tables, stored
+
+    folder = lambda t: t.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    kept = stored(spark.range(3), "outer")
+    with scratch_tables(spark):
+        one = folder(stored(spark.range(5), "a"))
+        with scratch_tables(spark):
+            two = folder(stored(spark.range(6), "b"))
+            scratch_path(spark, "never-written")
+        assert os.path.isdir(one) and not os.path.exists(two)
+    assert not os.path.exists(one) and kept.count() == 3
+    with pytest.raises(ValueError), scratch_tables(spark):
+        three = folder(stored(spark.range(7), "c"))
+        raise ValueError
+    assert not os.path.exists(three)
