@@ -229,7 +229,7 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MI
     paragraphs, windows = units.where("bands is not null"), units.where("bands is null")
 
     often = windows.groupBy("digest").agg(F.min("_k").alias("x"), F.max("_k").alias("y"), F.count("*").alias("n")).where("x <> y").select("digest", "n")
-    passages = join_counted(windows, often, ["digest"]).select("doc_id", "_k", F.lit("passage").alias("kind"), "start", "n_words", F.col("digest").alias("component_id"))
+    passages = join_counted(windows, stored(often, "often"), ["digest"]).select("doc_id", "_k", F.lit("passage").alias("kind"), "start", "n_words", F.col("digest").alias("component_id"))
 
     labels = paragraph_components(docs, paragraphs, similarity)
     classes = paragraphs.groupBy("digest").agg(F.count("*").alias("n"), F.min("_k").alias("x"), F.max("_k").alias("y")).join(labels, "digest", "left")
