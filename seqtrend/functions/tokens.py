@@ -10,16 +10,37 @@ from seqtrend.functions.rand import rand_key
 # The letters in the order of their ids, and the special tokens that follow them.
 LETTERS = "ACDEFGHIKLMNPQRSTVWYBXJZUO"
 CLS, SEP, MASK = 26, 27, 28
+#: Tiles that are drawn before the sequence is asked for its end again.
+STEPS = 64
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def made_once(df: DataFrame, column: Column, name: str) -> DataFrame:
+    """``df`` with a costly column that a filter behind it doesn't make again.
+
+    Filters move below a projection together with what they test, but not below the rows of an array.
+    """
+    return df.select("*", F.explode_outer(F.array(column)).alias(name))
+
+
+def _letters(seq: Column) -> Column:
+    return F.when(seq == "", F.array().cast("array<string>")).otherwise(F.split(seq, ""))
+
+
 def letter_ids(seq: Column | str) -> Column:
     """Ids of the letters; ``*`` is SEP, an unknown letter an error."""
-    one = lambda c: F.when(c == "*", F.lit(SEP)).when(F.instr(F.lit(LETTERS), c) > 0, F.instr(F.lit(LETTERS), c) - 1).otherwise(F.raise_error(F.concat(F.lit("no letter: "), c)).cast("int"))
-    return F.transform(F.filter(F.split(_col(seq), ""), lambda c: c != ""), one)
+
+    def ids(s: Column) -> Column:
+        # What is unknown is looked for in the text, not letter by letter; SEP is one behind CLS.
+        unknown = F.translate(s, LETTERS + "*", "")
+        one = lambda c: F.instr(F.lit(f"{LETTERS}\0*"), c) - 1
+        return F.when(unknown != "", F.raise_error(F.concat(F.lit("no letter: "), F.left(unknown, F.lit(1)))).cast("array<int>")).otherwise(F.transform(_letters(s), one))
+
+    # An array of one: the text is made once.
+    return F.element_at(F.transform(F.array(_col(seq)), ids), 1)
 
 
 def encode(seq: Column | str) -> Column:
@@ -49,44 +70,49 @@ def pool_form(ids: Column | str, max_len: int, split_token: Column | None = None
 
     A ``split_token`` goes to the second place, in the room of max_len.
     """
-    ids = _col(ids)
-    if split_token is not None:
-        ids = F.concat(F.slice(ids, 1, 1), F.array(split_token), F.slice(ids, F.lit(2), F.greatest(F.size(ids), F.lit(1))))
-    filled = F.slice(F.concat(F.slice(ids, 1, max_len), F.array_repeat(F.lit(0), max_len)), 1, max_len)
+
+    def fill(ids: Column) -> Column:
+        if split_token is None:
+            held = F.slice(ids, 1, max_len)
+        else:
+            held = F.concat(F.slice(ids, 1, 1), F.array(split_token), F.slice(ids, 2, max_len))
+        return F.slice(F.concat(held, F.array_repeat(F.lit(0), max_len)), 1, max_len)
 
     def masked(held: Column) -> Column:
         end = F.array_position(held, F.lit(SEP)).cast("int")
         mask = F.concat(F.array_repeat(F.lit(1), end), F.array_repeat(F.lit(0), F.lit(max_len) - end))
         return F.when(end > 0, F.struct(held.alias("input_ids"), mask.alias("attention_mask")))
 
-    # An array of one: the ids are made once.
-    return F.element_at(F.transform(F.array(filled), masked), 1)
+    # Arrays of one: the ids are made once.
+    return F.element_at(F.transform(F.transform(F.array(_col(ids)), fill), masked), 1)
 
 
 def chunk_sequence(df: DataFrame, max_len: int, seq: str = "seq") -> DataFrame:
     """One row per piece of max_len letters (column piece, numbered by fragment), without one trailing ``*``."""
-    bare = F.regexp_replace(F.col(seq), r"\*$", "")
-    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.length(bare) / max_len).cast("int") - 1), lambda i: F.substring(bare, i * max_len + 1, F.lit(max_len)))
-    pieces = F.when(F.length(bare) > 0, pieces)
-    return df.select("*", F.posexplode(pieces).alias("fragment", "piece"))
+    bare = F.when(F.col(seq).endswith("*"), F.left(F.col(seq), F.length(seq) - 1)).otherwise(F.col(seq))
+    # One pass over the text: a piece cut out by its place is looked for from the begin of the text.
+    pieces = F.regexp_extract_all(bare, F.lit(f"(?s).{{1,{max_len}}}"), F.lit(0))
+    return df.select("*", F.posexplode_outer(pieces).alias("fragment", "piece")).where("piece is not null")
 
 
 def anchor_length(seq: Column | str, suffix: bool = False, longest: int = 21) -> Column:
     """Length of the shortest prefix (suffix) that occurs nowhere else in the sequence; null if none up to ``longest``."""
     s = _col(seq)
-    text = F.reverse(s) if suffix else s
 
-    def unique(n: Column) -> Column:
-        return (n <= F.length(text)) & (F.position(F.substring(text, F.lit(1), n), F.substring(text, F.lit(2), F.length(text))) == 0)
+    def shortest(text: Column) -> Column:
+        unique = lambda n: (n <= F.length(text)) & (F.position(F.substring(text, F.lit(1), n), text, F.lit(2)) == 0)
+        # No text is looked through again once a length is found.
+        return F.aggregate(F.sequence(F.lit(1), F.lit(longest)), F.lit(0), lambda at, n: F.when((at == 0) & unique(n), n).otherwise(at), lambda at: F.when(at > 0, at))
 
-    return F.get(F.filter(F.sequence(F.lit(1), F.lit(longest)), unique), F.lit(0))
+    # An array of one: the text is made once.
+    return F.element_at(F.transform(F.array(F.reverse(s) if suffix else s), shortest), 1)
 
 
 def mask_at(seq: Column | str, start: Column, length: Column) -> Column:
     """struct<encoder,decoder> of token arrays: [CLS] left [MASK] right [SEP], and span [MASK]."""
-    letters = F.filter(F.split(_col(seq), ""), lambda c: c != "")
-    left, span = F.slice(letters, F.lit(1), start), F.slice(letters, start + 1, length)
-    right = F.slice(letters, start + length + 1, F.greatest(F.size(letters) - start - length, F.lit(0)))
+    s = _col(seq)
+    left, span = _letters(F.substring(s, F.lit(1), start)), _letters(F.substring(s, start + 1, length))
+    right = _letters(F.substring(s, start + length + 1, F.length(s)))
     one = lambda t: F.array(F.lit(t))
     return F.struct(F.concat(one("[CLS]"), left, one("[MASK]"), right, one("[SEP]")).alias("encoder"), F.concat(span, one("[MASK]")).alias("decoder"))
 
@@ -95,14 +121,14 @@ def masked_example(df: DataFrame, seed: int, shortest: int = 1, longest: int = 5
     """``df`` with mask_start, mask_length and example; rows for which no mask is possible are dropped."""
     s = F.col(seq)
     left, right = (F.lit(0), F.lit(0)) if include_ends else (anchor_length(s), anchor_length(s, suffix=True))
-    rows = df.withColumn("_left", left).withColumn("_right", right).where("_left is not null and _right is not null")
+    rows = made_once(df, F.struct(left.alias("l"), right.alias("r")), "_ends").withColumns({"_left": F.col("_ends.l"), "_right": F.col("_ends.r")}).where("_ends.l is not null and _ends.r is not null")
     most = F.least(F.floor(F.length(s) / 2), F.lit(longest), F.length(s) - least_unmasked, F.length(s) - F.col("_left") - F.col("_right")).cast("int")
     rows = rows.withColumn("_most", most).where(F.col("_most") >= shortest)
-    rows = rows.withColumn("mask_length", (F.lit(shortest) + F.pmod(rand_key(seed, s), (F.col("_most") - shortest + 1).cast("long"))).cast("int"))
+    rows = made_once(rows, (F.lit(shortest) + F.pmod(rand_key(seed, s), (F.col("_most") - shortest + 1).cast("long"))).cast("int"), "mask_length")
     room = F.length(s) - F.col("mask_length") - F.col("_right") - F.col("_left") + 1
     rows = rows.withColumn("_room", room).where("_room > 0")
     rows = rows.withColumn("mask_start", (F.col("_left") + F.pmod(rand_key(seed + 1, s), F.col("_room").cast("long"))).cast("int"))
-    return rows.withColumn("example", mask_at(s, F.col("mask_start"), F.col("mask_length"))).drop("_left", "_right", "_most", "_room")
+    return rows.withColumn("example", mask_at(s, F.col("mask_start"), F.col("mask_length"))).drop("_ends", "_left", "_right", "_most", "_room")
 
 
 def tiles(seq: Column | str, seed: int | str, shortest: int, longest: int) -> Column:
@@ -128,7 +154,13 @@ def tiles(seq: Column | str, seed: int | str, shortest: int, longest: int) -> Co
         # An array of one: a length is drawn once.
         return F.when(t["at"] < t["n"], F.element_at(F.transform(F.array(drawn), add), 1)).otherwise(t)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), 2 * F.length(s))), state, step, lambda t: t["out"])
+    def some(t: Column, j: Column) -> Column:
+        start = F.struct(t["n"].alias("n"), t["key"].alias("key"), t["at"].alias("at"), t["last"].alias("last"), F.array().cast(kind).alias("out"))
+        end = lambda u: F.struct(u["n"].alias("n"), u["key"].alias("key"), u["at"].alias("at"), u["last"].alias("last"), F.concat(t["out"], u["out"]).alias("out"))
+        return F.when(t["at"] < t["n"], F.aggregate(F.sequence(j * STEPS + 1, (j + 1) * STEPS), start, step, end)).otherwise(t)
+
+    # In groups of steps: those behind the last tile are passed over, and the tiles found are copied once a group.
+    return F.aggregate(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(2 * F.length(s) / STEPS).cast("int"))), state, some, lambda t: t["out"])
 
 
 def tile_masks(df: DataFrame, seed: int | str, shortest: int = 0, longest: int = 128, seq: str = "seq", spans: str | None = None, least_extra: int = 0) -> DataFrame:
@@ -138,7 +170,7 @@ def tile_masks(df: DataFrame, seed: int | str, shortest: int = 0, longest: int =
     more of all tiles at random, ``least_extra`` at least, each at most once. Draws depend on seed and sequence
     alone. A null or empty sequence has no tiles, null spans are none.
     """
-    rows = df.withColumn("_every", tiles(seq, seed, shortest, longest))
+    rows = made_once(df, tiles(seq, seed, shortest, longest), "_every")
     chosen = F.col("_every")
     if spans is not None:
         touched = lambda t: F.exists(spans, lambda c: (c["start"] < t["mask_start"] + t["mask_length"]) & (c["end"] > t["mask_start"]) & (c["end"] > c["start"]))
@@ -147,7 +179,7 @@ def tile_masks(df: DataFrame, seed: int | str, shortest: int = 0, longest: int =
         drawn = F.array_sort(F.transform("_every", lambda t, i: F.struct(rand_key(f"{seed}-extra", F.col("_key"), i).alias("k"), i.alias("i"), t.alias("t"))))
         extra = F.transform(F.slice(drawn, F.lit(1), F.greatest(F.lit(least_extra), F.size("_hit"))), lambda x: x["t"])
         chosen = F.concat("_hit", extra)
-    rows = rows.withColumn("_tile", F.explode(chosen)).select("*", "_tile.*")
+    rows = rows.withColumn("_tile", F.explode_outer(chosen)).where("_tile is not null").select("*", "_tile.*")
     return rows.drop("_every", "_hit", "_key", "_tile")
 
 
