@@ -26,7 +26,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at similarity 0.8 stays.
+    """One document of each group linked by five-word shingles at similarity 0.8 stays; SimHash fingerprints are among the candidates.
 
     It is that of the smallest id, of which repeats go too; in a group of only null ids that of the smallest
     hash. Null and empty texts are copies of each other. An empty table stays empty.
