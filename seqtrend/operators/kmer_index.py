@@ -17,6 +17,8 @@ from seqtrend.sources.scratch import stored
 
 #: Bits of the filter per known k-mer, and its most bits, as a power of two (2**30 bits are 128 MB).
 BITS_PER_KMER, LEAST_POWER, MOST_POWER = 16, 15, 30
+#: Words of 64 bits in a part of the filter (a part is what the bitmap functions call a bucket).
+WORDS = 512
 
 
 @dataclass(frozen=True)
@@ -47,15 +49,19 @@ def write_kmer_index(known: DataFrame, table: str, path: str, k: int = 11, bucke
     rows = spark.table(table)
     power = min(MOST_POWER, max(LEAST_POWER, math.ceil(math.log2(max(1, rows.count()) * BITS_PER_KMER))))
     bit = _bit("kmer", power)
-    bits = rows.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    at = F.bitmap_bit_position(bit)
+    words = rows.groupBy(F.bitmap_bucket_number(bit).alias("part"), F.floor(at / 64).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))).alias("w"))
+    # At most WORDS a part; as an array a look at one of them copies nothing.
+    held = words.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("_m"))
+    bits = held.select("part", F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0).cast("long"))).alias("bits"))
     bits.write.mode("overwrite").parquet(f"{path}/filter")
     return KmerIndex(table, f"{path}/filter", power, k)
 
 
 def _is_set(bits: Column, place: Column) -> Column:
-    """Whether the bit at ``place`` (from 0, lowest of a byte first) is set; null bits have none."""
-    byte = F.conv(F.hex(F.substring(bits, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.call_function("shiftright", byte, F.pmod(place, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    """Whether the bit at ``place`` (from 0, lowest of a word first) is set; null bits have none."""
+    word = F.get(bits, F.floor(place / 64).cast("int"))
+    return F.coalesce(F.call_function("shiftright", word, F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
 
 
 def indexed_novelty(samples: DataFrame, index: KmerIndex) -> DataFrame:
@@ -70,8 +76,10 @@ def indexed_novelty(samples: DataFrame, index: KmerIndex) -> DataFrame:
     bit = _bit("kmer", index.power)
     rows = kmers(distinct, index.k, "_id").select("_id", "kmer", F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("_at"))
     rows = rows.join(F.broadcast(spark.read.parquet(index.filter_path)), "part", "left").select("_id", "kmer", _is_set(F.col("bits"), F.col("_at")).alias("_set"))
-    new = rows.where(~F.col("_set")).groupBy("_id").agg(F.count("*").alias("n"))
-    asked = rows.where("_set").groupBy("_id", "kmer").agg(F.count("*").alias("n"))
+    # One look at every k-mer: those whose bit isn't set are counted together, under null.
+    counts = stored(rows.groupBy("_id", F.when(F.col("_set"), F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n")), "counts")
+    new = counts.where("kmer is null").select("_id", "n")
+    asked = counts.where("kmer is not null")
     left = asked.join(spark.table(index.table).hint("merge"), "kmer", "left_anti").groupBy("_id").agg(F.sum("n").alias("n"))
     fresh = new.union(left).groupBy("_id").agg(F.sum("n").alias("novelty"))
     return distinct.join(fresh, "_id", "left").select("seq", F.coalesce("novelty", F.lit(0)).alias("novelty"))
