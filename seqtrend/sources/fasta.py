@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqtrend.functions.tokens import made_once
 from seqtrend.operators.splits import enumerate_rows
 from seqtrend.sources.block_gzip import read_block_gzip
 
@@ -17,12 +18,13 @@ def read_fasta(spark: SparkSession, path: str, header_sep: str | None = None) ->
 
     Records without a sequence are left out. One .gz file is one task; a .bgz file, of gzip blocks, has one per split.
     """
-    lines = F.split(F.regexp_replace("value", r"^>", ""), r"\r?\n")
-    head = F.get(lines, F.lit(0))
-    head = F.trim(F.substring_index(head, header_sep, 1)) if header_sep else F.regexp_extract(head, r"^\S*", 0)
-    body = F.array_join(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.trim(x)), "")
     records = read_block_gzip(spark, path, "\n>") if path.endswith(".bgz") else spark.read.text(path, lineSep="\n>")
-    return records.select(head.alias("header"), body.alias("sequence")).where("sequence <> ''")
+    # A record is cut into its lines once, not again for its header, its sequence and the filter behind them.
+    cut = made_once(records, F.split(F.regexp_replace("value", r"^>", ""), r"\r?\n"), "_lines").select("_lines")
+    head = F.get("_lines", F.lit(0))
+    head = F.trim(F.substring_index(head, header_sep, 1)) if header_sep else F.regexp_extract(head, r"^\S*", 0)
+    body = F.array_join(F.transform(F.slice("_lines", F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(0))), lambda x: F.trim(x)), "")
+    return made_once(cut, body, "sequence").select(head.alias("header"), "sequence").where("sequence <> ''")
 
 
 def write_fasta(df: DataFrame, path: str, m: str = "m", seq: str = "seq", numbered: bool = True) -> None:

@@ -3,11 +3,14 @@
 import time
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from seqtrend.functions import tokens
+from seqtrend.functions import mutations, tokens
+from seqtrend.operators import audit
 from seqtrend.plans.files import job_make_corpus
 from seqtrend.plans.queries import QUERIES
+from seqtrend.sources import fasta
 
 
 def made(df, what):
@@ -44,3 +47,10 @@ def test_tiles_beyond_a_group_of_steps(spark):
     assert len(out) > 8 * tokens.STEPS
     assert all(a.mask_start + a.mask_length == b.mask_start and a.mask_length + b.mask_length > 0 for a, b in zip(out, out[1:]))
     assert out[0].mask_start == 0 and out[-1].mask_start < 1000 <= out[-1].mask_start + out[-1].mask_length
+
+
+def test_records_are_cut_once(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">one x\n AC \r\nGT\n>two\n\n>three\nA\n")
+    out = fasta.read_fasta(spark, str(tmp_path))
+    assert made(out, "split(") == 1 and made(out, "array_join(") == 1
+    assert sorted(map(tuple, out.collect())) == [("one", "ACGT"), ("three", "A")]
