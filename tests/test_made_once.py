@@ -54,3 +54,16 @@ def test_records_are_cut_once(spark, tmp_path):
     out = fasta.read_fasta(spark, str(tmp_path))
     assert made(out, "split(") == 1 and made(out, "array_join(") == 1
     assert sorted(map(tuple, out.collect())) == [("one", "ACGT"), ("three", "A")]
+
+
+def test_few_keys_are_dealt_to_several_tasks(spark):
+    """Adaptive plans join small parts of a shuffle to one task, which then made all alignments."""
+    rows = spark.range(64).select(F.concat(F.lit("A1"), F.col("id").cast("string")).alias("m"))
+    out = mutations._mapped(rows, ["m"], "at", "int", lambda m: TaskContext.get().partitionId())
+    assert out.distinct().count() == 64 and out.select("at").distinct().count() > 1
+
+
+def test_longest_key_is_found_among_the_distinct(spark, sf):
+    """Every row was cut into units: the distinct below a maximum is left out."""
+    plan = QUERIES["f12_f13_alignment_and_distance"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "l_suppkey" not in plan
