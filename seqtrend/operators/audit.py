@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqtrend.functions.mutations import apply_mutations, canonical_mutations, verify_sequence
+from seqtrend.functions.tokens import made_once
 
 
 def metadata_join(variants: DataFrame, meta: DataFrame) -> DataFrame:
@@ -46,7 +47,10 @@ def label_reconstruction(obs: DataFrame, fasta: DataFrame, reference: str, fake:
     if fake:
         return obs.withColumn("reconstructed", F.lit(True))
     imputed = apply_mutations(obs.select("m").distinct(), reference)
-    found = fasta.select(F.regexp_extract("header", ACCESSION, 1).alias("_acc"), F.col("sequence").alias("_seen")).where("_acc <> ''")
-    rows = obs.select("acc", "m").distinct().join(found, F.regexp_replace(F.col("acc"), "^EPI_ISL_", "") == F.col("_acc")).join(imputed, "m")
-    ok = rows.groupBy("acc", "m").agg(F.max(verify_sequence("_seen", "seq")).alias("_ok"))
-    return obs.join(ok, ["acc", "m"], "left").withColumn("reconstructed", F.coalesce("_ok", F.lit(False))).drop("_ok")
+    found = made_once(fasta, F.regexp_extract("header", ACCESSION, 1), "_acc").where("_acc <> ''")
+    # One row per accession: neither the observations nor the records are shuffled by anything else.
+    found = found.groupBy("_acc").agg(F.collect_set("sequence").alias("_seen"))  # its different records
+    rows = obs.withColumn("_own", F.when(F.startswith("acc", F.lit("EPI_ISL_")), F.substring("acc", 9, 1 << 30)).otherwise(F.col("acc")))
+    rows = rows.join(found, F.col("_own") == F.col("_acc"), "left").join(imputed.withColumnRenamed("seq", "_seq"), "m", "left")
+    ok = F.coalesce(F.exists("_seen", lambda s: verify_sequence(s, "_seq")), F.lit(False))
+    return rows.select(*obs.columns, ok.alias("reconstructed"))

@@ -67,3 +67,20 @@ def test_longest_key_is_found_among_the_distinct(spark, sf):
     """Every row was cut into units: the distinct below a maximum is left out."""
     plan = QUERIES["f12_f13_alignment_and_distance"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "lineitem" not in plan and "l_suppkey" not in plan
+
+
+def test_texts_without_ambiguity_are_not_compared_by_place(spark):
+    text = F.concat(F.repeat(F.lit("ACDEFGHIKL"), 1000), F.col("id").cast("string"))
+    rows = spark.range(20_000).coalesce(1).select(text.alias("a"), F.concat(F.repeat(F.lit("ACDEFGHIKL"), 1000), (F.col("id") + F.col("id") % 2).cast("string")).alias("b"))
+    begin = time.time()
+    out = rows.agg(F.count_if(mutations.verify_sequence("a", "b")).alias("v"), F.count_if(mutations.compatible("a", "b")).alias("c")).first()
+    assert tuple(out) == (10_000, 10_000) and time.time() - begin < 10
+
+
+def test_accession_in_either_spelling_and_several_records(spark):
+    obs = spark.createDataFrame([("EPI_ISL_1", "A1C", 1), ("1", "", 2), ("2", "A1C", 3), (None, "", 4), ("3", None, 5), ("3", "", 6)], "acc string, m string, k int")
+    records = spark.createDataFrame([("x|EPI_ISL_1|", "AC*"), ("x|EPI_ISL_1|y", "XC*"), ("x|EPI_ISL_2", "AC*"), ("none", "AC*"), ("x|EPI_ISL_3", None)], "header string, sequence string")
+    out = audit.label_reconstruction(obs, records, "AC*")
+    assert out.columns == ["acc", "m", "k", "reconstructed"]
+    assert {r.k: r.reconstructed for r in out.collect()} == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False}
+    assert made(out, "regexp_extract(") == 1
