@@ -7,10 +7,11 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from seqtrend.functions import mutations, tokens
-from seqtrend.operators import audit
+from seqtrend.operators import audit, pairs
 from seqtrend.plans.files import job_make_corpus
 from seqtrend.plans.queries import QUERIES
 from seqtrend.sources import fasta
+from seqtrend.sources.scratch import stored
 
 
 def made(df, what):
@@ -84,3 +85,17 @@ def test_accession_in_either_spelling_and_several_records(spark):
     assert out.columns == ["acc", "m", "k", "reconstructed"]
     assert {r.k: r.reconstructed for r in out.collect()} == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False}
     assert made(out, "regexp_extract(") == 1
+
+
+def _all_in_one_week(spark, n):
+    counts = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda w: (F.lit(10.0) + F.col("id")) * (w + 1))
+    rows = spark.range(n).select(F.concat(F.lit("A"), F.col("id").cast("string"), F.lit("C")).alias("m"), F.lit(0).alias("week"), counts.alias("counts"))
+    return stored(rows.withColumn("total", F.element_at("counts", -1)), "series")
+
+
+def test_pairs_of_one_week_are_made_by_several_tasks(spark):
+    """A week's few thousand rows are some bytes and millions of pairs."""
+    series = _all_in_one_week(spark, 2_500)
+    made = pairs.week_band_pairs(series, 20, with_weekly=True).select("seq0", "weekly_counts1", F.spark_partition_id().alias("p"))
+    tasks = {r.p: r.n for r in made.groupBy("p").agg(F.count("*").alias("n")).collect()}
+    assert sum(tasks.values()) == 2_500 * 2_499 // 2 and len(tasks) > 1
