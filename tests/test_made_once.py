@@ -99,3 +99,16 @@ def test_pairs_of_one_week_are_made_by_several_tasks(spark):
     made = pairs.week_band_pairs(series, 20, with_weekly=True).select("seq0", "weekly_counts1", F.spark_partition_id().alias("p"))
     tasks = {r.p: r.n for r in made.groupBy("p").agg(F.count("*").alias("n")).collect()}
     assert sum(tasks.values()) == 2_500 * 2_499 // 2 and len(tasks) > 1
+
+
+def test_pairs_carry_no_series_through_a_shuffle(spark, monkeypatch):
+    series = _all_in_one_week(spark, 30)
+    few = pairs.week_band_pairs(series, 20, with_weekly=True)
+    checked = pairs.validate_pairs(few.select("seq0", "count0", "seq1", "count1", "period"), series, series, max_p_diff=1.0)
+    assert few._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") >= 2
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") >= 4
+    monkeypatch.setattr(pairs, "SERIES_COUNTS", 0)
+    many = pairs.week_band_pairs(series, 20, with_weekly=True)
+    again = pairs.validate_pairs(many.select("seq0", "count0", "seq1", "count1", "period"), series, series, max_p_diff=1.0)
+    for x, y in ((few, many), (checked, again)):
+        assert sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect())) and x.count() == 30 * 29 // 2
