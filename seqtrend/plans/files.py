@@ -81,6 +81,14 @@ def s3_cluster_headers(spark, sf_dir):
     return fasta.read_cluster_headers(spark, out)
 
 
+#: Members of one XML file, some 40 MB.
+XML_MEMBERS = 250_000
+
+
+def xml_files(members: int) -> int:
+    return max(16, -(-members // XML_MEMBERS))
+
+
 @query("SELECT DISTINCT s_name AS cluster, concat('P', CAST(l_partkey AS VARCHAR)) AS member FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
 def s4_cluster_xml(spark, sf_dir):
     out = scratch_path(spark, "xml")
@@ -89,8 +97,10 @@ def s4_cluster_xml(spark, sf_dir):
     entries = rows.groupBy("s_name").agg(F.sort_array(F.collect_set("p")).alias("ps"))
     members = F.array_join(F.transform(F.slice("ps", F.lit(2), F.greatest(F.size("ps") - 1, F.lit(0))), lambda p: F.concat(F.lit("<member>"), one(p), F.lit("</member>"))), "")
     text = F.concat(F.lit('<entry id="'), "s_name", F.lit('"><representativeMember>'), one(F.get("ps", F.lit(0))), F.lit("</representativeMember>"), members, F.lit("</entry>"))
-    entries = entries.select(F.pmod(F.xxhash64("s_name"), F.lit(16)).alias("bucket"), F.lit(1).alias("at"), text.alias("value"))
-    ends = spark.range(16).select(F.col("id").alias("bucket"), F.explode(F.array(F.struct(F.lit(0).alias("at"), F.lit("<root>").alias("value")), F.struct(F.lit(2).alias("at"), F.lit("</root>").alias("value")))).alias("e")).select("bucket", "e.*")
+    # A file is read by one task: their number grows with the table.
+    n = xml_files(table(spark, sf_dir, "lineitem").count())
+    entries = entries.select(F.pmod(F.xxhash64("s_name"), F.lit(n)).alias("bucket"), F.lit(1).alias("at"), text.alias("value"))
+    ends = spark.range(n).select(F.col("id").alias("bucket"), F.explode(F.array(F.struct(F.lit(0).alias("at"), F.lit("<root>").alias("value")), F.struct(F.lit(2).alias("at"), F.lit("</root>").alias("value")))).alias("e")).select("bucket", "e.*")
     entries.unionByName(ends).repartition("bucket").sortWithinPartitions("bucket", "at").select("bucket", "value").write.partitionBy("bucket").text(out)
     return cluster_files.read_cluster_xml(spark, out).select("cluster", F.explode("members100").alias("member"))
 
