@@ -30,23 +30,25 @@ def _letters(seq: Column) -> Column:
     return F.when(seq == "", F.array().cast("array<string>")).otherwise(F.split(seq, ""))
 
 
-def letter_ids(seq: Column | str) -> Column:
-    """Ids of the letters; ``*`` is SEP, an unknown letter an error."""
+def letter_ids(seq: Column | str, start: Column | None = None, length: int | None = None) -> Column:
+    """Ids of the letters; ``*`` is SEP, an unknown letter an error. With ``length`` only of that many behind ``start``,
+    though all are looked at for unknown ones."""
 
     def ids(s: Column) -> Column:
         # What is unknown is looked for in the text, not letter by letter; SEP is one behind CLS.
-        unknown = F.translate(s, LETTERS + "*", "")
+        unknown = F.raise_error(F.concat(F.lit("no letter: "), F.left(F.translate(s, LETTERS + "*", ""), F.lit(1)))).cast("array<int>")
         one = lambda c: F.instr(F.lit(f"{LETTERS}\0*"), c) - 1
-        return F.when(unknown != "", F.raise_error(F.concat(F.lit("no letter: "), F.left(unknown, F.lit(1)))).cast("array<int>")).otherwise(F.transform(_letters(s), one))
+        held = s if length is None else F.substring(s, F.lit(1) if start is None else start + 1, F.lit(length))
+        return F.when(s.rlike(f"[^{LETTERS}*]"), unknown).otherwise(F.transform(_letters(held), one))
 
     # An array of one: the text is made once.
     return F.element_at(F.transform(F.array(_col(seq)), ids), 1)
 
 
-def encode(seq: Column | str) -> Column:
-    """[CLS] and the letters' ids; a sequence that does not end in ``*`` is an error."""
+def encode(seq: Column | str, longest: int | None = None) -> Column:
+    """[CLS] and the letters' ids, ``longest`` in all at most; a sequence that does not end in ``*`` is an error."""
     ends = F.when(_col(seq).endswith("*"), F.array(F.lit(CLS))).otherwise(F.raise_error(F.lit("no end mark")).cast("array<int>"))
-    return F.concat(ends, letter_ids(seq))
+    return F.concat(ends, letter_ids(seq, length=None if longest is None else longest - 1))
 
 
 def pad_or_crop(seq: Column | str, max_len: int, key: Column, ignore_too_long: bool = False) -> Column:
@@ -55,10 +57,9 @@ def pad_or_crop(seq: Column | str, max_len: int, key: Column, ignore_too_long: b
     A longer sequence is cropped at a place drawn by ``key`` (or null with ``ignore_too_long``); labels are
     -100 where the mask is 0.
     """
-    ids = letter_ids(seq)
     size, room = F.length(_col(seq)), max_len - 1
     start = F.when(size > room, F.pmod(key, (size - room + 1).cast("long")).cast("int")).otherwise(0)
-    held = F.concat(F.array(F.lit(CLS)), F.slice(ids, start + 1, F.lit(room)))
+    held = F.concat(F.array(F.lit(CLS)), letter_ids(seq, start, room))
     blank = lambda v, n: F.array_repeat(F.lit(v), F.greatest(n, F.lit(0)))
     rest = F.lit(max_len) - F.size(held)
     out = F.struct(F.concat(held, blank(0, rest)).alias("input_ids"), F.concat(blank(1, F.size(held)), blank(0, rest)).alias("attention_mask"), F.concat(held, blank(-100, rest)).alias("labels"))

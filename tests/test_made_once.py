@@ -112,3 +112,15 @@ def test_pairs_carry_no_series_through_a_shuffle(spark, monkeypatch):
     again = pairs.validate_pairs(many.select("seq0", "count0", "seq1", "count1", "period"), series, series, max_p_diff=1.0)
     for x, y in ((few, many), (checked, again)):
         assert sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect())) and x.count() == 30 * 29 // 2
+
+
+def test_only_the_ids_that_are_held_are_made(spark, sf):
+    """Texts are looked through as a whole, but not encoded beyond what a model's input holds."""
+    rows = spark.createDataFrame([("ACDA*",), ("A*",)], "s string")
+    assert [r.x for r in rows.select(tokens.encode("s", 4).alias("x")).collect()] == [[26, 0, 1, 2], [26, 0, 27]]
+    with pytest.raises(Exception, match="no letter: 1"):
+        spark.createDataFrame([("ACDAAA1A*",)], "s string").select(tokens.encode("s", 3)).collect()
+    long = spark.range(1).select(F.concat(F.repeat(F.lit("ACDEFGHIKL"), 200), F.lit("*")).alias("s"))
+    held = long.select(tokens.pad_or_crop("s", 11, F.lit(13)).alias("x")).first().x.input_ids
+    assert held == [26, *range(3, 10), 0, 1, 2]
+    assert made(QUERIES["f15_pool_form"](spark, sf), ", 1, 511)") >= 1
