@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from array import array
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +15,7 @@ from seqtrend.functions.rand import rand_key
 # The letters in the order of their ids, and the special tokens that follow them.
 LETTERS = "ACDEFGHIKLMNPQRSTVWYBXJZUO"
 CLS, SEP, MASK = 26, 27, 28
-#: Tiles that are drawn before the sequence is asked for its end again.
+#: Tiles of a sequence that a test has many times over.
 STEPS = 64
 
 
@@ -132,36 +137,37 @@ def masked_example(df: DataFrame, seed: int, shortest: int = 1, longest: int = 5
     return rows.withColumn("example", mask_at(s, F.col("mask_start"), F.col("mask_length"))).drop("_ends", "_left", "_right", "_most", "_room")
 
 
+TILES = "array<struct<mask_start:int,mask_length:int>>"
+
+
 def tiles(seq: Column | str, seed: int | str, shortest: int, longest: int) -> Column:
     """array<struct<mask_start,mask_length>>: consecutive masks of random length over the sequence, the last may
     reach beyond it; never two of length 0 in a row.
 
-    A fold over draws that are keyed by seed, sequence and number. A sequence of n letters has at most 2n tiles.
+    Draws are keyed by seed, sequence and number, as ``rand_key`` makes them. A fold in Spark copies all tiles found
+    so far with every step, so a long sequence takes time with the square; only its length and key go to this function.
     """
     if longest < max(shortest, 1):
         raise ValueError("the longest mask is too short")
-    s = _col(seq)
-    kind = "array<struct<mask_start:int,mask_length:int>>"
-    state = F.struct(F.length(s).alias("n"), rand_key(seed, s).alias("key"), F.lit(0).alias("at"), F.lit(-1).alias("last"), F.array().cast(kind).alias("out"))
 
-    def step(t: Column, i: Column) -> Column:
-        low = F.when(t["last"] == 0, max(shortest, 1)).otherwise(shortest)
-        drawn = (low + F.pmod(rand_key(seed, t["key"], i), (longest - low + 1).cast("long"))).cast("int")
+    @F.arrow_udf(TILES)
+    def drawn(n: pa.Array, key: pa.Array) -> pa.Array:
+        starts, lengths, ends = array("i"), array("i"), [0]
+        for size, k in zip(n.to_pylist(), key.to_pylist()):
+            at, last, i = 0, -1, 0
+            while size is not None and at < size:
+                i += 1
+                low = max(shortest, 1) if last == 0 else shortest
+                last = low + int(sha256(f"{seed}|{k}|{i}".encode()).hexdigest()[:15], 16) % (longest - low + 1)
+                starts.append(at)
+                lengths.append(last)
+                at += last
+            ends.append(len(starts))
+        found = pa.StructArray.from_arrays([pa.array(np.array(x, "int32")) for x in (starts, lengths)], ["mask_start", "mask_length"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
 
-        def add(k: Column) -> Column:
-            out = F.concat(t["out"], F.array(F.struct(t["at"].alias("mask_start"), k.alias("mask_length"))))
-            return F.struct(t["n"].alias("n"), t["key"].alias("key"), (t["at"] + k).alias("at"), k.alias("last"), out.alias("out"))
-
-        # An array of one: a length is drawn once.
-        return F.when(t["at"] < t["n"], F.element_at(F.transform(F.array(drawn), add), 1)).otherwise(t)
-
-    def some(t: Column, j: Column) -> Column:
-        start = F.struct(t["n"].alias("n"), t["key"].alias("key"), t["at"].alias("at"), t["last"].alias("last"), F.array().cast(kind).alias("out"))
-        end = lambda u: F.struct(u["n"].alias("n"), u["key"].alias("key"), u["at"].alias("at"), u["last"].alias("last"), F.concat(t["out"], u["out"]).alias("out"))
-        return F.when(t["at"] < t["n"], F.aggregate(F.sequence(j * STEPS + 1, (j + 1) * STEPS), start, step, end)).otherwise(t)
-
-    # In groups of steps: those behind the last tile are passed over, and the tiles found are copied once a group.
-    return F.aggregate(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(2 * F.length(s) / STEPS).cast("int"))), state, some, lambda t: t["out"])
+    s = _col(seq)
+    return drawn(F.length(s), rand_key(seed, s))
 
 
 def tile_masks(df: DataFrame, seed: int | str, shortest: int = 0, longest: int = 128, seq: str = "seq", spans: str | None = None, least_extra: int = 0) -> DataFrame:

@@ -124,3 +124,10 @@ def test_only_the_ids_that_are_held_are_made(spark, sf):
     held = long.select(tokens.pad_or_crop("s", 11, F.lit(13)).alias("x")).first().x.input_ids
     assert held == [26, *range(3, 10), 0, 1, 2]
     assert made(QUERIES["f15_pool_form"](spark, sf), ", 1, 511)") >= 1
+
+
+def test_tiles_take_time_in_proportion(spark):
+    rows = spark.range(1).select(F.repeat(F.lit("ACDEFGHIKL"), 200_000).alias("seq"))
+    begin = time.time()
+    last = rows.select(F.element_at(tokens.tiles("seq", 3, 0, 128), -1).alias("t")).first().t
+    assert last.mask_start < 2_000_000 <= last.mask_start + last.mask_length and time.time() - begin < 20
