@@ -123,8 +123,8 @@ def mask_at(seq: Column | str, start: Column, length: Column) -> Column:
     return F.struct(F.concat(one("[CLS]"), left, one("[MASK]"), right, one("[SEP]")).alias("encoder"), F.concat(span, one("[MASK]")).alias("decoder"))
 
 
-def masked_example(df: DataFrame, seed: int, shortest: int = 1, longest: int = 50, least_unmasked: int = 2, include_ends: bool = False, seq: str = "seq") -> DataFrame:
-    """``df`` with mask_start, mask_length and example; rows for which no mask is possible are dropped."""
+def masked_places(df: DataFrame, seed: int, shortest: int = 1, longest: int = 50, least_unmasked: int = 2, include_ends: bool = False, seq: str = "seq") -> DataFrame:
+    """``df`` with mask_start and mask_length; rows for which no mask is possible are dropped."""
     s = F.col(seq)
     left, right = (F.lit(0), F.lit(0)) if include_ends else (anchor_length(s), anchor_length(s, suffix=True))
     rows = made_once(df, F.struct(left.alias("l"), right.alias("r")), "_ends").withColumns({"_left": F.col("_ends.l"), "_right": F.col("_ends.r")}).where("_ends.l is not null and _ends.r is not null")
@@ -134,7 +134,12 @@ def masked_example(df: DataFrame, seed: int, shortest: int = 1, longest: int = 5
     room = F.length(s) - F.col("mask_length") - F.col("_right") - F.col("_left") + 1
     rows = rows.withColumn("_room", room).where("_room > 0")
     rows = rows.withColumn("mask_start", (F.col("_left") + F.pmod(rand_key(seed + 1, s), F.col("_room").cast("long"))).cast("int"))
-    return rows.withColumn("example", mask_at(s, F.col("mask_start"), F.col("mask_length"))).drop("_ends", "_left", "_right", "_most", "_room")
+    return rows.drop("_ends", "_left", "_right", "_most", "_room")
+
+
+def masked_example(df: DataFrame, seed: int, seq: str = "seq", **places) -> DataFrame:
+    """``df`` with mask_start, mask_length and example, as ``masked_places`` finds them."""
+    return masked_places(df, seed, seq=seq, **places).withColumn("example", mask_at(seq, F.col("mask_start"), F.col("mask_length")))
 
 
 TILES = "array<struct<mask_start:int,mask_length:int>>"

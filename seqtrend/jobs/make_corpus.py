@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqtrend.functions.tokens import chunk_sequence, letter_ids, masked_example
+from seqtrend.functions.tokens import chunk_sequence, letter_ids, mask_at, masked_places
 from seqtrend.jobs.common import arguments, session
 from seqtrend.operators.splits import hash_cluster_split
 from seqtrend.sources.clusters import cluster_members, read_cluster_xml
@@ -20,8 +20,10 @@ def run(records: DataFrame, clusters: DataFrame, weights: list[float], length: i
     """(id, fragment, data_type, ids, mask_start, mask_length, encoder, decoder) of records (id, seq) that a cluster has."""
     placed = hash_cluster_split(records.select("id"), clusters, weights, ["train", "val", "test"]).select("id", F.col("split").alias("data_type"))
     pieces = chunk_sequence(records.join(placed, "id"), length).select("id", "fragment", "data_type", "piece")
-    made = masked_example(pieces, seed, seq="piece")
-    return made.select("id", "fragment", "data_type", letter_ids("piece").alias("ids"), "mask_start", "mask_length", "example.encoder", "example.decoder")
+    # In the order in which files by split are written, while the rows are narrow: examples are many times as wide.
+    made = masked_places(pieces, seed, seq="piece").sortWithinPartitions("data_type")
+    example = mask_at("piece", F.col("mask_start"), F.col("mask_length"))
+    return made.select("id", "fragment", "data_type", letter_ids("piece").alias("ids"), "mask_start", "mask_length", example["encoder"].alias("encoder"), example["decoder"].alias("decoder"))
 
 
 def main() -> None:

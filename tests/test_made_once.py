@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from seqtrend.functions import mutations, tokens
 from seqtrend.operators import audit, pairs
+from seqtrend.plans import files
 from seqtrend.plans.files import job_make_corpus
 from seqtrend.plans.queries import QUERIES
 from seqtrend.sources import fasta
@@ -131,3 +132,11 @@ def test_tiles_take_time_in_proportion(spark):
     begin = time.time()
     last = rows.select(F.element_at(tokens.tiles("seq", 3, 0, 128), -1).alias("t")).first().t
     assert last.mask_start < 2_000_000 <= last.mask_start + last.mask_length and time.time() - begin < 20
+
+
+def test_examples_are_in_the_order_of_their_files(spark, sf):
+    """A write by split sorted the examples, many times as wide as the pieces that they are made of."""
+    plan = job_make_corpus(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [data_type" in plan
+    written = files._corpus(spark, sf)._jdf.queryExecution().optimizedPlan()
+    assert "data_type" in written.outputOrdering().toString()
