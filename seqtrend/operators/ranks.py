@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from seqtrend.functions.rand import rand_key
 
 
-def global_rank(df: DataFrame, group: list[Column], order: list[Column], name: str = "rn", within: tuple[str, ...] = ()) -> DataFrame:
+def global_rank(df: DataFrame, group: list[Column], order: list[Column], name: str = "rn", within: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """``df`` with its row number, from 1, by (group, order), of all rows or of those with equal ``within``.
 
     Rows are numbered inside each value of the group; the groups' offsets are running sums over one row per
-    group. So no task needs all rows: the group has to be fine enough, which ``spread`` sees to.
+    group. So no task needs all rows: the group has to be fine enough, which ``spread`` sees to. With ``most`` only
+    the rows up to that number: other groups' rows are left where they are, neither shuffled nor sorted. Groups and
+    values of ``within`` have to be few then, as the groups that are kept are broadcast.
     """
     marks = [f"_g{i}" for i in range(len(group))]
     keyed = df.withColumns(dict(zip(marks, group)))
@@ -20,8 +22,11 @@ def global_rank(df: DataFrame, group: list[Column], order: list[Column], name: s
     along = (Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))).orderBy(*marks)
     before = F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(*within, *marks, before.alias("_before"))
-    ranked = keyed.withColumn("_in_group", F.row_number().over(Window.partitionBy(*within, *marks).orderBy(*order)))
-    return ranked.join(offsets, [*within, *marks]).select(*df.columns, (F.col("_in_group") + F.col("_before")).alias(name))
+    place = F.row_number().over(Window.partitionBy(*within, *marks).orderBy(*order))
+    if most is not None:
+        some = keyed.join(F.broadcast(offsets.where(F.col("_before") < most)), [*within, *marks])
+        return some.select(*df.columns, (place + F.col("_before")).alias(name)).where(F.col(name) <= most)
+    return keyed.withColumn("_in_group", place).join(offsets, [*within, *marks]).select(*df.columns, (F.col("_in_group") + F.col("_before")).alias(name))
 
 
 def spread(key: Column, bits: int = 8) -> Column:
@@ -45,10 +50,10 @@ def prefix_sums(df: DataFrame, within: str, segment: Column, order: list[Column]
     return rows.join(offsets, [within, "_segment"]).select(*df.columns, *out)
 
 
-def random_rank(df: DataFrame, seed: int | str, keys: list[str], name: str = "rn", within: tuple[str, ...] = ()) -> DataFrame:
+def random_rank(df: DataFrame, seed: int | str, keys: list[str], name: str = "rn", within: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """Row number in a random order, of all rows or of those with equal ``within``; equal rows are ranked as they come."""
     key = rand_key(seed, *keys)
-    return global_rank(df, [spread(key, 12)], [key, *map(F.col, keys)], name, within)
+    return global_rank(df, [spread(key, 12)], [key, *map(F.col, keys)], name, within, most)
 
 
 def balanced_cuts(scores: DataFrame, column: str, parts: int = 128) -> list[float]:

@@ -131,8 +131,9 @@ def filter_pairs(pairs: DataFrame, min_max: float | None = None, min_min: float
 
 
 def cap_rows(df: DataFrame, n: int, seed: int, by: str, keys: list[str]) -> DataFrame:
-    """At most n random rows per value of ``by``: ranked in parts of the random key, so also where one value has most rows."""
-    return random_rank(df, seed, keys, "_rn", (by,)).where(F.col("_rn") <= n).select(*df.columns)
+    """At most n random rows per value of ``by``, which are few: ranked in parts of the random key, so also where one value
+    has most rows, and only in the parts that the first n are in."""
+    return random_rank(df, seed, keys, "_rn", (by,), n).select(*df.columns)
 
 
 def write_pairs(pairs: DataFrame, path: str, max_rows: int | None = None, seed: int = 0) -> None:

@@ -7,11 +7,11 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from seqtrend.functions import mutations, tokens
-from seqtrend.operators import audit, pairs
+from seqtrend.operators import audit, pairs, ranks
 from seqtrend.plans import files
 from seqtrend.plans.files import job_make_corpus
 from seqtrend.plans.queries import QUERIES
-from seqtrend.sources import fasta
+from seqtrend.sources import fasta, tables
 from seqtrend.sources.scratch import stored
 
 
@@ -140,3 +140,15 @@ def test_examples_are_in_the_order_of_their_files(spark, sf):
     assert "Sort [data_type" in plan
     written = files._corpus(spark, sf)._jdf.queryExecution().optimizedPlan()
     assert "data_type" in written.outputOrdering().toString()
+
+
+def test_parts_beyond_the_first_rows_are_not_shuffled(spark):
+    """All pairs of a split were shuffled and sorted for some hundred random ones."""
+    rows = spark.range(200_000).select(F.concat(F.lit("a"), "id").alias("k"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("by"))
+    kept = tables.cap_rows(rows, 50, 7, "by", ["k"])
+    plain = ranks.random_rank(rows, 7, ["k"], "_rn", ("by",)).where("_rn <= 50").select("k", "by")
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, plain.collect())) and kept.count() == 100
+    assert "strategy=broadcast" in kept._jdf.queryExecution().optimizedPlan().toString()
+    few = ranks.random_rank(rows, 7, ["k"], "rn", most=7)
+    assert sorted(r.rn for r in few.collect()) == list(range(1, 8))
+    assert tables.cap_rows(rows.limit(5), 50, 7, "by", ["k"]).count() == 5
