@@ -76,7 +76,7 @@ def run(
     """
     if last_week is None:
         last_week = last_week_of(obs, until, period)
-    rows = stored(series.with_week(obs.select("acc", "location", "lineage", "d", "m"), period), "weeks")
+    rows = stored(series.with_week(obs.select("location", "d", "m"), period), "weeks")
     both, *sides = region_series(rows, primary, control, last_week, how, discovery)
     split = ranks.apply_precomputed_split(both, *given) if given else ranks.split_by_rank_blocks(both, *blocks, seed)
     split = stored(split, "split")
@@ -90,8 +90,9 @@ def run(
         made = pairs.frequent_rare_pairs(lists, made, *blocks, most=frequent.most_rare, seed=seed)
     made = stored(made, "pairs")
     if n_mutations:
+        known = stored(rows.select("m").distinct(), "known")
         for s, times in zip(SPLITS, (trials[0], trials[1], trials[1])):
-            fake = pairs.synthetic_negatives(made.where(F.col("split") == s), rows, n_mutations, times, seed)
+            fake = pairs.synthetic_negatives(made.where(F.col("split") == s), known, n_mutations, times, seed)
             parts.append(fake.withColumn("split", F.lit(s)))
         made = made.unionByName(parts[3]).unionByName(parts[4]).unionByName(parts[5])
     return made

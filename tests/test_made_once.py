@@ -152,3 +152,19 @@ def test_parts_beyond_the_first_rows_are_not_shuffled(spark):
     few = ranks.random_rank(rows, 7, ["k"], "rn", most=7)
     assert sorted(r.rn for r in few.collect()) == list(range(1, 8))
     assert tables.cap_rows(rows.limit(5), 50, 7, "by", ["k"]).count() == 5
+
+
+def test_tables_are_tested_by_several_tasks(spark, monkeypatch):
+    series = _all_in_one_week(spark, 40)
+    made = pairs.week_band_pairs(series, 20)
+    checked = pairs.validate_pairs(made, series, series, p_value=0.5)
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [xxhash64(_a0" in plan
+
+
+def test_known_mutations_are_cut_once_a_variant(spark):
+    known = spark.range(51).select(F.when(F.col("id") < 50, "A1C,D3E").otherwise("F5G").alias("m"))
+    seqs = spark.createDataFrame([("A1C", "F5G")], "seq0 string, seq1 string")
+    out = pairs.synthetic_negatives(seqs, known, 1, 20, 3)
+    assert {r.seq1 for r in out.collect()} <= {"A1C,F5G", "D3E,F5G"}
+    assert made(out, "Range (") == 0
