@@ -5,13 +5,14 @@ spark-submit seqtrend/jobs/evaluate.py SAMPLES OBSERVATIONS REFERENCE OUT --cuto
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqtrend.functions.mutations import apply_mutations
 from seqtrend.jobs.common import arguments, session
 from seqtrend.operators import evaluate, matching
 from seqtrend.operators.broadcasts import if_small
+from seqtrend.operators.ranks import above_cuts, balanced_cuts, global_rank
 from seqtrend.sources.scratch import scratch_tables, stored
 from seqtrend.sources.tables import load_normalised, read_samples
 
@@ -33,10 +34,20 @@ def run(samples: DataFrame, obs: DataFrame, cutoff: str, n_weeks: int = 75, n_pe
     tool and setting, lists place by place as far as the shortest run goes. ``tools`` has (run, tool, setting);
     without it a run's tool is the first part of its name, up to ``-``, and the setting is empty.
     """
-    classified = evaluate.classify_samples(samples, obs, cutoff)
-    order = Window.partitionBy("run").orderBy(F.desc("score"), "seq")
-    ranked = stored(classified.withColumn("rank", F.row_number().over(order)), "classified")
-    valid = stored(matching.uniquify(ranked.where("not invalid_seq")), "unique")
+    rows, given, every = evaluate.classified(samples, obs, cutoff)
+    # Digests stand for the sequences; a text is looked up only where it orders samples of one run and score.
+    flags = stored(rows.drop("seq"), "flags")
+    ties = flags.groupBy("run", "score").agg(F.count("*").alias("_n")).where("_n > 1")
+    tied = given.join(ties.select(F.col("run").alias("_run"), F.col("score").alias("_score")), F.col("run").eqNullSafe(F.col("_run")) & F.col("score").eqNullSafe(F.col("_score")), "left_semi")
+    tied = tied.select("_id", F.col("seq").alias("_tie")).distinct()
+    parts = [-above_cuts("score", balanced_cuts(flags, "score"))]
+    ranked = global_rank(flags.join(tied, "_id", "left"), parts, [F.desc("score"), F.col("_tie")], "rank", ("run",))
+    ranked = stored(ranked.drop("_tie").withColumn("rank", F.col("rank").cast("int")), "ranked")
+    texts = given.select(F.col("_id").alias("_of"), "seq").distinct()
+    classified = ranked.join(texts, F.col("_id").eqNullSafe(F.col("_of"))).select("run", "seq", *[c for c in ranked.columns if c not in ("run", "_id")])
+    kept = matching.first_of_alike(ranked.where("not invalid_seq"), every)
+    # Their ranks are as unique in a run as the sequences, and in the same order where scores are equal.
+    valid = stored(ranked.join(kept, ["run", "_id", "rank"], "left_semi").drop("_id").withColumn("seq", F.col("rank")), "unique")
     stats = stored(evaluate.run_stats(valid), "stats")
     curves = [evaluate.with_place(evaluate.precision_curve(valid, kind)).select(F.lit(kind).alias("kind"), "*").drop("rank") for kind in ("NOVEL", "ALL")]
     curves = stored(curves[0].union(curves[1]), "curves")
@@ -48,7 +59,7 @@ def run(samples: DataFrame, obs: DataFrame, cutoff: str, n_weeks: int = 75, n_pe
     tools = if_small(stored(tools.select("run", *BY), "tools"))
     named = lambda t: t.join(tools, "run")
     return {
-        "classified": ranked, "stats": stats, "curves": curves, "periods": periods,
+        "classified": classified, "stats": stats, "curves": curves, "periods": periods,
         "means": evaluate.mean_ci(named(figures(stats, ["run"])), [*BY, "figure"], "value"),
         "curve_means": evaluate.mean_ci_by_place(named(figures(curves, ["run", "kind", "place"])), [*BY, "kind", "figure"], "value"),
         "period_means": evaluate.mean_ci_by_place(named(figures(periods, ["run", "kind", "period"])), [*BY, "kind", "figure"], "value", place="period"),
