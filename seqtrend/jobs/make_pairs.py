@@ -53,9 +53,9 @@ def run(
     blocks: tuple[int, int, int] = (4, 1, 0),
     given: tuple[DataFrame, DataFrame, DataFrame] | None = None,
     how: str = "intersection",
-    cap: int | None = 750,
+    cap: int | None = None,
     min_lead: int = pairs.MIN_LEAD,
-    to_check: int | None = 1_000_000,
+    to_check: int | None = None,
     p_value: float | None = None,
     cutoff: float = 1e-2,
     use_chi2: bool = False,
@@ -69,8 +69,9 @@ def run(
 
     Periods count from the first date of all locations, up to ``last_week`` or to that of ``until``. Variants not
     seen by ``discovery`` are left out, their counts run on. The series of both regions are combined and split
-    in blocks of ranks, or by the ``given`` lists of variants (train, val, test). Pairs are made inside the splits,
-    at most ``cap`` partners each; at most ``to_check`` of a split, at random, are held against both regions.
+    in blocks of ranks, or by the ``given`` lists of variants (train, val, test). All pairs inside
+    the splits are made, and with a control region all are held against both; ``cap`` leaves every variant that many
+    partners, and ``to_check`` every split that many pairs to be held against the regions, at random.
     With ``frequent``, frequent variants are paired with rare ones; with ``n_mutations``, made-up variants of
     count 0 are added in so many trials per variant of train, and of val and test.
     """
@@ -108,9 +109,9 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--blocks", type=int, nargs=3, default=(4, 1, 0), metavar=("TRAIN", "VAL", "TEST"))
     parser.add_argument("--given", nargs=3, metavar=("TRAIN", "VAL", "TEST"), help="text files of variants, instead of blocks")
     parser.add_argument("--combine", choices=("intersection", "union"), default="intersection")
-    parser.add_argument("--cap", type=int, help="partners of a variant")
+    parser.add_argument("--cap", type=int, help="partners of a variant, at random; all by default")
     parser.add_argument("--min-lead", type=int, default=pairs.MIN_LEAD)
-    parser.add_argument("--to-check", type=int, default=1_000_000, help="pairs of a split that are held against the regions")
+    parser.add_argument("--to-check", type=int, help="pairs of a split that are held against the regions, at random; all by default")
     parser.add_argument("--p-value", type=float)
     parser.add_argument("--cutoff", type=float, default=1e-2, help="share from which a pair is tested")
     parser.add_argument("--chi2", action="store_true")

@@ -187,7 +187,7 @@ kn AS (SELECT agreed.*, a.split FROM agreed JOIN sp a ON a.m = seq0 JOIN sp b ON
 cn AS (SELECT m, count(*) AS total FROM obs GROUP BY m), {_frequent_rare_sql(3, "kn", 7, 600, 599)}, {_negatives_sql(3, "fr", 2, 2)}
 SELECT * FROM fr UNION ALL SELECT * FROM fake""")
 def job_make_pairs(spark, sf_dir):
-    """The regions are the even and the odd orders. No split has as many variants as the cap."""
+    """The regions are the even and the odd orders. All pairs are made, and all are held against both."""
     obs = observations(spark, sf_dir).withColumn("location", F.when(F.substring_index("acc", "-", 1).cast("long") % 2 == 0, "ASIA").otherwise("EUROPE"))
     frequent = make_pairs.Frequent(min_count=600, max_total=599, trailing=0, most_rare=7)
     return make_pairs.run(obs, "ASIA", "~ASIA", last_week=LAST_WEEK, blocks=(4, 1, 1), how="union", p_value=0.1, frequent=frequent, n_mutations=2, trials=(2, 2), seed=3)
