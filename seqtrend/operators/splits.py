@@ -38,7 +38,9 @@ def enumerate_rows(df: DataFrame, n: str = "n") -> DataFrame:
     A row is dealt as pieces of CHUNK first, so a very frequent one is written out in many tasks.
     """
     last = (F.col(n) - 1).cast("int")
-    pieces = df.where(last >= 0).select("*", F.explode(F.sequence(F.lit(0), last, F.lit(CHUNK))).alias("_from")).repartition(*df.columns, "_from")
+    # By number: pieces are few bytes but make many rows, and an adaptive plan would give them to one task.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = df.where(last >= 0).select("*", F.explode(F.sequence(F.lit(0), last, F.lit(CHUNK))).alias("_from")).repartition(parts, *df.columns, "_from")
     return pieces.select("*", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (CHUNK - 1), last))).alias("number")).drop("_from")
 
 

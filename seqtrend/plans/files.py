@@ -69,7 +69,7 @@ def s13_exported_accessions(spark, sf_dir):
 SELECT concat(CASE WHEN m = '' THEN 'REF' ELSE replace(m, ',', '_') END, '_', CAST(i AS VARCHAR)) AS header, md5(seq) AS seq FROM e JOIN seqs USING (m)""")
 def s2_s10_fasta(spark, sf_dir):
     out = scratch_path(spark, "fasta")
-    fasta.write_fasta(mutations.apply_mutations(observations(spark, sf_dir).select("m"), REFERENCE), out)
+    fasta.write_fasta(mutations.apply_mutations(observations(spark, sf_dir).select("m"), REFERENCE), out, compression="gzip")
     return fasta.read_fasta(spark, out).select("header", F.md5(F.col("sequence").cast("binary")).alias("seq"))
 
 

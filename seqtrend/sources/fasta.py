@@ -9,6 +9,9 @@ from seqtrend.functions.tokens import made_once
 from seqtrend.operators.splits import enumerate_rows
 from seqtrend.sources.block_gzip import read_block_gzip
 
+#: Records of one compressed file.
+FILE_RECORDS = 1 << 18
+
 # Fixed value: the shape of a cluster's header.
 CLUSTER_HEADER = r"^>?(\S+)\s+(.*)\s+n=(\d+)\s+Tax=(.*)\s+TaxID=(\S*)\s+RepID=(\S+)\s*$"
 
@@ -27,9 +30,11 @@ def read_fasta(spark: SparkSession, path: str, header_sep: str | None = None) ->
     return made_once(cut, body, "sequence").select(head.alias("header"), "sequence").where("sequence <> ''")
 
 
-def write_fasta(df: DataFrame, path: str, m: str = "m", seq: str = "seq", numbered: bool = True) -> None:
+def write_fasta(df: DataFrame, path: str, m: str = "m", seq: str = "seq", numbered: bool = True, compression: str = "none") -> None:
     """``>name`` and sequence; the name of ``""`` is REF, others have _ for commas, with a running number in the name.
 
+    With a ``compression`` (gzip) each file is read by one task, so it has at most FILE_RECORDS records.
+
     Equal records are counted before they are numbered and dealt again in pieces, so a name that a third of
     all rows has is neither sorted nor written by one task.
     """
@@ -40,7 +45,8 @@ def write_fasta(df: DataFrame, path: str, m: str = "m", seq: str = "seq", number
         counted = rows.groupBy("name", "seq").agg(F.count("*").alias("_n")).withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         numbered_rows = enumerate_rows(counted, "_n")
         rows = numbered_rows.select(F.concat_ws("_", "name", (F.col("_at") + F.col("number")).cast("string")).alias("name"), "seq")
-    rows.select(F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")).write.text(path)
+    out = rows.select(F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")).write.option("maxRecordsPerFile", 0 if compression == "none" else FILE_RECORDS)
+    out.text(path, compression=compression)
 
 
 def parse_cluster_headers(lines: DataFrame) -> DataFrame:
